@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from factweave.functions.text import _col
+from factweave.functions.text import _col, let
 from factweave.schemas import LABEL_PAD
 
 EPSILON = 1e-15  # fixed value under the square root
@@ -18,10 +18,7 @@ def _dot(a: Column, b: Column) -> Column:
 def l2_normalize(c: Column | str) -> Column:
     """x / sqrt(sum(x * x) + 1e-15), in double precision."""
     v = _col(c).cast("array<double>")
-    # The length is carried along as an argument; inside the lambda it would be
-    # computed once per element.
-    length = F.array_repeat(F.sqrt(_dot(v, v) + F.lit(EPSILON)), F.size(v))
-    return F.zip_with(v, length, lambda x, n: x / n)
+    return let(F.sqrt(_dot(v, v) + F.lit(EPSILON)), lambda length: F.transform(v, lambda x: x / length))
 
 
 def cosine(a: Column | str, b: Column | str) -> Column:

@@ -7,10 +7,12 @@ every run and on every executor. Labels are replaced in one pass over label toke
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from factweave.functions.text import _col, split_facts
+from factweave.functions.text import _col, let, split_facts
 from factweave.schemas import FACT_SEP
 
 COMPAT_MAX_ID = 30  # fixed value: entity numbers looked for by the compatible mode
@@ -20,42 +22,26 @@ def _draw(seed: int, key: Column, number: Column) -> Column:
     return F.md5(F.concat_ws(":", F.lit(str(seed)), key.cast("string"), number.cast("string")))
 
 
-def _relabel(text: Column, label: str, new_ids: Column) -> Column:
-    """Replace ``<label><n>`` by ``<label><new_ids[n]>``; other numbers stay."""
-    # Pieces of digits only are label numbers: all other pieces hold or start with other text.
-    pieces = F.split(text, f"(?<={label})(?=[0-9])|(?<={label}[0-9]{{1,9}})(?![0-9])")
-    # new_ids is carried as an argument: inside the lambda it would be computed per piece.
-    carried = F.array_repeat(new_ids, F.size(pieces))
-    return F.array_join(
-        F.zip_with(
-            pieces,
-            carried,
-            lambda piece, ids: F.coalesce(
-                F.when(
-                    piece.rlike("^[0-9]{1,9}$"), F.get(ids, piece.cast("int") - 1).cast("string")
-                ),
-                piece,
-            ),
-        ),
-        "",
-    )
+def _relabel(text: Column, label: str, new_id: Callable[[Column], Column]) -> Column:
+    """Replace each ``<label><n>`` by ``<label><new_id(n)>``; 0 keeps the number."""
 
+    def rename(piece: Column, place: Column) -> Column:
+        digits = F.regexp_extract(piece, "^[0-9]+", 0)
+        new = F.nullif(new_id(digits.try_cast("int")).cast("int"), F.lit(0)).cast("string")
+        renamed = F.concat(F.coalesce(new, digits), F.substr(piece, F.length(digits) + 1))
+        return F.when(place == 0, piece).otherwise(renamed)
 
-def _permutation(size: Column, seed: int, key: Column) -> Column:
-    """New number of each old number 1..size."""
-    numbers = F.when(size > 0, F.sequence(F.lit(1), size)).otherwise(F.array().cast("array<int>"))
-    drawn = F.sort_array(
-        F.transform(numbers, lambda i: F.struct(_draw(seed, key, i).alias("draw"), i.alias("old")))
-    )
-    return _inverse(drawn["old"])
+    # Each piece after the first starts with the digits of a label.
+    return F.array_join(F.transform(F.split(text, label + "(?=[0-9])"), rename), label)
 
 
-def _inverse(old_numbers: Column) -> Column:
-    """Place of every old number in a list of old numbers."""
-    placed = F.transform(
-        old_numbers, lambda old, i: F.struct(old.alias("old"), (i + 1).alias("new"))
+def _numbers_in_order(size: Column, seed: int, key: Column) -> Column:
+    """Numbers 1..size in the order of their hashes."""
+    places = F.array_repeat(F.lit(0), size)
+    drawn = F.transform(
+        places, lambda _, i: F.struct(_draw(seed, key, i + 1).alias("draw"), (i + 1).alias("number"))
     )
-    return F.sort_array(placed)["new"]
+    return F.sort_array(drawn)["number"]
 
 
 def relabel_entities(c: Column | str, key: Column | str, seed: int = 666, compat: bool = False) -> Column:
@@ -70,31 +56,43 @@ def relabel_entities(c: Column | str, key: Column | str, seed: int = 666, compat
             F.sequence(F.lit(1), F.lit(COMPAT_MAX_ID)),
             lambda i: F.contains(c, F.concat(F.lit("ENTITY"), i.cast("string"))),
         )
-        last = F.coalesce(F.array_min(found), F.lit(1))
-        new = F.element_at(_permutation(last, seed, key), -1)
-        return F.replace(
-            c,
-            F.concat(F.lit("ENTITY"), last.cast("string")),
-            F.concat(F.lit("ENTITY"), new.cast("string")),
+
+        def replaced(last: Column) -> Column:
+            new = F.array_position(_numbers_in_order(last, seed, key), last)
+            old = F.concat(F.lit("ENTITY"), last.cast("string"))
+            return F.replace(c, old, F.concat(F.lit("ENTITY"), new.cast("string")))
+
+        return let(
+            F.coalesce(F.array_min(found), F.lit(1)),
+            lambda last: F.when(last == 1, c).otherwise(replaced(last)),
         )
     ids = F.regexp_extract_all(c, F.lit("ENTITY([0-9]{1,9})"), F.lit(1)).cast("array<int>")
     last = F.coalesce(F.array_max(ids), F.lit(0))
-    return F.when(c.isNotNull(), _relabel(c, "ENTITY", _permutation(last, seed, key)))
+    return let(
+        _numbers_in_order(last, seed, key),
+        lambda order: _relabel(c, "ENTITY", lambda n: F.array_position(order, n)),
+    )
 
 
 def shuffle_facts(c: Column | str, key: Column | str, seed: int = 666) -> Column:
     """Permute the facts, keep the question last, renumber FACT labels and references."""
     c, key = _col(c), _col(key)
-    parts = split_facts(c)
-    facts = F.slice(parts, 1, F.size(parts) - 1)
-    question = F.element_at(parts, -1)
-    drawn = F.sort_array(
-        F.transform(
+
+    def drawn(parts: Column) -> Column:
+        facts = F.slice(parts, F.lit(1), F.size(parts) - 1)
+        entries = F.transform(
             facts,
             lambda fact, i: F.struct(
                 _draw(seed, key, i + 1).alias("draw"), (i + 1).alias("old"), fact.alias("fact")
             ),
         )
-    )
-    text = F.array_join(F.concat(drawn["fact"], F.array(question)), FACT_SEP)
-    return _relabel(text, "FACT", _inverse(drawn["old"]))
+        return F.struct(F.sort_array(entries).alias("facts"), F.element_at(parts, -1).alias("question"))
+
+    def renumbered(moved: Column) -> Column:
+        text = F.array_join(F.concat(moved["facts"]["fact"], F.array(moved["question"])), FACT_SEP)
+        return let(
+            moved["facts"]["old"],
+            lambda olds: _relabel(text, "FACT", lambda n: F.array_position(olds, n)),
+        )
+
+    return let(split_facts(c), lambda parts: let(drawn(parts), renumbered))

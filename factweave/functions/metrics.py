@@ -27,56 +27,3 @@ def f1_of_words(p: Column | str, t: Column | str) -> Column:
 
 def token_f1(prediction: Column | str, truth: Column | str) -> Column:
     return f1_of_words(words(normalize_text(prediction)), words(normalize_text(truth)))
-
-
-def next_grams(grams: Column, tokens: Column, n: int) -> Column:
-    """n-grams from (n-1)-grams and the tokens; linear, no indexing inside a lambda."""
-    shorter = F.slice(grams, F.lit(1), F.greatest(F.size(grams) - 1, F.lit(0)))
-    return F.zip_with(
-        shorter, F.slice(tokens, F.lit(n), F.size(tokens)), lambda a, b: F.concat_ws(" ", a, b)
-    )
-
-
-def clipped_overlap(p: Column | str, t: Column | str) -> Column:
-    """Sum over distinct grams of the smaller of the two counts.
-
-    With no repeats on one side this is the size of the set intersection. Else both lists are
-    sorted together and counted in one pass: n log n, inside the row, without a shuffle.
-    """
-    p, t = _col(p), _col(t)
-    shared = F.size(F.array_intersect(p, t))
-
-    def side(grams: Column, predicted: int) -> Column:
-        return F.transform(
-            grams, lambda g: F.struct(g.alias("g"), F.lit(predicted).alias("predicted"))
-        )
-
-    def step(acc: Column, x: Column) -> Column:
-        same = acc["g"].eqNullSafe(x["g"])
-        open_truths = F.when(same, acc["truths"]).otherwise(F.lit(0))
-        hit = (x["predicted"] == 1) & (open_truths > 0)
-        return F.struct(
-            x["g"].alias("g"),
-            (open_truths + F.when(hit, -1).when(x["predicted"] == 0, 1).otherwise(0)).alias("truths"),
-            (acc["total"] + hit.cast("int")).alias("total"),
-        )
-
-    counted = F.aggregate(
-        F.sort_array(F.concat(side(t, 0), side(p, 1))),
-        F.struct(
-            F.lit(None).cast("string").alias("g"), F.lit(0).alias("truths"), F.lit(0).alias("total")
-        ),
-        step,
-        lambda acc: acc["total"],
-    )
-    no_repeats = (F.size(F.array_distinct(p)) == F.size(p)) | (F.size(F.array_distinct(t)) == F.size(t))
-    return F.when((shared == 0) | no_repeats, shared).otherwise(counted)
-
-
-def single_order_bleu(overlap: Column, unigrams: Column, n_p: Column, n_t: Column, n: int) -> Column:
-    """Clipped precision of one order times the brevity penalty; 0 without overlap."""
-    grams = F.greatest(n_p - (n - 1), F.lit(1))
-    brevity = F.when(n_p > n_t, F.lit(1.0)).otherwise(F.exp(1 - n_t / n_p))
-    return F.when((unigrams == 0) | (overlap == 0), F.lit(0.0)).otherwise(
-        brevity * (overlap / grams)
-    )

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from factweave.functions.text import words
+from factweave.functions.text import single_spaced, words
 
 RETRIES = 1  # fixed values: one more call, after a minute
 WAIT_SECONDS = 60.0
@@ -143,5 +143,4 @@ def with_embedding(
 
 def word_tokens(c: Column | str) -> Column:
     """Stand-in for a tokenizer, without Python: the words between white space."""
-    c = F.col(c) if isinstance(c, str) else c
-    return words(F.regexp_replace(c, r"(?U)\s+", " "))
+    return words(single_spaced(c))

@@ -89,7 +89,7 @@ def stub_model():
          SELECT doc_id, list_reverse(string_split(text, ' ')) AS w FROM documents)""",
 )
 def generate_stub(spark, folder):
-    rows = v.table(spark, folder, "documents").select("doc_id", "text")
+    rows = v.table(spark, folder, "documents", "doc_id").select("doc_id", "text")
     out = decompose_questions(rows, stub_model, "text")
     return out.select(
         "doc_id",
@@ -127,7 +127,7 @@ def stub_tokenizer():
        FROM documents""",
 )
 def ids_stub(spark, folder):
-    rows = v.table(spark, folder, "documents").select("doc_id", "text")
+    rows = v.table(spark, folder, "documents", "doc_id").select("doc_id", "text")
     out = inference.with_ids(rows, "text", stub_tokenizer, "ids")
     return out.select("doc_id", F.array_join(F.col("ids").cast("array<string>"), " ").alias("ids"))
 
@@ -145,7 +145,7 @@ _SHARES = ", ".join(
 
 @query("embedding_stub", f"SELECT doc_id, {_SHARES} FROM documents")
 def embedding_stub(spark, folder):
-    rows = v.table(spark, folder, "documents").select("doc_id", "text")
+    rows = v.table(spark, folder, "documents", "doc_id").select("doc_id", "text")
     out = inference.with_embedding(rows, "text", stub_embedder)
     return out.select(
         "doc_id", *[F.round(F.get("embedding", F.lit(i)), 4).alias(c) for i, c in enumerate("aeiou")]

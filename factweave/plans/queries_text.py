@@ -98,7 +98,7 @@ def fact_split(spark, folder):
 )
 def decode_clean(spark, folder):
     raw = F.concat(F.lit("<pad> "), F.col("text"), F.lit("</s><pad>  <pad>"))
-    return v.table(spark, folder, "documents").select("doc_id", text.clean_decoded(raw).alias("decoded"))
+    return v.table(spark, folder, "documents", "doc_id").select("doc_id", text.clean_decoded(raw).alias("decoded"))
 
 
 @query(
@@ -138,7 +138,7 @@ def line_parse(spark, folder):
 
 @query("normalize_text", f"SELECT doc_id, {q.normalized('text')} AS normalized FROM documents")
 def normalize_text(spark, folder):
-    return v.table(spark, folder, "documents").select("doc_id", text.normalize_text("text").alias("normalized"))
+    return v.table(spark, folder, "documents", "doc_id").select("doc_id", text.normalize_text("text").alias("normalized"))
 
 
 def _renumber(label: str, last: int) -> str:

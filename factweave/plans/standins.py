@@ -10,10 +10,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factweave.functions.text import join_facts
+from factweave.sources.corpus import spread
 
 
-def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{folder}/{name}.parquet")
+def table(spark: SparkSession, folder: str, name: str, *key: str) -> DataFrame:
+    """A given table; with a key its rows are spread over all cores if the scan is coarse."""
+    rows = spark.read.parquet(f"{folder}/{name}.parquet")
+    return spread(rows, *key) if key else rows
 
 
 def _cat(*parts: str) -> F.Column:
@@ -25,7 +28,7 @@ def _cat(*parts: str) -> F.Column:
 
 def questions(spark: SparkSession, folder: str) -> DataFrame:
     """One question record per order; decompositions absent, rejected, as lines or as text."""
-    rows = table(spark, folder, "orders").select(
+    rows = table(spark, folder, "orders", "o_orderkey").select(
         F.col("o_orderkey").alias("ord"),
         F.col("o_orderkey").cast("string").alias("item_id"),
         F.col("o_orderstatus").alias("dataset"),
@@ -103,7 +106,7 @@ QUESTIONS_SQL = r"""questions AS (
 
 def completions(spark: SparkSession, folder: str) -> DataFrame:
     """Raw completions: all documents, and the decompositions with blank lines between."""
-    docs = table(spark, folder, "documents").select(
+    docs = table(spark, folder, "documents", "doc_id").select(
         F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("item_id"),
         F.concat("text", F.lit("\nsentence:\nnext one")).alias("completion"),
     )
@@ -157,7 +160,8 @@ PARAPHRASES_SQL = f"""paraphrase_items AS (
 def turn_pairs(spark: SparkSession, folder: str) -> DataFrame:
     """Each user turn as the truth, the turn after it as the prediction."""
     turns = table(spark, folder, "conversations")
-    asked = turns.where(F.col("role") == "user").select(
+    spread_turns = table(spark, folder, "conversations", "conv_id", "turn")
+    asked = spread_turns.where(F.col("role") == "user").select(
         "conv_id", "turn", F.col("text").alias("answer")
     )
     following = turns.select(
@@ -174,7 +178,7 @@ PAIRS_SQL = """pairs AS (
 
 def score_pairs(spark: SparkSession, folder: str) -> DataFrame:
     """The pairs of turns, and every turn with a near copy of itself."""
-    near = table(spark, folder, "conversations").select(
+    near = table(spark, folder, "conversations", "conv_id", "turn").select(
         F.lit("copy").alias("kind"),
         "conv_id",
         "turn",
@@ -198,7 +202,7 @@ score_pairs AS (
 
 def document_pairs(spark: SparkSession, folder: str) -> DataFrame:
     """Whole documents: each with a changed copy of itself, and with the next document."""
-    docs = table(spark, folder, "documents").select("doc_id", "text")
+    docs = table(spark, folder, "documents", "doc_id").select("doc_id", "text")
     changed = F.replace(F.replace("text", F.lit(" de "), F.lit(" des ")), F.lit(". "), F.lit(" . "))
     near = docs.select(
         F.lit("copy").alias("kind"), "doc_id", F.col("text").alias("prediction"), changed.alias("answer")

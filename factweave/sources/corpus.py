@@ -19,6 +19,16 @@ def read_questions(spark: SparkSession, path: str, fmt: str = "json") -> DataFra
     return spark.read.schema(QUESTIONS).format(fmt).load(path)
 
 
+def spread(df: DataFrame, *key: str) -> DataFrame:
+    """A scan with fewer tasks than the session has cores, spread over all cores by a unique key.
+
+    For work which costs far more than reading, on few or coarse files. A corpus which is
+    read by at least as many tasks as there are cores stays as it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, *key) if df.rdd.getNumPartitions() < cores else df
+
+
 def ingest_questions(spark: SparkSession, path: str, out: str, fmt: str = "json") -> DataFrame:
     """Store a corpus once as Parquet by dataset and split, with a place for each record.
 
