@@ -7,7 +7,10 @@ from pyspark.sql import functions as F
 
 from factweave.functions.arrays import cosine
 from factweave.operators.scoring import with_bleu, with_f1
-from factweave.operators.skew import HOT_ROWS, join_to_unique
+from factweave.operators.skew import HOT_ROWS, hot_keys, join_to_unique
+
+QUANTILES = ", ".join(f"{i / 256}D" for i in range(1, 256))
+PART_BITS = 16  # 65,536 candidate numbers per part of equal scores
 
 
 def rank_candidates(
@@ -16,15 +19,59 @@ def rank_candidates(
     example: str = "example_id",
     tie: str = "cand_idx",
     top: int | None = None,
+    hot_rows: int = HOT_ROWS,
+    hot: DataFrame | None = None,
 ) -> DataFrame:
     """Rank by falling score, equal scores in candidate order.
 
     With ``top`` Spark drops the rows beyond it in every task before the shuffle. The full
-    ranking is for candidate lists as a generator returns them, which one task can sort.
+    ranking sorts an example's candidates in one task, but those of an example with very many
+    of them in parts.
     """
     order = Window.partitionBy(example).orderBy(F.desc(score), F.asc(tie))
-    ranked = df.withColumn("rank", F.row_number().over(order))
-    return ranked if top is None else ranked.where(F.col("rank") <= top)
+    rank = F.row_number().over(order).cast("long")
+    if top is not None:
+        return df.withColumn("rank", rank).where(F.col("rank") <= top)
+    hot = F.broadcast(hot_keys(df, example, hot_rows) if hot is None else hot)
+    usual = df.join(hot, example, "left_anti").withColumn("rank", rank)
+    large = df.join(hot, example, "left_semi")
+    return usual.unionByName(_rank_in_parts(large, score, example, tie).select(*usual.columns))
+
+
+def _rank_in_parts(df: DataFrame, score: str, example: str, tie: str) -> DataFrame:
+    """The same ranking for at most 1,000 examples with any number of candidates.
+
+    Quantiles of the score cut an example into parts of like size. A score so frequent that
+    it fills a part is itself a quantile: its rows are a part of their own, cut further by
+    the candidate number. Ranks are counted inside the parts, after the rows of better parts.
+    """
+    cuts = df.groupBy(example).agg(
+        F.expr(f"array_distinct(percentile_approx(`{score}`, array({QUANTILES})))").alias("_cuts")
+    )
+    greater = F.size(F.filter("_cuts", lambda cut: cut > F.col(score)))
+    equal = F.array_contains("_cuts", F.col(score))
+    parts = [example, "_part", "_sub"]
+    rows = (
+        df.join(F.broadcast(cuts), example)
+        .withColumn("_part", 2 * greater + equal.cast("int"))
+        .withColumn("_sub", F.when(equal, F.shiftright(F.col(tie).cast("long"), PART_BITS)).otherwise(0))
+        .drop("_cuts")
+    )
+    before = Window.partitionBy(example).orderBy("_part", "_sub").rowsBetween(
+        Window.unboundedPreceding, -1
+    )
+    starts = (
+        rows.groupBy(*parts)
+        .agg(F.count("*").alias("_rows"))
+        .withColumn("_start", F.coalesce(F.sum("_rows").over(before), F.lit(0)))
+        .drop("_rows")
+    )
+    inside = Window.partitionBy(*parts).orderBy(F.desc(score), F.asc(tie))
+    return (
+        rows.join(starts, parts)
+        .withColumn("rank", F.col("_start") + F.row_number().over(inside))
+        .drop("_part", "_sub", "_start")
+    )
 
 
 def _best(df: DataFrame, score: str, example: str, tie: str, carry: list[str]) -> DataFrame:

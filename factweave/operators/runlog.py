@@ -7,6 +7,8 @@ from one row per block. A run with a third of all rows is thus spread over many
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -58,8 +60,10 @@ def improvements(
 
     # A row's mark is its value and its place, earlier places greater: the greatest mark up to
     # a row tells the best value and where it was first reached.
+    # The NULL test stands here, before the paths part, so that both read one shuffle.
     rows = (
         log.withColumn("_block", F.shiftright("step", bits))
+        .where(reduce(and_, [F.col(c).isNotNull() for c in blocked]))
         .withColumn("_n", F.row_number().over(inside))
         .withColumn("_mark", F.struct(F.col("value").alias("v"), (-F.col("_n")).alias("at")))
         .withColumn("_now", F.max("_mark").over(so_far))

@@ -28,15 +28,18 @@ def join_to_unique(
     spread_by: str | None = None,
     min_rows: int = HOT_ROWS,
     salts: int = SALTS,
+    hot: DataFrame | None = None,
 ) -> DataFrame:
     """Join many rows per key (``inner`` or ``left``) to a side with one row per key.
 
     Rows of hot keys are spread over ``salts`` sub-keys by the hash of ``spread_by``, and the
     one row of such a key is repeated for every sub-key. Needed where an aggregate by the same
-    key follows, for there the adaptive split of skewed partitions does not apply.
+    key follows, for there the adaptive split of skewed partitions does not apply. Give ``hot``
+    (see ``hot_keys``) where the keys can be counted on a cheaper table than ``many``.
     """
     spread = F.xxhash64(spread_by or F.struct(*[c for c in many.columns if c != key]))
-    hot = F.broadcast(hot_keys(many, key, min_rows).withColumn("_hot", F.lit(True)))
+    hot = hot_keys(many, key, min_rows) if hot is None else hot
+    hot = F.broadcast(hot.withColumn("_hot", F.lit(True)))
     none = F.lit(0).cast("long")
     left = many.join(hot, key, "left").withColumn(
         "_salt", F.when(F.col("_hot"), F.pmod(spread, F.lit(salts))).otherwise(none)

@@ -9,6 +9,7 @@ from factweave.functions.text import clean_decoded, parse_completion, join_facts
 from factweave.operators import candidates as cand
 from factweave.operators import scoring
 from factweave.operators.inference import word_tokens
+from factweave.operators.skew import hot_keys, join_to_unique
 from factweave.plans import evaluation
 from factweave.plans import sqltext as q
 from factweave.plans import standins as v
@@ -173,13 +174,15 @@ def best_of_n(spark, folder):
     "rank_candidates",
     f"""WITH {v.CANDIDATES_SQL}, {q.scored('cands', 'example_id, cand_idx')}
         SELECT example_id, cand_idx,
-          CAST(row_number() OVER (PARTITION BY example_id ORDER BY f1 DESC, cand_idx) AS INTEGER) AS rank
+          row_number() OVER (PARTITION BY example_id ORDER BY f1 DESC, cand_idx) AS rank
         FROM scores""",
 )
 def rank_candidates(spark, folder):
     candidates, truths = v.turn_candidates(spark, folder)
-    scored = scoring.with_f1(candidates.join(truths, "example_id"), em=False)
-    return cand.rank_candidates(scored, "f1").select("example_id", "cand_idx", "rank")
+    hot = hot_keys(candidates, "example_id")
+    paired = join_to_unique(candidates, truths, "example_id", spread_by="cand_idx", hot=hot)
+    scored = scoring.with_f1(paired, em=False).select("example_id", "cand_idx", "f1")
+    return cand.rank_candidates(scored, "f1", hot=hot).drop("f1")
 
 
 @query(
