@@ -1,13 +1,18 @@
-"""Joins between items and results on the item key."""
+"""Joins between items and results on the item key.
+
+A key may have any number of items and of results; see ``skew`` for hot keys.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from factweave.operators.skew import HOT_ROWS, join_to_unique
+
 
 def _keys(done: DataFrame, key: str) -> DataFrame:
-    # Equal keys collapse before the shuffle, and the join uses the same partitioning.
+    # Equal keys collapse before the shuffle.
     return done.select(key).distinct()
 
 
@@ -17,19 +22,28 @@ def pending(
     key: str = "item_id",
     result: str | None = None,
     retry_rejected: bool = False,
+    hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """Items without a result. Rejected items have an empty result and count as done,
     unless ``retry_rejected`` asks for them again."""
     if retry_rejected:
         done = done.where(F.size(result) > 0)
-    return items.join(_keys(done, key), key, "left_anti")
+    return join_to_unique(items, _keys(done, key), key, "left_anti", min_rows=hot_rows)
 
 
-def completed(items: DataFrame, done: DataFrame, key: str = "item_id") -> DataFrame:
+def completed(
+    items: DataFrame, done: DataFrame, key: str = "item_id", hot_rows: int = HOT_ROWS
+) -> DataFrame:
     """Items with a result."""
-    return items.join(_keys(done, key), key, "left_semi")
+    return join_to_unique(items, _keys(done, key), key, "left_semi", min_rows=hot_rows)
 
 
-def attach(items: DataFrame, results: DataFrame, key: str = "item_id", how: str = "left") -> DataFrame:
-    """Items with their result columns; one result per item, any number of items per key."""
-    return items.join(results, key, how)
+def attach(
+    items: DataFrame,
+    results: DataFrame,
+    key: str = "item_id",
+    how: str = "left",
+    hot_rows: int = HOT_ROWS,
+) -> DataFrame:
+    """Items with their result columns; results have one row per key."""
+    return join_to_unique(items, results, key, how, min_rows=hot_rows)

@@ -32,9 +32,10 @@ def block_places(
 
     With 10^11 rows the table has some 1.5 million blocks of 24 bytes.
     """
-    counts = df.groupBy(*keys, _block(order, bits).alias("_block")).agg(
-        F.count("*").alias("_block_rows")
+    placed = F.when(F.col(order).isNull(), F.raise_error(F.lit(f"row without {order}"))).otherwise(
+        _block(order, bits)
     )
+    counts = df.groupBy(*keys, placed.alias("_block")).agg(F.count("*").alias("_block_rows"))
     before = (
         Window.partitionBy(*[F.col(k) for k in keys])
         .orderBy("_block")

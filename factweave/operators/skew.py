@@ -30,19 +30,21 @@ def join_to_unique(
     salts: int = SALTS,
     hot: DataFrame | None = None,
 ) -> DataFrame:
-    """Join many rows per key (``inner`` or ``left``) to a side with one row per key.
+    """Join many rows per key to a side with one row per key: inner, left, left_semi, left_anti.
 
     Rows of hot keys are spread over ``salts`` sub-keys by the hash of ``spread_by``, and the
-    one row of such a key is repeated for every sub-key. Needed where an aggregate by the same
-    key follows, for there the adaptive split of skewed partitions does not apply. Give ``hot``
-    (see ``hot_keys``) where the keys can be counted on a cheaper table than ``many``.
+    one row of such a key is repeated for every sub-key. Rows without a key, which match
+    nothing, are spread too. The adaptive split of skewed partitions would not do: it needs
+    both sides fresh from a shuffle, and nothing after the join which relies on the key. Give
+    ``hot`` (see ``hot_keys``) where the keys can be counted on a cheaper table than ``many``.
     """
-    spread = F.xxhash64(spread_by or F.struct(*[c for c in many.columns if c != key]))
+    spread = F.xxhash64(*([spread_by] if spread_by else [c for c in many.columns if c != key]))
     hot = hot_keys(many, key, min_rows) if hot is None else hot
     hot = F.broadcast(hot.withColumn("_hot", F.lit(True)))
     none = F.lit(0).cast("long")
+    spread_out = F.col("_hot") | F.col(key).isNull()
     left = many.join(hot, key, "left").withColumn(
-        "_salt", F.when(F.col("_hot"), F.pmod(spread, F.lit(salts))).otherwise(none)
+        "_salt", F.when(spread_out, F.pmod(spread, F.lit(salts))).otherwise(none)
     )
     every = F.sequence(none, F.lit(salts - 1).cast("long"))
     right = one.join(hot, key, "left").withColumn(

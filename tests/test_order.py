@@ -92,3 +92,9 @@ def test_slice_bounds_reach_the_scan(spark, tmp_path):
     wide_scan = [line for line in plan.splitlines() if "FileScan" in line and "text" in line]
     assert wide_scan and all("ord" in line and "Subquery" in line for line in wide_scan)
     assert _ords(df) == list(range(100))
+
+
+def test_rows_without_a_place_are_not_dropped_in_silence(spark):
+    df = spark.createDataFrame([(1, "x"), (None, "y")], "ord long, text string")
+    with pytest.raises(Exception, match="row without ord"):
+        order.head_n(df, 1).collect()
