@@ -9,7 +9,7 @@ from factweave.functions.arrays import cosine
 from factweave.operators.scoring import with_bleu, with_f1
 from factweave.operators.skew import HOT_ROWS, hot_keys, join_to_unique
 
-QUANTILES = ", ".join(f"{i / 256}D" for i in range(1, 256))
+QUANTILES = ", ".join(f"{i / 64}D" for i in range(1, 64))
 PART_BITS = 16  # 65,536 candidate numbers per part of equal scores
 
 
@@ -25,52 +25,44 @@ def rank_candidates(
     """Rank by falling score, equal scores in candidate order.
 
     With ``top`` Spark drops the rows beyond it in every task before the shuffle. The full
-    ranking sorts an example's candidates in one task, but those of an example with very many
-    of them in parts.
+    ranking sorts an example's candidates in one task, except for the (at most 1,000) examples
+    with very many of them: quantiles of their scores cut those into parts of like size, and
+    ranks are counted inside the parts, after the rows of better parts.
     """
-    order = Window.partitionBy(example).orderBy(F.desc(score), F.asc(tie))
-    rank = F.row_number().over(order).cast("long")
+    order = [F.desc(score), F.asc(tie)]
     if top is not None:
+        rank = F.row_number().over(Window.partitionBy(example).orderBy(*order)).cast("long")
         return df.withColumn("rank", rank).where(F.col("rank") <= top)
     hot = F.broadcast(hot_keys(df, example, hot_rows) if hot is None else hot)
-    usual = df.join(hot, example, "left_anti").withColumn("rank", rank)
-    large = df.join(hot, example, "left_semi")
-    return usual.unionByName(_rank_in_parts(large, score, example, tie).select(*usual.columns))
-
-
-def _rank_in_parts(df: DataFrame, score: str, example: str, tie: str) -> DataFrame:
-    """The same ranking for at most 1,000 examples with any number of candidates.
-
-    Quantiles of the score cut an example into parts of like size. A score so frequent that
-    it fills a part is itself a quantile: its rows are a part of their own, cut further by
-    the candidate number. Ranks are counted inside the parts, after the rows of better parts.
-    """
-    cuts = df.groupBy(example).agg(
+    cuts = df.join(hot, example, "left_semi").groupBy(example).agg(
         F.expr(f"array_distinct(percentile_approx(`{score}`, array({QUANTILES})))").alias("_cuts")
     )
+    # Usual examples are one part, 0, which starts at 0. A score so frequent that it fills a
+    # part is itself a quantile: its rows are a part of their own, and cut by candidate number.
     greater = F.size(F.filter("_cuts", lambda cut: cut > F.col(score)))
     equal = F.array_contains("_cuts", F.col(score))
-    parts = [example, "_part", "_sub"]
+    block = F.shiftright(F.col(tie).cast("long"), PART_BITS)
     rows = (
-        df.join(F.broadcast(cuts), example)
-        .withColumn("_part", 2 * greater + equal.cast("int"))
-        .withColumn("_sub", F.when(equal, F.shiftright(F.col(tie).cast("long"), PART_BITS)).otherwise(0))
-        .drop("_cuts")
+        df.join(F.broadcast(cuts), example, "left")
+        .withColumn("_part", F.when(F.col("_cuts").isNull(), 0).otherwise(2 * greater + equal.cast("int")))
+        .withColumn("_sub", F.when(equal, block).otherwise(0))
     )
-    before = Window.partitionBy(example).orderBy("_part", "_sub").rowsBetween(
+    parts = [example, "_part", "_sub"]
+    better = Window.partitionBy(example).orderBy("_part", "_sub").rowsBetween(
         Window.unboundedPreceding, -1
     )
     starts = (
-        rows.groupBy(*parts)
+        rows.where(F.col("_cuts").isNotNull())
+        .groupBy(*parts)
         .agg(F.count("*").alias("_rows"))
-        .withColumn("_start", F.coalesce(F.sum("_rows").over(before), F.lit(0)))
-        .drop("_rows")
+        .select(*parts, F.sum("_rows").over(better).alias("_start"))
     )
-    inside = Window.partitionBy(*parts).orderBy(F.desc(score), F.asc(tie))
+    inside = Window.partitionBy(*parts).orderBy(*order)
+    start = F.coalesce("_start", F.lit(0))
     return (
-        rows.join(starts, parts)
-        .withColumn("rank", F.col("_start") + F.row_number().over(inside))
-        .drop("_part", "_sub", "_start")
+        rows.join(starts, parts, "left")
+        .withColumn("rank", start + F.row_number().over(inside))
+        .select(*df.columns, "rank")
     )
 
 

@@ -18,7 +18,7 @@ from factweave.functions.text import (
     validate_decomposition,
 )
 from factweave.operators.inference import complete
-from factweave.operators.joins import pending
+from factweave.operators.joins import attach, pending
 from factweave.schemas import DECOMPOSE_HEAD, SENTENCE_HEAD
 from factweave.session import work_dir
 from factweave.sources.sinks import chunk_of, write_results
@@ -107,3 +107,23 @@ def latest_results(done: DataFrame) -> DataFrame:
     return done.groupBy("item_id").agg(best.alias("r")).select(
         "item_id", "r.sentence", "r.sub_sentences"
     )
+
+
+def attach_training(items: DataFrame, results: DataFrame) -> DataFrame:
+    """Question records with the decomposition of their first paraphrase."""
+    column = "synthesis_question_paraphrases_sub_sentences"
+    entry = F.struct(F.col("sentence").alias("paraphrase"), "sub_sentences")
+    found = results.select("item_id", F.array(entry).alias("_new"))
+    joined = attach(items, found)
+    return joined.withColumn(column, F.coalesce(column, "_new")).drop("_new")
+
+
+def attach_validation(items: DataFrame, results: DataFrame) -> DataFrame:
+    """Question records with the decomposition of the question which their split asks for."""
+    joined = attach(items, results.select("item_id", F.col("sub_sentences").alias("_new")))
+    dev = F.col("split") == "dev"
+    new = {
+        "synthesis_question_sub_sentences": F.when(dev, F.col("_new")),
+        "nature_question_sub_sentences": F.when(~dev | dev.isNull(), F.col("_new")),
+    }
+    return joined.withColumns({c: F.coalesce(c, value) for c, value in new.items()}).drop("_new")

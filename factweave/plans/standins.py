@@ -221,7 +221,7 @@ DOCUMENT_PAIRS_SQL = """document_pairs AS (
 
 def turn_candidates(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
     """First turn of a conversation as the truth, all other turns as candidates."""
-    turns = table(spark, folder, "conversations")
+    turns = table(spark, folder, "conversations", "conv_id", "turn")
     truths = turns.where(F.col("turn") == 0).select(
         F.col("conv_id").alias("example_id"), F.col("text").alias("answer")
     )

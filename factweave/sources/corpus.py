@@ -4,17 +4,66 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from factweave.functions.text import split_facts, strip
 from factweave.operators.examples import parser_examples
 from factweave.schemas import HEAD_LIMITS, QUESTIONS
 
 
+# Sub-sentences in JSON are a list or one text: as STRING Spark gives the list's JSON text.
+_LISTS = ("synthesis_question_sub_sentences", "nature_question_sub_sentences")
+_ENTRIES = "synthesis_question_paraphrases_sub_sentences"
+_JSON_TYPES = {
+    **{c: T.StringType() for c in _LISTS},
+    _ENTRIES: T.ArrayType(
+        T.StructType(
+            [T.StructField("paraphrase", T.StringType()), T.StructField("sub_sentences", T.StringType())]
+        )
+    ),
+}
+JSON_QUESTIONS = T.StructType(
+    [T.StructField(f.name, _JSON_TYPES.get(f.name, f.dataType)) for f in QUESTIONS.fields]
+)
+
+
+def _is_list(c: Column) -> Column:
+    return F.startswith(F.ltrim(c), F.lit("["))
+
+
+def _lines(c: Column) -> Column:
+    """A list, or one text split at the separators."""
+    return F.when(_is_list(c), F.from_json(c, "array<string>")).otherwise(split_facts(strip(c)))
+
+
+def _one_form(raw: DataFrame) -> DataFrame:
+    """Sub-sentences as lists. A natural question's text stays a text, in its own column,
+    since a ready text keeps its backslashes and a joined list does not."""
+    natural = F.col("nature_question_sub_sentences")
+    text = F.when(_is_list(natural), F.lit(None).cast("string")).otherwise(natural)
+
+    def entry(e: Column) -> Column:
+        lines = _lines(e["sub_sentences"]).alias("sub_sentences")
+        return F.when(e.isNotNull(), F.struct(e["paraphrase"].alias("paraphrase"), lines))
+
+    return raw.withColumns(
+        {
+            "synthesis_question_sub_sentences": _lines(F.col("synthesis_question_sub_sentences")),
+            "nature_question_sub_sentences": F.when(_is_list(natural), F.from_json(natural, "array<string>")),
+            "nature_question_sub_sentences_text": F.coalesce("nature_question_sub_sentences_text", text),
+            _ENTRIES: F.transform(_ENTRIES, entry),
+        }
+    )
+
+
 def read_questions(spark: SparkSession, path: str, fmt: str = "json") -> DataFrame:
-    """Question records from JSON Lines or Parquet with the explicit schema; a record's
+    """Question records from JSON Lines, Parquet or ORC with an explicit schema; a record's
     missing entry is NULL."""
-    if fmt not in ("json", "parquet", "orc"):
+    if fmt == "json":
+        return _one_form(spark.read.schema(JSON_QUESTIONS).json(path))
+    if fmt not in ("parquet", "orc"):
         raise ValueError(f"unknown format {fmt!r}")
     return spark.read.schema(QUESTIONS).format(fmt).load(path)
 

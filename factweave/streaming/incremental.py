@@ -10,7 +10,6 @@ from pyspark.sql.streaming import StreamingQuery
 
 from factweave.operators.joins import pending
 from factweave.plans.few_shot import decompose, read_done
-from factweave.schemas import QUESTIONS
 from factweave.sources.sinks import write_results
 
 SMALL_BATCH = 100_000
@@ -47,7 +46,7 @@ def decompose_stream(
     which comes twice, finds its result and is not asked again.
     """
     questions = (
-        spark.readStream.schema(QUESTIONS)
+        spark.readStream.schema(f"item_id string, {question} string")
         .format(fmt)
         .option("maxFilesPerTrigger", files_per_batch)
         .load(in_dir)

@@ -36,14 +36,6 @@ def test_full_ranking(scored, monkeypatch, hot_rows):
     assert got == _plain_ranks(rows)
 
 
-def test_parts_of_a_large_example_are_small(scored, monkeypatch):
-    monkeypatch.setattr(cand, "PART_BITS", 6)
-    _, df = scored
-    ranked = cand._rank_in_parts(df, "score", "example_id", "cand_idx")
-    plan = ranked._jdf.queryExecution().optimizedPlan().toString()
-    assert "_part" in plan and "_sub" in plan
-
-
 def test_top_ranks_are_limited_before_the_shuffle(scored):
     rows, df = scored
     top = cand.rank_candidates(df, "score", top=2)

@@ -57,6 +57,28 @@ def test_read_and_ingest(spark, records, tmp_path):
         corpus.read_questions(spark, records, "pickle")
 
 
+def test_sub_sentences_as_list_or_text(spark, tmp_path):
+    rows = [
+        {"ord": 1, "nature_question_sub_sentences": ['FACT1: "x".', "Question: y?"],
+         "synthesis_question_sub_sentences": "FACT1: x. <FACT-SEP> Question: y? ",
+         "synthesis_question_paraphrases_sub_sentences": [
+             {"paraphrase": "p", "sub_sentences": "FACT1: x. <FACT-SEP> Question: y?"}, {"paraphrase": "q", "sub_sentences": []}]},
+        {"ord": 2, "nature_question_sub_sentences": "FACT1: x\\. <FACT-SEP> Question: y?", "synthesis_question_sub_sentences": []},
+    ]
+    path = tmp_path / "mixed.jsonl"
+    path.write_text("\n".join(json.dumps(r) for r in rows))
+    df = corpus.read_questions(spark, str(path))
+    assert df.schema == QUESTIONS
+    first, second = df.orderBy("ord").collect()
+    assert first.nature_question_sub_sentences == rows[0]["nature_question_sub_sentences"]
+    assert first.nature_question_sub_sentences_text is None
+    assert first.synthesis_question_sub_sentences == ["FACT1: x.", "Question: y?"]
+    assert [tuple(e) for e in first.synthesis_question_paraphrases_sub_sentences] == [("p", ["FACT1: x.", "Question: y?"]), ("q", [])]
+    assert second.nature_question_sub_sentences is None
+    assert second.nature_question_sub_sentences_text == rows[1]["nature_question_sub_sentences"]
+    assert second.synthesis_question_sub_sentences == [] and second.synthesis_question_paraphrases_sub_sentences is None
+
+
 def test_registry_reads_one_folder(spark, records, tmp_path):
     root = str(tmp_path / "corpus")
     corpus.ingest_questions(spark, records, root)
@@ -155,6 +177,9 @@ def test_resumed_run_asks_nothing_twice(spark, records, tmp_path):
     assert got == {f"s{i} one": [f"FACT1: s{i} one", "Question: what?"] if i != 2 else [] for i in range(4)}
     few_shot.decompose_corpus(questions, out, ask, PREFIX, chunks=2, wait=0)
     assert calls.value == 4
+    attached = {r.nature_question: r for r in few_shot.attach_training(items, done).collect()}
+    entry = attached["n1"].synthesis_question_paraphrases_sub_sentences
+    assert [tuple(e) for e in entry] == [("s1 one", ["FACT1: s1 one", "Question: what?"])]
     again = few_shot.decompose_corpus(questions, out, _completer(calls), PREFIX, chunks=1, retry_rejected=True, wait=0)
     assert calls.value == 5
     assert again.where(F.size("sub_sentences") > 0).count() == 4
@@ -162,8 +187,14 @@ def test_resumed_run_asks_nothing_twice(spark, records, tmp_path):
 
 def test_validation_questions(spark, records):
     items = corpus.read_questions(spark, records).withColumn("item_id", F.col("nature_question"))
-    got = {r.item_id: r.sentence for r in few_shot.validation_questions(items).collect()}
+    asked = few_shot.validation_questions(items)
+    got = {r.item_id: r.sentence for r in asked.collect()}
     assert got == {"n0": "n0", "n1": "s1", "n2": "n2", "n3": "n3"}
+    results = asked.withColumn("sub_sentences", F.array("sentence"))
+    rows = {r.item_id: r for r in few_shot.attach_validation(items, results).collect()}
+    assert rows["n1"].synthesis_question_sub_sentences == ["s1"] and rows["n1"].nature_question_sub_sentences is None
+    assert rows["n2"].nature_question_sub_sentences == ["n2"] and rows["n2"].synthesis_question_sub_sentences is None
+    assert rows["n0"].nature_question_sub_sentences == ["Question: n0?"]
 
 
 @pytest.mark.parametrize("small", [100_000, 0])
@@ -173,8 +204,8 @@ def test_stream_decomposes_new_files_only(spark, tmp_path, monkeypatch, small):
     calls = spark.sparkContext.accumulator(0)
 
     def drop(name, ids):
-        rows = [{"ord": i, "item_id": str(i), "nature_question": f"n{i}"} for i in ids]
-        df = spark.read.schema(QUESTIONS).json(spark.sparkContext.parallelize([json.dumps(r) for r in rows], 1))
+        rows = [{"item_id": str(i), "nature_question": f"n{i}", "other": 1} for i in ids]
+        df = spark.read.json(spark.sparkContext.parallelize([json.dumps(r) for r in rows], 1))
         df.write.mode("append").json(incoming)
 
     def run():
