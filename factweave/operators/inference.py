@@ -109,6 +109,28 @@ def generate_lists(
     return df.withColumn(name, run(F.col(texts)))
 
 
+def generate_candidates(
+    df: DataFrame,
+    text: str,
+    make_predict: Callable[[], Callable[[list[str]], list[list[str]]]],
+    batch_size: int = 64,
+) -> DataFrame:
+    """One row per candidate: a model which returns n texts for each input text adds
+    ``cand_idx`` 0 .. n-1 and ``prediction``."""
+
+    @F.pandas_udf("array<string>")
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        predict = make_predict()
+        for batch in batches:
+            texts = batch.tolist()
+            out: list[list[str]] = []
+            for i in range(0, len(texts), batch_size):
+                out.extend(predict(texts[i : i + batch_size]))
+            yield pd.Series(out)
+
+    return df.select("*", F.posexplode(run(F.col(text))).alias("cand_idx", "prediction"))
+
+
 def _mapped(
     df: DataFrame, text: str, make: Callable[[], Callable[[list[str]], list]], kind: str, name: str
 ) -> DataFrame:

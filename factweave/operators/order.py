@@ -47,10 +47,16 @@ def block_places(
 
 
 def _count_in_blocks(
-    df: DataFrame, places: DataFrame, order: str, keys: Sequence[str], bits: int, name: str
+    df: DataFrame,
+    places: DataFrame,
+    order: str,
+    keys: Sequence[str],
+    bits: int,
+    name: str,
+    ties: Sequence[str] = (),
 ) -> DataFrame:
     on = [*keys, "_block"]
-    inside = Window.partitionBy(*on).orderBy(order)
+    inside = Window.partitionBy(*on).orderBy(order, *ties)
     return (
         df.withColumn("_block", _block(order, bits))
         .join(places, on)
@@ -65,9 +71,14 @@ def dense_index(
     keys: Sequence[str] = (),
     bits: int = BLOCK_BITS,
     name: str = "idx",
+    ties: Sequence[str] = (),
 ) -> DataFrame:
-    """Number the rows 0, 1, 2, ... by a unique whole-number column, per key if given."""
-    return _count_in_blocks(df, block_places(df, order, keys, bits), order, keys, bits, name)
+    """Number the rows 0, 1, 2, ... by a unique whole-number column, per key if given.
+
+    ``ties`` orders the rows if a few numbers may be equal.
+    """
+    places = block_places(df, order, keys, bits)
+    return _count_in_blocks(df, places, order, keys, bits, name, ties)
 
 
 def positional_split(
@@ -141,7 +152,8 @@ def epoch_order(
         return dense_index(df, key, (), BLOCK_BITS if bits is None else bits, name)
     draw = F.conv(F.substring(shuffle_key(key, f"{seed}/{epoch}"), 1, 15), 16, 10).cast("long")
     bits = HASH_BITS - 16 if bits is None else bits
-    return dense_index(df.withColumn("_draw", draw), "_draw", (), bits, name).drop("_draw")
+    drawn = df.withColumn("_draw", draw)
+    return dense_index(drawn, "_draw", (), bits, name, [key]).drop("_draw")
 
 
 def assign_batches(

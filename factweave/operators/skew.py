@@ -33,12 +33,14 @@ def join_to_unique(
     """Join many rows per key to a side with one row per key: inner, left, left_semi, left_anti.
 
     Rows of hot keys are spread over ``salts`` sub-keys by the hash of ``spread_by``, and the
-    one row of such a key is repeated for every sub-key. Rows without a key, which match
-    nothing, are spread too. The adaptive split of skewed partitions would not do: it needs
+    one row of such a key is repeated for every sub-key. The hash, unlike a running number, is
+    the same when a lost task is run again; rows are spread as far as they differ in
+    ``spread_by`` (all columns by default). Rows without a key, which match nothing, are spread
+    too. The adaptive split of skewed partitions would not do: it needs
     both sides fresh from a shuffle, and nothing after the join which relies on the key. Give
     ``hot`` (see ``hot_keys``) where the keys can be counted on a cheaper table than ``many``.
     """
-    spread = F.xxhash64(*([spread_by] if spread_by else [c for c in many.columns if c != key]))
+    spread = F.xxhash64(*([spread_by] if spread_by else many.columns))
     hot = hot_keys(many, key, min_rows) if hot is None else hot
     hot = F.broadcast(hot.withColumn("_hot", F.lit(True)))
     none = F.lit(0).cast("long")

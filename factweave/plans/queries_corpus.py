@@ -207,7 +207,7 @@ _DECOMPOSITION = (
     f"ELSE {q.strip('nature_question_sub_sentences_text')} END"
 )
 _PRESENT = "(nature_question_sub_sentences IS NOT NULL OR nature_question_sub_sentences_text IS NOT NULL)"
-_CAP = 4_000
+_CAP = 4_000  # the running cap of the training mode, set so that it cuts at the tested scales
 
 
 def _parser_sql(form: str) -> str:

@@ -8,7 +8,7 @@ from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
 from factweave.operators import inference
-from factweave.plans import trained
+from factweave.plans import evaluation, trained
 
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -106,3 +106,23 @@ def test_both_ways_give_the_same_paraphrase_results(spark):
     listed = trained.decompose_paraphrases(df, _model).select("item_id", RESULT)
     exploded = trained.decompose_exploded(df.drop(RESULT), _model).select("item_id", RESULT)
     assert sorted(map(str, listed.collect())) == sorted(map(str, exploded.collect()))
+
+
+def test_candidates_and_semantic_match_with_models(spark):
+    """Two candidates per question; the back-translation of the longer one is the question."""
+
+    def parser():
+        return lambda texts: [[f"<pad> count {t}</s>", f"find {t} all</s>"] for t in texts]
+
+    def back():
+        return lambda texts: ["<pad>" + t.removeprefix("find ").removesuffix(" all") for t in texts]
+
+    def embedder():
+        return lambda texts: [[float(t.startswith("count")), float(len(t))] for t in texts]
+
+    questions = spark.createDataFrame([(1, "x y"), (2, "z")], "example_id long, question string")
+    truths = spark.createDataFrame([(1, "find x y all"), (2, "count z")], "example_id long, answer string")
+    candidates = inference.generate_candidates(questions, "question", parser).drop("question")
+    assert sorted((r.example_id, r.cand_idx) for r in candidates.collect()) == [(1, 0), (1, 1), (2, 0), (2, 1)]
+    result = evaluation.evaluate_semantic_match(candidates, questions, truths, back, embedder).first()
+    assert (result.n, result.em) == (2, 0.5)
