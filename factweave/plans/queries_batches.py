@@ -138,7 +138,7 @@ def stub_embedder():
 
 
 _SHARES = ", ".join(
-    f"round(CAST((length(text) - length(replace(text, '{c}', ''))) / greatest(length(text), 1) AS FLOAT), 4) AS {c}"
+    f"round(CAST(CAST((length(text) - length(replace(text, '{c}', ''))) / greatest(length(text), 1) AS FLOAT) AS DOUBLE), 4) AS {c}"
     for c in "aeiou"
 )
 
@@ -148,5 +148,6 @@ def embedding_stub(spark, folder):
     rows = v.table(spark, folder, "documents", "doc_id").select("doc_id", "text")
     out = inference.with_embedding(rows, "text", stub_embedder)
     return out.select(
-        "doc_id", *[F.round(F.get("embedding", F.lit(i)), 4).alias(c) for i, c in enumerate("aeiou")]
+        "doc_id",
+        *[F.round(F.get("embedding", F.lit(i)).cast("double"), 4).alias(c) for i, c in enumerate("aeiou")],
     )
