@@ -2,13 +2,10 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
-from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from factweave.functions.text import (
     cut_at_stop,
@@ -18,28 +15,8 @@ from factweave.functions.text import (
     validate_decomposition,
 )
 from factweave.operators.inference import complete
-from factweave.operators.joins import attach, pending
+from factweave.plans.results import finish_in_chunks
 from factweave.schemas import DECOMPOSE_HEAD, SENTENCE_HEAD
-from factweave.session import work_dir
-from factweave.sources.sinks import chunk_of, write_results
-
-RESULTS = T.StructType(
-    [
-        T.StructField("item_id", T.StringType()),
-        T.StructField("sentence", T.StringType()),
-        T.StructField("sub_sentences", T.ArrayType(T.StringType())),
-    ]
-)
-
-
-def read_done(spark: SparkSession, path: str) -> DataFrame:
-    """Stored results; an empty table before the first run."""
-    try:
-        return spark.read.schema(RESULTS).parquet(path)
-    except AnalysisException as error:
-        if error.getCondition() != "PATH_NOT_FOUND":
-            raise
-        return spark.createDataFrame([], RESULTS)
 
 
 def training_questions(items: DataFrame) -> DataFrame:
@@ -82,48 +59,9 @@ def decompose_corpus(
     retry_rejected: bool = False,
     **options,
 ) -> DataFrame:
-    """Decompose all (item_id, sentence) rows without a result yet, chunk by chunk.
-
-    The remaining work is written once by chunk to the shared folder, so that each chunk reads
-    its own rows only, and each finished chunk is appended to ``out``: what was paid for
-    survives a lost executor or a stopped run.
-    """
-    spark = questions.sparkSession
-    done = read_done(spark, out)
-    todo = pending(questions, done, "item_id", "sub_sentences", retry_rejected)
-    todo = todo.where(F.col("sentence").isNotNull()).dropDuplicates(["item_id"])
-    work = f"{work_dir(spark)}/todo-{uuid.uuid4().hex}"
-    todo.withColumn("chunk", chunk_of("sentence", chunks)).write.partitionBy("chunk").parquet(work)
-    rows = spark.read.schema("item_id string, sentence string, chunk int").parquet(work)
-    for chunk in range(chunks):
-        part = rows.where(F.col("chunk") == chunk)
-        write_results(decompose(part, "sentence", completer, prefix, **options), out)
-    return latest_results(read_done(spark, out))
-
-
-def latest_results(done: DataFrame) -> DataFrame:
-    """One row per item; an accepted result goes before a rejected one."""
-    best = F.max(F.struct(F.size("sub_sentences").alias("n"), "sentence", "sub_sentences"))
-    return done.groupBy("item_id").agg(best.alias("r")).select(
-        "item_id", "r.sentence", "r.sub_sentences"
-    )
-
-
-def attach_training(items: DataFrame, results: DataFrame) -> DataFrame:
-    """Question records with the decomposition of their first paraphrase."""
-    column = "synthesis_question_paraphrases_sub_sentences"
-    entry = F.struct(F.col("sentence").alias("paraphrase"), "sub_sentences")
-    found = results.select("item_id", F.array(entry).alias("_new"))
-    joined = attach(items, found)
-    return joined.withColumn(column, F.coalesce(column, "_new")).drop("_new")
+    """Results of all (item_id, sentence) rows; only rows without a stored one are asked."""
 
+    def finish(part: DataFrame) -> DataFrame:
+        return decompose(part, "sentence", completer, prefix, **options)
 
-def attach_validation(items: DataFrame, results: DataFrame) -> DataFrame:
-    """Question records with the decomposition of the question which their split asks for."""
-    joined = attach(items, results.select("item_id", F.col("sub_sentences").alias("_new")))
-    dev = F.col("split") == "dev"
-    new = {
-        "synthesis_question_sub_sentences": F.when(dev, F.col("_new")),
-        "nature_question_sub_sentences": F.when(~dev | dev.isNull(), F.col("_new")),
-    }
-    return joined.withColumns({c: F.coalesce(c, value) for c, value in new.items()}).drop("_new")
+    return finish_in_chunks(questions, out, finish, chunks, retry_rejected)

@@ -11,6 +11,7 @@ from factweave.functions.text import clean_decoded, split_facts
 from factweave.operators.examples import check_complete, explode_paraphrases, regroup
 from factweave.operators.inference import generate, generate_lists
 from factweave.operators.joins import attach
+from factweave.plans.results import finish_in_chunks
 from factweave.schemas import FIRST_PARAPHRASES
 
 MakePredict = Callable[[], Callable[[list[str]], list[str]]]
@@ -25,6 +26,23 @@ def decompose_questions(
     return out.withColumn(f"{question}_sub_sentences", lines).drop("_generated")
 
 
+def decompose_corpus(
+    questions: DataFrame,
+    out: str,
+    make_predict: MakePredict,
+    chunks: int = 32,
+    batch_size: int = 64,
+) -> DataFrame:
+    """Results of all (item_id, sentence) rows, stored chunk by chunk; a new run goes on
+    where the last one stopped."""
+
+    def finish(part: DataFrame) -> DataFrame:
+        done = decompose_questions(part, make_predict, "sentence", batch_size)
+        return done.withColumnRenamed("sentence_sub_sentences", "sub_sentences")
+
+    return finish_in_chunks(questions, out, finish, chunks)
+
+
 def decompose_paraphrases(
     items: DataFrame,
     make_predict: MakePredict,

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from factweave.operators.joins import pending
-from factweave.plans.few_shot import decompose, read_done
+from factweave.plans.few_shot import decompose
+from factweave.plans.results import read_done
 from factweave.sources.sinks import write_results
 
 SMALL_BATCH = 100_000

@@ -6,7 +6,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from factweave.functions.text import is_decomposition, join_facts, render_prompt, split_facts
-from factweave.plans import few_shot
+from factweave.plans import few_shot, trained
+from factweave.plans import results as results_of
 from factweave.schemas import QUESTIONS
 from factweave.sources import corpus, fewshot, sinks
 from factweave.streaming.incremental import decompose_stream
@@ -177,7 +178,7 @@ def test_resumed_run_asks_nothing_twice(spark, records, tmp_path):
     assert got == {f"s{i} one": [f"FACT1: s{i} one", "Question: what?"] if i != 2 else [] for i in range(4)}
     few_shot.decompose_corpus(questions, out, ask, PREFIX, chunks=2, wait=0)
     assert calls.value == 4
-    attached = {r.nature_question: r for r in few_shot.attach_training(items, done).collect()}
+    attached = {r.nature_question: r for r in results_of.attach_training(items, done).collect()}
     entry = attached["n1"].synthesis_question_paraphrases_sub_sentences
     assert [tuple(e) for e in entry] == [("s1 one", ["FACT1: s1 one", "Question: what?"])]
     again = few_shot.decompose_corpus(questions, out, _completer(calls), PREFIX, chunks=1, retry_rejected=True, wait=0)
@@ -191,12 +192,32 @@ def test_validation_questions(spark, records):
     got = {r.item_id: r.sentence for r in asked.collect()}
     assert got == {"n0": "n0", "n1": "s1", "n2": "n2", "n3": "n3"}
     results = asked.withColumn("sub_sentences", F.array("sentence"))
-    rows = {r.item_id: r for r in few_shot.attach_validation(items, results).collect()}
+    rows = {r.item_id: r for r in results_of.attach_validation(items, results).collect()}
     assert rows["n1"].synthesis_question_sub_sentences == ["s1"] and rows["n1"].nature_question_sub_sentences is None
     assert rows["n2"].nature_question_sub_sentences == ["n2"] and rows["n2"].synthesis_question_sub_sentences is None
     assert rows["n0"].nature_question_sub_sentences == ["Question: n0?"]
 
 
+def test_resumed_model_run(spark, tmp_path):
+    out = str(tmp_path / "out")
+    calls = spark.sparkContext.accumulator(0)
+
+    def model():
+        def predict(texts):
+            calls.add(len(texts))
+            return [f"<pad> FACT1: {t}. <FACT-SEP> Question: {t}?</s>" for t in texts]
+
+        return predict
+
+    questions = spark.createDataFrame([(str(i), f"q{i}") for i in range(6)], "item_id string, sentence string")
+    trained.decompose_corpus(questions.where("item_id < '2'"), out, model, chunks=2)
+    done = trained.decompose_corpus(questions, out, model, chunks=2)
+    assert calls.value == 6
+    assert {r.item_id: r.sub_sentences for r in done.collect()} == {
+        str(i): [f"FACT1: q{i}.", f"Question: q{i}?"] for i in range(6)
+    }
+
+
 @pytest.mark.parametrize("small", [100_000, 0])
 def test_stream_decomposes_new_files_only(spark, tmp_path, monkeypatch, small):
     monkeypatch.setattr(incremental, "SMALL_BATCH", small)
@@ -220,5 +241,5 @@ def test_stream_decomposes_new_files_only(spark, tmp_path, monkeypatch, small):
     run()
     run()
     assert calls.value == 3
-    rows = few_shot.read_done(spark, out).orderBy("item_id").collect()
+    rows = results_of.read_done(spark, out).orderBy("item_id").collect()
     assert [(r.item_id, r.sub_sentences[0]) for r in rows] == [(str(i), f"FACT1: n{i}") for i in (1, 2, 3)]
