@@ -1,6 +1,7 @@
 """Joins between items and results on the item key.
 
-A key may have any number of items and of results; see ``skew`` for hot keys.
+A key may have any number of items; see ``skew`` for hot keys, and for ``hot_rows=None`` where
+the items are known to have different keys.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ def pending(
     key: str = "item_id",
     result: str | None = None,
     retry_rejected: bool = False,
-    hot_rows: int = HOT_ROWS,
+    hot_rows: int | None = HOT_ROWS,
 ) -> DataFrame:
     """Items without a result. Rejected items have an empty result and count as done,
     unless ``retry_rejected`` asks for them again."""
@@ -32,7 +33,7 @@ def pending(
 
 
 def completed(
-    items: DataFrame, done: DataFrame, key: str = "item_id", hot_rows: int = HOT_ROWS
+    items: DataFrame, done: DataFrame, key: str = "item_id", hot_rows: int | None = HOT_ROWS
 ) -> DataFrame:
     """Items with a result."""
     return join_to_unique(items, _keys(done, key), key, "left_semi", min_rows=hot_rows)
@@ -43,7 +44,7 @@ def attach(
     results: DataFrame,
     key: str = "item_id",
     how: str = "left",
-    hot_rows: int = HOT_ROWS,
+    hot_rows: int | None = HOT_ROWS,
 ) -> DataFrame:
     """Items with their result columns; results have one row per key."""
     return join_to_unique(items, results, key, how, min_rows=hot_rows)

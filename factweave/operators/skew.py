@@ -26,7 +26,7 @@ def join_to_unique(
     key: str,
     how: str = "inner",
     spread_by: str | None = None,
-    min_rows: int = HOT_ROWS,
+    min_rows: int | None = HOT_ROWS,
     salts: int = SALTS,
     hot: DataFrame | None = None,
 ) -> DataFrame:
@@ -36,10 +36,13 @@ def join_to_unique(
     one row of such a key is repeated for every sub-key. The hash, unlike a running number, is
     the same when a lost task is run again; rows are spread as far as they differ in
     ``spread_by`` (all columns by default). Rows without a key, which match nothing, are spread
-    too. The adaptive split of skewed partitions would not do: it needs
+    too. With ``min_rows=None``, for keys known to be unique, the join is a plain one and the
+    count is saved. The adaptive split of skewed partitions would not do: it needs
     both sides fresh from a shuffle, and nothing after the join which relies on the key. Give
     ``hot`` (see ``hot_keys``) where the keys can be counted on a cheaper table than ``many``.
     """
+    if min_rows is None:
+        return many.join(one, key, how)
     spread = F.xxhash64(*([spread_by] if spread_by else many.columns))
     hot = hot_keys(many, key, min_rows) if hot is None else hot
     hot = F.broadcast(hot.withColumn("_hot", F.lit(True)))

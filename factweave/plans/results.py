@@ -55,8 +55,10 @@ def finish_in_chunks(
     survives a lost executor or a stopped run. Equal sentences are in the same chunk.
     """
     spark = questions.sparkSession
-    todo = pending(questions, read_done(spark, out), "item_id", "sub_sentences", retry_rejected)
-    todo = todo.where(F.col("sentence").isNotNull()).dropDuplicates(["item_id"])
+    # Copies of an item collapse first; the join then uses the same partitioning.
+    unique = questions.where(F.col("sentence").isNotNull()).dropDuplicates(["item_id"])
+    done = read_done(spark, out)
+    todo = pending(unique, done, "item_id", "sub_sentences", retry_rejected, hot_rows=None)
     work = f"{work_dir(spark)}/todo-{uuid.uuid4().hex}"
     todo.withColumn("chunk", chunk_of("sentence", chunks)).write.partitionBy("chunk").parquet(work)
     rows = spark.read.schema("item_id string, sentence string, chunk int").parquet(work)

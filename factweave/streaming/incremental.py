@@ -17,14 +17,14 @@ SMALL_BATCH = 100_000
 
 
 def unseen(batch: DataFrame, done: DataFrame, key: str) -> DataFrame:
-    """Rows of the batch without a stored result.
+    """Rows of the batch, one per key, without a stored result.
 
     For a batch of counted, small size its keys go to the history, which is then scanned but
     not shuffled; a greater batch is joined the usual way.
     """
     keys = batch.select(key).distinct()
     if keys.limit(SMALL_BATCH + 1).count() > SMALL_BATCH:
-        return pending(batch, done, key)
+        return pending(batch, done, key, hot_rows=None)
     seen = done.select(key).join(F.broadcast(keys), key, "left_semi").distinct()
     return batch.join(seen, key, "left_anti")
 

@@ -96,7 +96,7 @@ def test_regroup_keeps_null_results_and_complains_about_missing_ones(spark):
         ex.check_complete(grouped, F.lit(3)).collect()
 
 
-@pytest.mark.parametrize("hot_rows", [2, 1_000_000])
+@pytest.mark.parametrize("hot_rows", [2, 1_000_000, None])
 def test_joins_on_the_key(spark, hot_rows):
     items = spark.createDataFrame([(str(i % 4), i) for i in range(8)], "item_id string, n int")
     keyless = spark.createDataFrame([(None, i) for i in range(9)], "item_id string, n int")

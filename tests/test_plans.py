@@ -7,7 +7,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from factweave.operators import order, runlog, scoring
+from factweave.operators import joins, order, runlog, scoring
 from factweave.operators.inference import complete
 from factweave.plans.catalog import QUERIES
 
@@ -88,3 +88,15 @@ def test_hot_prompt_is_split_when_answers_are_joined_back(spark):
     finally:
         for k, v in before.items():
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def test_remaining_work_is_found_with_one_shuffle_of_the_questions(spark):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        asked = spark.range(100).selectExpr("CAST(id % 7 AS STRING) AS item_id", "'s' AS sentence")
+        done = spark.range(3).selectExpr("CAST(id AS STRING) AS item_id")
+        todo = joins.pending(asked.dropDuplicates(["item_id"]), done, hot_rows=None)
+        assert plan_of(todo).count("Exchange hashpartitioning(item_id") == 2
+        assert todo.count() == 4
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
