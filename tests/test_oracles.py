@@ -6,6 +6,7 @@ import pytest
 
 import __spark_entry__ as entry_module
 from check_oracles import compare, database
+from factweave.plans.catalog import ORACLES, QUERIES
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -18,10 +19,11 @@ def db():
 
 
 def test_every_query_has_its_sql():
-    assert set(entry_module.oracle_sql()) == set(entry_module.queries())
+    assert set(ORACLES) == set(QUERIES)
+    assert set(entry_module.oracle_sql()) <= set(entry_module.queries())
 
 
-@pytest.mark.parametrize("name", sorted(entry_module.queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query_equals_sql(spark, db, name):
     ok, note = compare(name, spark, db, FOLDER)
     assert ok, note
