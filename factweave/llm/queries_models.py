@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from factweave.llm.ann import nearest
 from factweave.llm.quality import quality
 from factweave.llm.register import query, table
 from factweave.llm.toxicity import held_out, toxicity
@@ -23,3 +24,10 @@ def op3(spark, folder):
     held = held_out("doc_id", 5, 0)
     found = quality(table(spark, folder, "documents"), table(spark, folder, "labels"), held)
     return found.select(F.col("id").alias("doc_id"), "score", "predicted").withColumn("held_out", held)
+
+
+@query("op9_multi_index_neighbours")
+def op9(spark, folder):
+    """The five nearest vectors of every fiftieth vector."""
+    found = nearest(table(spark, folder, "embeddings"), F.col("id") % 50 == 0)
+    return found.withColumnRenamed("id", "vec_id")
