@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from factweave.llm.licenses import scan_licenses
 from factweave.llm.register import query, table
 from factweave.llm.tokens import with_token_counts
 
@@ -22,3 +23,9 @@ def op2(spark, folder):
     """Tokens of every document, and whether they are over a limit."""
     found = with_token_counts(table(spark, folder, "documents"), vocabulary(), TOKEN_LIMIT)
     return found.withColumnRenamed("id", "doc_id").select("doc_id", F.col("n_bytes"), "n_tokens", "over_limit")
+
+
+@query("op8_license_scan")
+def op8(spark, folder):
+    """License notices in every document."""
+    return scan_licenses(table(spark, folder, "documents")).withColumnRenamed("id", "doc_id")
