@@ -55,7 +55,7 @@ def split_key(keys: np.ndarray, buckets: int) -> np.ndarray:
 def per_bucket(cells: np.ndarray) -> list[tuple[int, slice]]:
     """The slices of sorted cells which belong to one bucket."""
     found, starts = np.unique(cells >> _32, return_index=True)
-    ends = [*starts[1:], len(cells)]
+    ends = [*starts[1:], len(cells)][: len(starts)]
     return [(int(b), slice(s, e)) for b, s, e in zip(found, starts, ends, strict=True)]
 
 

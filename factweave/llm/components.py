@@ -42,8 +42,8 @@ def _small_star(edges: DataFrame) -> DataFrame:
 
 
 def components(links: DataFrame) -> DataFrame:
-    """(node, root) for each node of the links (a, b); root is the least node it is linked with,
-    over any number of links. Both rounds combine minima before the shuffle and no neighbour list
+    """(node, root) for each node of the links (a, b) but the roots; root is the least node it is
+    linked with, over any number of links. Both rounds combine minima before the shuffle and no neighbour list
     is gathered. Each round is written to the shared folder."""
     folder = shared_folder(links.sparkSession, "links")
     state = F.struct(F.count("*"), F.coalesce(F.bit_xor(F.xxhash64("a", "b")), F.lit(0))).alias("state")
