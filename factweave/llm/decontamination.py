@@ -12,7 +12,8 @@ lies inside a passage. Items are indexed in blocks of at most ``INDEX_BYTES`` of
 time is sent to the executors, so neither they nor the driver hold more, however many items there are.
 
 Contract for odd input: null and empty texts match nothing; items without words or without an id are
-no items; an item with fewer words than a shingle is one shingle; equal items are reported each; a null
+no items; an item with fewer words than a shingle is one shingle; a question or answer that holds none
+is no obstacle; equal items are reported each; a null
 document id is kept; of several passages with one item the best score counts, then the first.
 """
 
@@ -203,7 +204,7 @@ class Scanner:
         if len(codes) < width:
             return None
         hit = np.isin(wanted, _shingles(codes, width))
-        question, answer = (float(hit[p].mean()) if p.any() else 0.0 for p in self.index.question[item])
+        question, answer = (float(hit[p].mean()) if p.any() else 1.0 for p in self.index.question[item])
         if hit.mean() < self.similarity or min(question, answer) < PART:
             return None
         return Match(item, passage, score, float(hit.mean()), question, answer)

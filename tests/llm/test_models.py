@@ -1,0 +1,168 @@
+from __future__ import annotations
+
+import random
+import zlib
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from factweave.llm import ann, quality, toxicity
+from factweave.llm.queries_models import held_out
+
+
+@pytest.fixture(scope="module")
+def labelled_docs(spark):
+    """Half of the texts hold an insult, a third are lists; some labels are null or repeated."""
+    rng = random.Random(8)
+    rows, labels = [], []
+    for i in range(400):
+        words = [rng.choice(("the", "and", "stone", "river", "walks", "green", "of", "house")) + rng.choice(("", "s", "ly")) for _ in range(rng.randrange(5, 80))]
+        toxic, junk = i % 2, i % 3 == 0
+        if toxic:
+            words[rng.randrange(len(words))] = rng.choice(("numpty", "Pillock!"))
+        rows.append((i, (" | " if junk else " ").join(words)))
+        labels += [(i, int(not junk), toxic)] * (1 + (i % 50 == 0))
+    labels += [(None, 1, 1), (5000, 1, 0), (3, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    return docs, spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+
+
+def test_held_out_is_crc32_of_the_id_as_text(spark):
+    ids = spark.createDataFrame([(i,) for i in [*range(50), None]], "doc_id long")
+    got = {r.doc_id: r.h for r in ids.select("doc_id", held_out("doc_id", 3, 1).alias("h")).collect()}
+    assert got == {i: zlib.crc32(str(i).encode()) % 3 == 1 for i in range(50)} | {None: False}
+
+
+def test_toxicity_of_unseen_texts(labelled_docs):
+    docs, labels = labelled_docs
+    held = held_out("doc_id", 3, 1)
+    got = toxicity.toxicity(docs, labels, held).select("doc.*", "score", "predicted").where(held).collect()
+    assert len(got) > 100 and np.mean([r.predicted == r.doc_id % 2 for r in got]) > 0.95
+    assert all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.7) for r in got)
+
+
+def test_held_out_labels_do_not_change_scores(labelled_docs):
+    docs, labels = labelled_docs
+    held = held_out("doc_id", 3, 1)
+    turned = labels.withColumn("toxic", F.when(held, 1 - F.col("toxic")).otherwise(F.col("toxic")))
+    one, two = (sorted((r.doc.doc_id, r.score) for r in toxicity.toxicity(docs, x, held).collect()) for x in (labels, turned))
+    assert one == two
+
+
+def test_toxicity_of_odd_rows(odd_docs, no_docs, labelled_docs):
+    _, labels = labelled_docs
+    got = toxicity.toxicity(odd_docs, labels, F.lit(False)).collect()
+    assert len(got) == odd_docs.count() and all(0 <= r.score <= 1 for r in got)
+    unlabelled = toxicity.toxicity(odd_docs, labels.where("false"), F.lit(False))
+    assert {r.score for r in unlabelled.collect()} == {0.5}
+    assert toxicity.toxicity(no_docs, labels, F.lit(False)).count() == 0
+
+
+def test_l1_leaves_few_weights():
+    rng = np.random.default_rng(1)
+    rows = [(np.unique(np.append(rng.integers(10, 1000, 30), [i % 2])), i % 2) for i in range(300)]
+    weights = toxicity.fit(rows, 1000, toxicity.Settings())
+    assert weights[1] > 1 > 0 > weights[0] and (weights[10:1000] != 0).mean() < 0.2
+
+
+def test_features_are_words_pairs_and_skips():
+    f = toxicity.Features()
+    a = f.places("you are a fool")
+    assert len(a) == 4 + 3 + 2 and len(f.places("")) == len(f.places(None)) == 0
+    assert set(a) & set(f.places("a fool"))
+    assert toxicity.Features().places("You ARE, a fool!").tolist() == a.tolist()
+
+
+def test_quality_of_unseen_texts(labelled_docs):
+    docs, labels = labelled_docs
+    held = held_out("doc_id", 5, 0)
+    got = quality.quality(docs, labels, held).withColumnRenamed("id", "doc_id").where(held).collect()
+    assert len(got) > 50 and np.mean([r.predicted == (r.doc_id % 3 != 0) for r in got]) > 0.95
+    assert all(r.predicted == (r.score >= 0.3) for r in got)
+
+
+def test_quality_of_odd_rows(odd_docs, no_docs, labelled_docs):
+    _, labels = labelled_docs
+    one_kind = labels.where("quality = 1")
+    got = quality.quality(odd_docs, one_kind, F.lit(False)).collect()
+    assert len(got) == odd_docs.count() and len({r.score for r in got}) == 1 and 0.5 < got[0].score < 1
+    assert {r.score for r in quality.quality(odd_docs, labels.where("false"), F.lit(False)).collect()} == {0.5}
+    assert quality.quality(no_docs, labels, F.lit(False)).count() == 0
+
+
+def test_statistics_by_hand(spark):
+    docs = spark.createDataFrame([(1, "Ab ab ab!\n\nC 12|"), (2, None), (3, "")], "doc_id long, text string")
+    found, _ = quality.statistics(docs, "doc_id", "text")
+    rows = {r.id: r for r in found.collect()}
+    assert (rows[1].word_length, rows[1].longest_word) == (16 / 5, 3)
+    assert (rows[1].different_words, rows[1].different_lines, rows[1].line_words) == (1.0, 1.0, 2.5)
+    assert (rows[1].upper, rows[1].digits, rows[1].bars, rows[1].exclaims) == (2 / 16, 2 / 16, 1 / 16, 1 / 16)
+    assert set(rows[2][1:]) == set(rows[3][1:]) == {0.0}
+
+
+def test_rules_are_compiled_as_they_score(spark):
+    rules = [((("a", True, 1.0), ("b", False, 2.0)), 0.7), ((("a", False, 1.0),), -0.4)]
+    rows = spark.createDataFrame([(0.0, 0.0), (2.0, 2.0), (2.0, 3.0)], "a double, b double")
+    got = [r.s for r in rows.select(quality.rule_score(rules, 0.1).alias("s")).collect()]
+    want = [1 / (1 + np.exp(-x)) for x in (0.1 - 0.4, 0.1 + 0.7, 0.1)]
+    assert np.allclose(got, want)
+
+
+def vectors(seed, n, width=8):
+    rng = np.random.default_rng(seed)
+    rows = rng.normal(size=(n, width)).astype(np.float32)
+    rows[n // 3 : 2 * n // 3] = rows[0]  # a third are copies
+    rows[10:20] = rows[10] * np.arange(1, 11)[:, None]
+    return [(i, [float(x) for x in r]) for i, r in enumerate(rows)]
+
+
+def plain_nearest(rows, k):
+    ids = np.array([i for i, _ in rows])
+    unit = np.array([v for _, v in rows])
+    unit = unit / np.sqrt((unit * unit).sum(axis=1))[:, None]
+    out = {}
+    for q in ids[ids % 50 == 0]:
+        score = unit @ unit[ids == q][0]
+        order = [i for i in np.lexsort((ids, -score.round(12))) if ids[i] != q][:k]
+        out[int(q)] = [(int(ids[i]), round(float(score[i]), 9)) for i in order]
+    return out
+
+
+def test_neighbours_with_copies_and_odd_vectors(spark):
+    rows = vectors(1, 600)
+    odd = [(700, None), (750, []), (800, [0.0] * 8), (850, [float("nan")] * 8), (900, [1.0] * 7), (950, [1.0, None] * 4), (None, [1.0] * 8), (960, [float("inf")] * 8)]
+    df = spark.createDataFrame([(*r, 1) for r in [*rows, rows[50], *odd]], "vec_id long, embedding array<float>, rank int")
+    got = {}
+    for r in ann.nearest(df, F.col("id") % 50 == 0, share=1.0).collect():
+        got.setdefault(r.query_id, {})[r.rank] = (r.id, round(r.score, 9))
+    want = plain_nearest(rows, 5)
+    assert set(got) == set(want)
+    for q, found in got.items():
+        assert [found[k] for k in range(1, 6)] == want[q]
+
+
+def test_neighbours_recall_and_parts(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    rows = [(i, [float(x) for x in r]) for i, r in enumerate(rng.normal(size=(3000, 16)))]
+    monkeypatch.setattr(ann, "PART_ROWS", 40)
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    found = ann.nearest(df, F.col("id") % 50 == 0, centroids=16, enough=100).collect()
+    want = plain_nearest(rows, 5)
+    got = {q: {r.id for r in found if r.query_id == q} for q in want}
+    assert np.mean([len(got[q] & {i for i, _ in want[q]}) / 5 for q in want]) >= 0.9
+
+
+def test_few_and_no_vectors(spark):
+    df = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.0, 1.0]), (2, [1.0, 1.0])], "vec_id long, embedding array<double>")
+    got = [(r.query_id, r["rank"], r.id) for r in ann.nearest(df, F.col("id") % 50 == 0).collect()]
+    assert sorted(got) == [(0, 1, 2), (0, 2, 1)]
+    assert ann.nearest(df.where("false"), F.col("id") == 0).count() == 0
+    assert ann.nearest(df.where("vec_id = 0"), F.col("id") == 0).count() == 0
+
+
+def test_pairs_come_by_summed_distance():
+    rng = np.random.default_rng(2)
+    a, b = rng.random(7), rng.random(5)
+    sums = [a[i] + b[j] for i, j in ann.pairs_by_distance(a, b)]
+    assert len(sums) == 35 and sums == sorted(sums)

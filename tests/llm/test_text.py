@@ -1,0 +1,203 @@
+from __future__ import annotations
+
+import random
+from collections import Counter as Counts
+
+import pytest
+from pyspark.sql import functions as F
+
+from factweave.llm import decontamination, licenses, tokens
+from factweave.llm.license_texts import TEMPLATES
+from factweave.llm.queries_text import vocabulary
+
+tokenizers = pytest.importorskip("tokenizers")
+PIECES = (
+    "a|b|the| |  |\n|\t|'|'s|'re|'r|'ve|'v|'ll|'l|n't|1|23|!|..|é|ñ|漢|😀|½|²|ß|_|-|<|endoftext|>|\r\n|don't|I'll|\x00|'S|\x1c|\x85|ⅷ|٣"
+).replace("<|endoftext|>", "<special>").split("|")
+
+
+@pytest.fixture(scope="module")
+def library():
+    return tokenizers.Tokenizer.from_file(vocabulary())
+
+
+@pytest.fixture(scope="module")
+def counter():
+    return tokens.Counter(vocabulary())
+
+
+def own_counts(library, texts):
+    return [len(e.ids) for e in library.encode_batch([t or "" for t in texts], add_special_tokens=False)]
+
+
+def test_token_counts_equal_the_library(counter, library, texts):
+    rng = random.Random(2)
+    some = ["".join(rng.choice(PIECES) for _ in range(rng.randrange(40))).replace("<special>", tokens.SPECIAL) for _ in range(3000)]
+    some += ["".join(chr(rng.choice((rng.randrange(32, 127), rng.randrange(0x3000)))) for _ in range(30)) for _ in range(2000)]
+    some += list(texts.values())
+    assert counter.count(some).tolist() == own_counts(library, some)
+
+
+def test_long_texts_are_counted_whole(counter, library, texts, monkeypatch):
+    monkeypatch.setattr(tokens, "PIECE", 1000)
+    assert counter.count([texts[408], texts[404] * 40]).tolist() == own_counts(library, [texts[408], texts[404] * 40])
+
+
+def test_chunks_meet_anywhere(counter, library, monkeypatch):
+    text = "I'll say  it's 12 o'clock,\n\n we've!' re 'll "
+    for size in (4, 8, 16):
+        monkeypatch.setattr(tokens, "CHUNK", size)
+        assert counter.count([text * 5, text]).tolist() == own_counts(library, [text * 5, text])
+
+
+def test_kept_words_and_states_may_be_dropped(library, texts, monkeypatch):
+    monkeypatch.setattr(tokens, "MAX_WORDS", 10)
+    monkeypatch.setattr(tokens, "MAX_STATES", 50)
+    some = list(texts.values())[:30]
+    assert tokens.Counter(vocabulary()).count(some).tolist() == own_counts(library, some)
+
+
+def test_token_query_rows(spark, odd_docs, no_docs, library, texts):
+    got = tokens.with_token_counts(odd_docs, vocabulary(), 512).collect()
+    want = dict(zip(texts, own_counts(library, texts.values()), strict=True))
+    assert len(got) == odd_docs.count()
+    for r in got:
+        if r.id is not None:
+            assert (r.n_bytes, r.n_tokens, r.over_limit) == (len((texts[r.id] or "").encode()), want[r.id], want[r.id] > 512)
+    assert tokens.with_token_counts(no_docs, vocabulary(), 512).count() == 0
+
+
+def shares(texts, items):
+    """Plain program: share of each item's five-word shingles that a text holds."""
+    def shingles(text):
+        w = decontamination.words_of(text or "")
+        return {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set()
+
+    wanted = {i: shingles(t) for i, t in items.items()}
+    out = {}
+    for d, t in texts.items():
+        mine, w = shingles(t), decontamination.words_of(t or "")
+        for i, s in wanted.items():
+            if s and len(next(iter(s))) < 5:
+                n = len(next(iter(s)))
+                mine_short = {tuple(w[k : k + n]) for k in range(len(w) - n + 1)}
+                out[d, i] = len(s & mine_short) / len(s)
+            elif s:
+                out[d, i] = len(s & mine) / len(s)
+    return out
+
+
+@pytest.fixture(scope="module")
+def leaks(texts):
+    rng = random.Random(9)
+    pool = [w for t in list(texts.values())[:40] for w in (t or "").split()]
+    items = {i: f"{' '.join(rng.choices(pool, k=rng.randrange(6, 50)))}. {' '.join(rng.choices(pool, k=rng.randrange(1, 12)))}" for i in range(40)}
+    items |= {100: "short item", 101: None, 102: "", 103: "!!", 104: items[3]}
+    docs = {i: t for i, t in texts.items() if i < 200}
+    for n, i in enumerate(range(0, 60, 3)):
+        item = items[n].split()
+        if n % 4 == 1:  # a word in the middle changed
+            item[len(item) // 2] = "changed"
+        if n % 4 == 2:  # half of it
+            item = item[: len(item) // 2]
+        docs[i] = f"{docs[i]} #{' '.join(item)}, {docs[i]}"
+    docs[900] = "a short item, too"
+    docs[901] = items[5].upper()
+    return docs, items
+
+
+def test_matches_equal_plain_shares(spark, leaks):
+    docs, items = leaks
+    d = spark.createDataFrame(list(docs.items()), "doc_id long, text string")
+    b = spark.createDataFrame([*items.items(), (None, "no id at all here")], "item_id long, text string")
+    got = {(r.id, r.item_id): r for r in decontamination.contaminated(d, b).collect()}
+    want = {k: s for k, s in shares(docs, items).items() if s >= 0.8}
+    assert len(want) > 10 and (900, 100) in want
+    assert {k: round(r.overlap, 9) for k, r in got.items()} == {k: round(s, 9) for k, s in want.items()}
+    assert all(r.score >= 0.5 and min(r.question_overlap, r.answer_overlap) >= 0.5 for r in got.values())
+    kept = {r.doc_id for r in decontamination.without_benchmark(d, b).collect()}
+    assert kept == set(docs) - {d for d, _ in want}
+
+
+def test_retrieval_equals_scoring_every_item(leaks):
+    docs, items = leaks
+    index = decontamination.Index([t for t in items.values() if decontamination.words_of(t or "")])
+    import numpy as np
+
+    for text in list(docs.values())[:20]:
+        known = {index.terms[w] for w in decontamination.words_of(text or "") if w in index.terms}
+        terms = np.array(sorted(known), np.int64)
+        if not len(terms):
+            continue
+        for least in (0.2, 0.5):
+            score = Counts()
+            for t in terms:
+                for at in range(index.first[t], index.first[t + 1]):
+                    score[int(index.item[at])] += index.impact[at]
+            want = {i: round(s, 9) for i, s in score.items() if s >= least}
+            got = index.retrieve(np.zeros(len(terms), np.int64), terms, 1, least)
+            assert {i: round(s, 9) for _, i, s in got} == want
+
+
+def test_indexes_in_blocks_and_odd_tables(spark, leaks, odd_docs, no_docs, monkeypatch):
+    docs, items = leaks
+    d = spark.createDataFrame(list(docs.items()), "doc_id long, text string")
+    b = spark.createDataFrame(list(items.items()), "item_id long, text string")
+    whole = {(r.id, r.item_id) for r in decontamination.contaminated(d, b).collect()}
+    monkeypatch.setattr(decontamination, "INDEX_BYTES", 4000)
+    assert {(r.id, r.item_id) for r in decontamination.contaminated(d, b).collect()} == whole
+    none = b.where("false")
+    assert decontamination.contaminated(odd_docs, none).count() == 0
+    assert decontamination.without_benchmark(odd_docs, none).count() == odd_docs.count()
+    assert decontamination.contaminated(no_docs, b).count() == 0
+
+
+def plain_lis(values):
+    best = [1] * len(values)
+    for i in range(len(values)):
+        for j in range(i):
+            if values[j] < values[i]:
+                best[i] = max(best[i], best[j] + 1)
+    return max(best, default=0)
+
+
+def test_longest_increasing():
+    rng = random.Random(4)
+    for _ in range(100):
+        values = rng.sample(range(50), rng.randrange(20))
+        found = [values[i] for i in licenses.longest_increasing(values)]
+        assert found == sorted(found) and len(found) == plain_lis(values)
+
+
+def test_alignment_is_in_order_and_of_equal_words():
+    rng = random.Random(6)
+    for _ in range(200):
+        a, b = rng.choices("abcdefgh", k=rng.randrange(15)), rng.choices("abcdefgh", k=rng.randrange(15))
+        pairs = licenses.align(a, b)
+        assert all(a[i] == b[j] for i, j in pairs)
+        assert all(p[0] < q[0] and p[1] < q[1] for p, q in zip(pairs, pairs[1:], strict=False))
+    assert licenses.align(list("abcd"), list("abcd")) == [(i, i) for i in range(4)]
+    assert len(licenses.align("x a x b x".split(), "x a x b x".split())) == 5
+
+
+def test_licenses_whole_changed_and_strewn(spark, odd_docs, no_docs, texts):
+    mit, words = TEMPLATES["MIT"], TEMPLATES["MIT"].split()
+    changed = " ".join("thing" if i % 9 == 4 else w for i, w in enumerate(words))
+    strewn = " filler ".join(" filler ".join(w for _ in (0,)) + " filler" * 10 for w in TEMPLATES["Apache-2.0 (named)"].split())
+    rows = [
+        (1, f"{texts[408]} {mit.upper()} {texts[3]}"),
+        (2, changed),
+        (3, " ".join(words[: len(words) // 2])),
+        (4, strewn),
+        (5, "Foo. Released under the MIT License.\nAll rights reserved."),
+        (6, None),
+    ]
+    got = {r.id: r for r in licenses.scan_licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert (got[1].license, got[1].coverage) == ("MIT", 1.0) and got[1].hits[0].first_word == 30_000
+    assert got[2].license == "MIT" and 0.85 < got[2].coverage < 0.95
+    assert [got[i].license for i in (3, 4, 6)] == [None] * 3 and got[6].hits == []
+    assert [h.license for h in got[5].hits] == ["All rights reserved", "MIT (named)"]
+    assert licenses.scan_licenses(odd_docs).where(F.col("license").isNull()).count() == odd_docs.count()
+    assert licenses.scan_licenses(no_docs).count() == 0
+    with pytest.raises(ValueError):
+        licenses.Scanner({"x": "!!"}, 0.8)
