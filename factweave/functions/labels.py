@@ -45,7 +45,8 @@ def _numbers_in_order(size: Column, seed: int, key: Column) -> Column:
 
 
 def relabel_entities(c: Column | str, key: Column | str, seed: int = 666, compat: bool = False) -> Column:
-    """Permute the numbers of ENTITY1..m, m being the greatest number in the text.
+    """Permute the entity numbers which the text names among themselves. What is kept per row is
+    bounded by the text, whatever numbers are in it.
 
     ``compat=True`` takes for m the smallest number whose label is found as a substring, and
     replaces substrings: then texts which name ENTITY1 (or ENTITY10 and so on) stay as they are.
@@ -66,11 +67,13 @@ def relabel_entities(c: Column | str, key: Column | str, seed: int = 666, compat
             F.coalesce(F.array_min(found), F.lit(1)),
             lambda last: F.when(last == 1, c).otherwise(replaced(last)),
         )
-    ids = F.regexp_extract_all(c, F.lit("ENTITY([0-9]{1,9})"), F.lit(1)).cast("array<int>")
-    last = F.coalesce(F.array_max(ids), F.lit(0))
+    ids = F.regexp_extract_all(c, F.lit("ENTITY([0-9]{1,9})(?![0-9])"), F.lit(1)).cast("array<int>")
     return let(
-        _numbers_in_order(last, seed, key),
-        lambda order: _relabel(c, "ENTITY", lambda n: F.array_position(order, n)),
+        F.array_sort(F.array_distinct(ids)),
+        lambda there: let(
+            F.sort_array(F.transform(there, lambda n: F.struct(_draw(seed, key, n).alias("draw"), n.alias("number"))))["number"],
+            lambda drawn: _relabel(c, "ENTITY", lambda n: F.get(there, F.array_position(drawn, n).cast("int") - 1)),
+        ),
     )
 
 

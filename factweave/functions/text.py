@@ -81,9 +81,10 @@ def is_decomposition(lines: Column | str) -> Column:
 
 def validate_decomposition(lines: Column | str) -> Column:
     """The lines, or none of them if any line has no label."""
-    lines = _col(lines)
-    return F.when(is_decomposition(lines), lines).when(
-        lines.isNotNull(), F.array().cast("array<string>")
+    none = F.array().cast("array<string>")
+    return let(
+        _col(lines),
+        lambda x: F.when(is_decomposition(x), x).when(x.isNotNull(), none),
     )
 
 

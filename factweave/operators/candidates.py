@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 from factweave.functions.arrays import cosine
 from factweave.operators.scoring import with_bleu, with_f1
-from factweave.operators.skew import HOT_ROWS, hot_keys, join_to_unique
+from factweave.operators.skew import HOT_ROWS, hot_keys, join_to_unique, partitions
 
-QUANTILES = ", ".join(f"{i / 64}D" for i in range(1, 64))
+CUTS = 1_024
+QUANTILES = ", ".join(f"{i / CUTS}D" for i in range(1, CUTS))
 PART_BITS = 16  # 65,536 candidate numbers per part of equal scores
 
 
@@ -19,40 +20,53 @@ def rank_candidates(
     example: str = "example_id",
     tie: str = "cand_idx",
     top: int | None = None,
-    hot_rows: int = HOT_ROWS,
+    hot_rows: int | None = HOT_ROWS,
     hot: DataFrame | None = None,
 ) -> DataFrame:
-    """Rank by falling score, equal scores in candidate order.
+    """Rank by falling score, equal scores in candidate order; NULL and NaN are no score and come last.
 
     With ``top`` Spark drops the rows beyond it in every task before the shuffle. The full
-    ranking sorts an example's candidates in one task, except for the (at most 1,000) examples
-    with very many of them: quantiles of their scores cut those into parts of like size, and
-    ranks are counted inside the parts, after the rows of better parts.
+    ranking sorts an example's candidates in one task, except for examples with very many of them
+    (see ``hot_keys``): quantiles of their scores, more for more rows and up to 1,024, cut those into
+    parts of like size, and ranks are counted inside the parts, after the rows of better parts. The
+    input is computed once, dealt by example and candidate, and read from that shuffle by each step.
     """
-    order = [F.desc(score), F.asc(tie)]
-    if top is not None:
+    known = F.nanvl(F.col(score).cast("double"), F.lit(None).cast("double"))
+    order = [F.desc_nulls_last("_known"), F.asc(tie)]
+    kept, df = df.columns, df.withColumn("_known", known)
+    if top is not None or hot_rows is None and hot is None:
         rank = F.row_number().over(Window.partitionBy(example).orderBy(*order)).cast("long")
-        return df.withColumn("rank", rank).where(F.col("rank") <= top)
-    hot = F.broadcast(hot_keys(df, example, hot_rows) if hot is None else hot)
-    cuts = df.join(hot, example, "left_semi").groupBy(example).agg(
-        F.expr(f"array_distinct(percentile_approx(`{score}`, array({QUANTILES})))").alias("_cuts")
+        ranked = df.withColumn("rank", rank).select(*kept, "rank")
+        return ranked if top is None else ranked.where(F.col("rank") <= top)
+    df = df.repartition(partitions(df), example, tie)
+    hot = hot_keys(df, example, hot_rows) if hot is None else hot
+    cuts = df.join(F.broadcast(hot), example).groupBy(example).agg(
+        F.expr(f"percentile_approx(_known, array({QUANTILES}))").alias("_all"), F.first("salts").alias("_n")
     )
-    # Usual examples are one part, 0, which starts at 0. A score so frequent that it fills a
-    # part is itself a quantile: its rows are a part of their own, and cut by candidate number.
-    greater = F.size(F.filter("_cuts", lambda cut: cut > F.col(score)))
-    equal = F.array_contains("_cuts", F.col(score))
+    # Every so many of the quantiles, so that there are as many parts as the example has salts.
+    step = F.greatest(F.lit(CUTS) / F.col("_n"), F.lit(1.0))
+    some = F.filter("_all", lambda _, i: F.floor((i + 1) / step) > F.floor(i / step))
+    cuts = cuts.select(example, F.array_distinct(F.coalesce(some, F.array().cast("array<double>"))).alias("_cuts"))
+    # Usual examples are one part, 0, which starts at 0. A score so frequent that it fills a part is
+    # itself a quantile: its rows are a part of their own, and cut by candidate number. So are rows
+    # without a score, the last part.
+    greater = F.size(F.filter("_cuts", lambda cut: cut > F.col("_known")))
+    equal = F.col("_known").isNull() | F.array_contains("_cuts", F.col("_known"))
+    last = 2 * F.size("_cuts") + 2
+    part = F.when(F.col("_known").isNull(), last).otherwise(2 * greater + F.array_contains("_cuts", F.col("_known")).cast("int"))
     block = F.shiftright(F.col(tie).cast("long"), PART_BITS)
+    usual = F.col("_cuts").isNull()
     rows = (
         df.join(F.broadcast(cuts), example, "left")
-        .withColumn("_part", F.when(F.col("_cuts").isNull(), 0).otherwise(2 * greater + equal.cast("int")))
-        .withColumn("_sub", F.when(equal, block).otherwise(0))
+        .withColumn("_part", F.when(usual, 0).otherwise(part))
+        .withColumn("_sub", F.when(~usual & equal, block).otherwise(0))
     )
     parts = [example, "_part", "_sub"]
     better = Window.partitionBy(example).orderBy("_part", "_sub").rowsBetween(
         Window.unboundedPreceding, -1
     )
     starts = (
-        rows.where(F.col("_cuts").isNotNull())
+        rows.where(~usual)
         .groupBy(*parts)
         .agg(F.count("*").alias("_rows"))
         .select(*parts, F.sum("_rows").over(better).alias("_start"))
@@ -62,14 +76,15 @@ def rank_candidates(
     return (
         rows.join(starts, parts, "left")
         .withColumn("rank", start + F.row_number().over(inside))
-        .select(*df.columns, "rank")
+        .select(*kept, "rank")
     )
 
 
 def _best(df: DataFrame, score: str, example: str, tie: str, carry: list[str]) -> DataFrame:
     """The best row of every example as an aggregate, combined before the shuffle."""
+    known = F.nanvl(F.col(score).cast("double"), F.lit(None).cast("double"))
     best = F.max(
-        F.struct(F.col(score).alias("s"), (-F.col(tie)).alias("t"), *[F.col(c) for c in carry])
+        F.struct(known.alias("s"), (-F.col(tie)).alias("t"), *[F.col(c) for c in carry])
     )
     return df.groupBy(example).agg(best.alias("_b"), F.count("*").alias("n_candidates")).select(
         example,
@@ -80,18 +95,29 @@ def _best(df: DataFrame, score: str, example: str, tie: str, carry: list[str]) -
     )
 
 
+def _paired(
+    candidates: DataFrame, one: DataFrame, example: str, hot_rows: int | None, hot: DataFrame | None
+) -> DataFrame:
+    """Candidates with their example's row. Candidates may come from a model, so where their hot
+    keys are counted they are dealt out once, and both the count and the join read that shuffle."""
+    if hot is None and hot_rows is not None:
+        candidates = candidates.repartition(partitions(candidates), example, "cand_idx")
+    return join_to_unique(candidates, one, example, "inner", "cand_idx", hot_rows, hot)
+
+
 def best_of_n(
     candidates: DataFrame,
     truths: DataFrame,
     example: str = "example_id",
-    hot_rows: int = HOT_ROWS,
+    hot_rows: int | None = HOT_ROWS,
+    hot: DataFrame | None = None,
 ) -> DataFrame:
     """The candidate with the best F1 per example, the first of equals, with all its scores.
 
     ``candidates(example, cand_idx, prediction)``, ``truths(example, answer)``. BLEU is
     computed after the choice, for one candidate per example.
     """
-    paired = join_to_unique(candidates, truths, example, "inner", "cand_idx", hot_rows)
+    paired = _paired(candidates, truths, example, hot_rows, hot)
     scored = with_f1(paired)
     chosen = _best(scored, "f1", example, "cand_idx", ["em", "prediction", "answer"])
     return with_bleu(chosen)
@@ -101,10 +127,11 @@ def similarity(
     candidates: DataFrame,
     questions: DataFrame,
     example: str = "example_id",
-    hot_rows: int = HOT_ROWS,
+    hot_rows: int | None = HOT_ROWS,
+    hot: DataFrame | None = None,
 ) -> DataFrame:
     """Cosine of each candidate's vector ``embedding`` with its question's ``question_embedding``."""
-    paired = join_to_unique(candidates, questions, example, "inner", "cand_idx", hot_rows)
+    paired = _paired(candidates, questions, example, hot_rows, hot)
     return paired.withColumn("similarity", cosine("embedding", "question_embedding"))
 
 
@@ -113,10 +140,11 @@ def semantic_rerank(
     questions: DataFrame,
     example: str = "example_id",
     carry: tuple[str, ...] = ("prediction",),
-    hot_rows: int = HOT_ROWS,
+    hot_rows: int | None = HOT_ROWS,
+    hot: DataFrame | None = None,
 ) -> DataFrame:
     """The candidate whose question, translated back, is most like the original question."""
-    near = similarity(candidates, questions, example, hot_rows)
+    near = similarity(candidates, questions, example, hot_rows, hot)
     return _best(near, "similarity", example, "cand_idx", list(carry))
 
 
@@ -125,8 +153,9 @@ def rerank_scores(
     questions: DataFrame,
     truths: DataFrame,
     example: str = "example_id",
-    hot_rows: int = HOT_ROWS,
+    hot_rows: int | None = HOT_ROWS,
+    hot: DataFrame | None = None,
 ) -> DataFrame:
     """Scores of the re-ranked choice against the truth."""
-    chosen = semantic_rerank(candidates, questions, example, ("prediction",), hot_rows)
+    chosen = semantic_rerank(candidates, questions, example, ("prediction",), hot_rows, hot)
     return with_bleu(with_f1(chosen.join(truths, example)))

@@ -10,23 +10,15 @@ from pyspark.sql import functions as F
 
 from factweave.functions.text import decomposition_text, strip
 from factweave.operators.order import head_n, positional_split
-from factweave.schemas import (
-    DECOMPOSER_DEV,
-    DECOMPOSER_TRAIN,
-    FIRST_PARAPHRASES,
-    MAX_INPUT,
-    MAX_OUTPUT,
-    NATURAL_CAP,
-)
-
-# form, mode -> whether a decomposition must be there, how many rows at most (0: all)
+
+# form, mode -> whether a decomposition must be there
 PARSER_MODES = {
-    ("decomposition", "train"): (True, NATURAL_CAP),
-    ("decomposition", "dev"): (True, 0),
-    ("decomposition", "test"): (True, 0),
-    ("plain", "train"): (True, NATURAL_CAP),
-    ("plain", "dev"): (False, 0),
-    ("plain", "test"): (True, 0),
+    ("decomposition", "train"): True,
+    ("decomposition", "dev"): True,
+    ("decomposition", "test"): True,
+    ("plain", "train"): True,
+    ("plain", "dev"): False,
+    ("plain", "test"): True,
 }
 
 
@@ -45,19 +37,13 @@ def where_nonempty(df: DataFrame, c: str) -> DataFrame:
 
 
 def length_filter(
-    df: DataFrame,
-    inputs: str = "input_ids",
-    outputs: str = "output_ids",
-    in_max: int = MAX_INPUT,
-    out_max: int = MAX_OUTPUT,
+    df: DataFrame, in_max: int, out_max: int, inputs: str = "input_ids", outputs: str = "output_ids"
 ) -> DataFrame:
     """Rows with fewer input and output ids than the limits."""
     return df.where((F.size(outputs) < out_max) & (F.size(inputs) < in_max))
 
 
-def explode_paraphrases(
-    df: DataFrame, paraphrases: str, k: int = FIRST_PARAPHRASES
-) -> DataFrame:
+def explode_paraphrases(df: DataFrame, paraphrases: str, k: int) -> DataFrame:
     """One row per paraphrase for the first k, with its place ``pos``; other columns stay."""
     rest = [c for c in df.columns if c != paraphrases]
     return df.select(*rest, F.posexplode(F.slice(paraphrases, 1, k)).alias("pos", "paraphrase"))
@@ -66,21 +52,24 @@ def explode_paraphrases(
 def regroup(
     results: DataFrame,
     key: str,
+    k: int,
     values: dict[str, Column] | None = None,
-    k: int = FIRST_PARAPHRASES,
     name: str = "results",
 ) -> DataFrame:
     """Per-paraphrase rows back to one row per item, in order, with their number.
 
     One aggregate per place 0..k-1 instead of a collected list: the state has a fixed size and
     is combined before the shuffle, also where one key has very many rows. ``n_results`` counts
-    all rows of the key; the caller compares it with what was sent (see ``check_complete``).
+    all rows of the key; the caller compares it with what was sent (see ``check_complete``). A row
+    at a place from k on fails the job.
     """
     values = values or {
         "paraphrase": F.col("paraphrase"),
         "sub_sentences": F.col("sub_sentences"),
     }
     entry = F.struct(*[v.alias(c) for c, v in values.items()])
+    beyond = F.raise_error(F.concat(F.lit(f"result beyond place {k}: "), F.col("pos").cast("string")))
+    results = results.withColumn("pos", F.when(F.col("pos") < k, F.col("pos")).otherwise(beyond))
     places = [F.max(F.when(F.col("pos") == i, entry)).alias(f"_{i}") for i in range(k)]
     return (
         results.groupBy(key)
@@ -128,17 +117,15 @@ def parser_examples(
 ) -> DataFrame:
     """Question form as input, program as output, by mode and form (see ``PARSER_MODES``).
 
-    ``num_examples`` cuts the examples once more, as the registry's limits ask for.
+    All rows, unless the caller sets ``cap`` (the running cap of training) or ``num_examples``.
     """
-    needs_lines, limit = PARSER_MODES[form, mode]
-    rows = where_present(df, lines, text) if needs_lines else df
+    rows = where_present(df, lines, text) if PARSER_MODES[form, mode] else df
     asked = decomposition_text(lines, text) if form == "decomposition" else strip(question)
-    limits = [n for n in (limit if cap is None else cap, num_examples) if n > 0]
+    limits = [n for n in (cap, num_examples) if n and n > 0]
     rows = head_n(rows, min(limits, default=0), order)
     return rows.select(order, *keep, asked.alias("question"), strip("program").alias("program"))
 
 
-def decomposer_split(examples: DataFrame, mode: str, order: str = "ord") -> DataFrame:
-    """Training or development rows of the decomposer, by their place among the examples."""
-    lo, hi = {"train": DECOMPOSER_TRAIN, "dev": DECOMPOSER_DEV}[mode]
+def decomposer_split(examples: DataFrame, lo: int, hi: int, order: str = "ord") -> DataFrame:
+    """The examples at the places lo, ..., hi - 1."""
     return positional_split(examples, lo, hi, order).drop("idx")

@@ -26,6 +26,20 @@ def _with_retry(call: Callable[[str], str], text: str, retries: int, wait: float
             time.sleep(wait)
 
 
+def _called(call: Callable[[list], list], values: list, batch_size: int) -> list:
+    """Outputs of a batch function in batches; None goes past it and stays None."""
+    given = [v for v in values if v is not None]
+    out: list = []
+    for i in range(0, len(given), batch_size):
+        part = given[i : i + batch_size]
+        answers = list(call(part))
+        if len(answers) != len(part):
+            raise ValueError(f"{len(answers)} outputs for {len(part)} inputs")
+        out.extend(answers)
+    answers = iter(out)
+    return [None if v is None else next(answers) for v in values]
+
+
 def complete(
     df: DataFrame,
     prompt: str,
@@ -39,27 +53,29 @@ def complete(
 ) -> DataFrame:
     """Add the completion of each row's prompt.
 
-    Equal prompts are asked once: they collapse before the shuffle, and the answers are
-    joined back. ``prefix`` and ``suffix`` go around the text on the worker, so the few-shot
+    Equal prompts are asked once: they collapse before the shuffle, and the answers are joined
+    back. Prompts meet by their SHA-256, so that the joins sort and compare 32 bytes. ``prefix`` and ``suffix`` go around the text on the worker, so the few-shot
     blocks are neither shuffled nor compared. ``parallel_calls`` bounds the calls at a time.
     A call which fails on every try fails its task, which Spark then runs again.
     """
-    distinct = df.select(F.col(prompt)).where(F.col(prompt).isNotNull()).distinct()
+    key = F.unhex(F.sha2(F.col(prompt), 256))
+    asked = df.where(F.col(prompt).isNotNull()).select(key.alias("_key"), F.col(prompt).alias("_prompt")).distinct()
     if parallel_calls:
-        distinct = distinct.repartition(parallel_calls, prompt)
+        asked = asked.repartition(parallel_calls, "_key")
     schema = T.StructType(
-        [T.StructField(prompt, T.StringType()), T.StructField(name, T.StringType())]
+        [T.StructField("_key", T.BinaryType()), T.StructField(name, T.StringType())]
     )
 
     def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             answers = [
                 _with_retry(completer, prefix + text + suffix, retries, wait)
-                for text in batch[prompt]
+                for text in batch["_prompt"]
             ]
-            yield pd.DataFrame({prompt: batch[prompt], name: answers})
+            yield pd.DataFrame({"_key": batch["_key"], name: answers})
 
-    return df.join(distinct.mapInPandas(ask, schema), prompt, "left")
+    keyed = df.withColumn("_key", key)
+    return keyed.join(asked.mapInPandas(ask, schema), "_key", "left").select(*df.columns, name)
 
 
 def generate(
@@ -76,11 +92,7 @@ def generate(
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         predict = make_predict()
         for batch in batches:
-            texts = batch.tolist()
-            out: list[str] = []
-            for i in range(0, len(texts), batch_size):
-                out.extend(predict(texts[i : i + batch_size]))
-            yield pd.Series(out)
+            yield pd.Series(_called(predict, batch.tolist(), batch_size), dtype=object)
 
     return df.withColumn(name, run(F.col(text)))
 
@@ -100,10 +112,7 @@ def generate_lists(
         for batch in batches:
             lists = [list(x) if x is not None else None for x in batch]
             flat = [text for x in lists if x for text in x]
-            out: list[str] = []
-            for i in range(0, len(flat), batch_size):
-                out.extend(predict(flat[i : i + batch_size]))
-            answers = iter(out)
+            answers = iter(_called(predict, flat, batch_size))
             yield pd.Series([None if x is None else [next(answers) for _ in x] for x in lists])
 
     return df.withColumn(name, run(F.col(texts)))
@@ -122,25 +131,23 @@ def generate_candidates(
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         predict = make_predict()
         for batch in batches:
-            texts = batch.tolist()
-            out: list[list[str]] = []
-            for i in range(0, len(texts), batch_size):
-                out.extend(predict(texts[i : i + batch_size]))
-            yield pd.Series(out)
+            yield pd.Series(_called(predict, batch.tolist(), batch_size), dtype=object)
 
     return df.select("*", F.posexplode(run(F.col(text))).alias("cand_idx", "prediction"))
 
 
 def _mapped(
-    df: DataFrame, text: str, make: Callable[[], Callable[[list[str]], list]], kind: str, name: str
+    df: DataFrame, column: str, make: Callable[[], Callable[[list], list]], kind: str, name: str, batch_size: int
 ) -> DataFrame:
     @F.pandas_udf(kind)
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        encode = make()
+        call = make()
         for batch in batches:
-            yield pd.Series([list(x) for x in encode(batch.tolist())])
+            values = [v if v is None or isinstance(v, str) else list(v) for v in batch]
+            out = _called(call, values, batch_size)
+            yield pd.Series([v if v is None or isinstance(v, str) else list(v) for v in out], dtype=object)
 
-    return df.withColumn(name, run(F.col(text)))
+    return df.withColumn(name, run(F.col(column)))
 
 
 def with_ids(
@@ -148,9 +155,22 @@ def with_ids(
     text: str,
     make_tokenizer: Callable[[], Callable[[list[str]], list[list[int]]]],
     name: str = "input_ids",
+    batch_size: int = 1_024,
+) -> DataFrame:
+    """Add token ids from a user's tokenizer, made once per task; no ids for no text."""
+    return _mapped(df, text, make_tokenizer, "array<int>", name, batch_size)
+
+
+def with_text(
+    df: DataFrame,
+    ids: str,
+    make_decoder: Callable[[], Callable[[list[list[int]]], list[str]]],
+    name: str = "text",
+    batch_size: int = 1_024,
 ) -> DataFrame:
-    """Add token ids from a user's tokenizer, made once per task."""
-    return _mapped(df, text, make_tokenizer, "array<int>", name)
+    """Add the texts of token ids from a user's decoder, made once per task: predictions and labels
+    come as ids. Label ids go through ``strip_pad`` first, texts through ``clean_decoded`` after."""
+    return _mapped(df, ids, make_decoder, "string", name, batch_size)
 
 
 def with_embedding(
@@ -158,9 +178,10 @@ def with_embedding(
     text: str,
     make_embedder: Callable[[], Callable[[list[str]], list[list[float]]]],
     name: str = "embedding",
+    batch_size: int = 1_024,
 ) -> DataFrame:
-    """Add vectors from a user's embedder, made once per task."""
-    return _mapped(df, text, make_embedder, "array<float>", name)
+    """Add vectors from a user's embedder, made once per task; no vector for no text."""
+    return _mapped(df, text, make_embedder, "array<float>", name, batch_size)
 
 
 def word_tokens(c: Column | str) -> Column:

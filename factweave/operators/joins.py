@@ -46,5 +46,10 @@ def attach(
     how: str = "left",
     hot_rows: int | None = HOT_ROWS,
 ) -> DataFrame:
-    """Items with their result columns; results have one row per key."""
-    return join_to_unique(items, results, key, how, min_rows=hot_rows)
+    """Items with their result columns. A key with two results fails the job instead of repeating
+    its items; see ``results.latest_results`` for tables which results are appended to."""
+    columns = [c for c in results.columns if c != key]
+    alone = F.when(F.col("_n") > 1, F.raise_error(F.lit("two results for one key"))).otherwise(F.col("_r"))
+    one = results.groupBy(key).agg(F.first(F.struct(*columns)).alias("_r"), F.count("*").alias("_n"))
+    one = one.select(key, alone.alias("_r")).select(key, *[F.col(f"_r.{c}").alias(c) for c in columns])
+    return join_to_unique(items, one, key, how, min_rows=hot_rows)

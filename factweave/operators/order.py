@@ -1,9 +1,11 @@
 """Places, limits, slices, strides, shuffles and batches over an ordered corpus.
 
-Rows carry their place in a unique whole-number column. Places are counted per block of
-that column: one narrow aggregate gives the rows per block, a running sum over the short
-block table gives the place of the first row, and ``row_number`` counts inside each block. No
-window ever holds more than one block, and no step collects the first n rows of every task.
+Rows carry their place in a unique whole-number column, dense or sparse. Places are counted per
+block of that column: one narrow aggregate gives the rows per block, running sums over the block
+table give the place of each block's first row, and ``row_number`` counts inside each block. The
+block table may be as long as the corpus if numbers are sparse, so its running sums are taken on
+levels, each in groups of 65,536 numbers of the level below. No window ever holds more than that,
+and no step collects the first n rows of every task.
 """
 
 from __future__ import annotations
@@ -17,7 +19,8 @@ from factweave.functions.arrays import pad_to
 from factweave.schemas import INPUT_PAD, LABEL_PAD
 
 BLOCK_BITS = 16  # 65,536 consecutive numbers per block
-BROADCAST_BLOCKS = 1_000_000
+LEVEL_BITS = 16  # numbers of one level in a group of the next
+NUMBER_BITS = 64
 HASH_BITS = 60
 
 
@@ -25,25 +28,44 @@ def _block(order: str, bits: int) -> Column:
     return F.shiftright(F.col(order).cast("long"), bits)
 
 
+def running_starts(
+    counts: DataFrame, number: str, rows: str, keys: Sequence[str], bits: int, name: str
+) -> DataFrame:
+    """Add the sum of ``rows`` over all smaller numbers of the same keys; a number has ``bits`` bits.
+
+    Sums inside groups of 2^16 consecutive numbers are windows over such a group; the sums before the
+    groups are found the same way from one row per group, until one group is left.
+    """
+    if bits <= LEVEL_BITS:
+        before = Window.partitionBy(*keys).orderBy(number).rowsBetween(Window.unboundedPreceding, -1)
+        return counts.withColumn(name, F.coalesce(F.sum(rows).over(before), F.lit(0)))
+    group, start = f"_g{bits}", f"_s{bits}"
+    grouped = counts.withColumn(group, F.shiftright(number, LEVEL_BITS))
+    inside = Window.partitionBy(*keys, group).orderBy(number).rowsBetween(Window.unboundedPreceding, -1)
+    sums = grouped.groupBy(*keys, group).agg(F.sum(rows).alias("_group_rows"))
+    starts = running_starts(sums, group, "_group_rows", keys, bits - LEVEL_BITS, start).drop("_group_rows")
+    here = F.coalesce(F.sum(rows).over(inside), F.lit(0))
+    return (
+        grouped.withColumn("_here", here)
+        .join(starts, [*keys, group])
+        .withColumn(name, F.col(start) + F.col("_here"))
+        .drop("_here", group, start)
+    )
+
+
 def block_places(
-    df: DataFrame, order: str, keys: Sequence[str] = (), bits: int = BLOCK_BITS
+    df: DataFrame, order: str, keys: Sequence[str] = (), bits: int = BLOCK_BITS, number_bits: int = NUMBER_BITS
 ) -> DataFrame:
     """Rows of each block and the place of its first row, from the order column alone.
 
-    With 10^11 rows the table has some 1.5 million blocks of 24 bytes.
+    With 10^11 rows at dense numbers the table has some 1.5 million blocks of 24 bytes; with sparse
+    numbers at most a block per row. ``number_bits``: how many bits the numbers have.
     """
     placed = F.when(F.col(order).isNull(), F.raise_error(F.lit(f"row without {order}"))).otherwise(
         _block(order, bits)
     )
     counts = df.groupBy(*keys, placed.alias("_block")).agg(F.count("*").alias("_block_rows"))
-    before = (
-        Window.partitionBy(*[F.col(k) for k in keys])
-        .orderBy("_block")
-        .rowsBetween(Window.unboundedPreceding, -1)
-    )
-    return counts.withColumn(
-        "_block_start", F.coalesce(F.sum("_block_rows").over(before), F.lit(0))
-    )
+    return running_starts(counts, "_block", "_block_rows", keys, number_bits - bits, "_block_start")
 
 
 def _count_in_blocks(
@@ -72,12 +94,13 @@ def dense_index(
     bits: int = BLOCK_BITS,
     name: str = "idx",
     ties: Sequence[str] = (),
+    number_bits: int = NUMBER_BITS,
 ) -> DataFrame:
     """Number the rows 0, 1, 2, ... by a unique whole-number column, per key if given.
 
     ``ties`` orders the rows if a few numbers may be equal.
     """
-    places = block_places(df, order, keys, bits)
+    places = block_places(df, order, keys, bits, number_bits)
     return _count_in_blocks(df, places, order, keys, bits, name, ties)
 
 
@@ -87,9 +110,9 @@ def positional_split(
     """Rows at the places lo, ..., hi - 1, with their place.
 
     Only blocks which reach into the range are kept, before any row is moved, and their first
-    and last numbers are a filter of the scan, which skips row groups of a sorted corpus. There
-    are at most hi - lo + 1 such blocks, for a block has at least one row; up to a million they
-    are broadcast, beyond that the join is left to Spark.
+    and last numbers are a filter of the scan, which skips row groups of a sorted corpus. They are
+    two scalars, since a field of one struct would not reach the scan; both read the same shuffles.
+    There are at most hi - lo + 1 such blocks, for a block has at least one row.
     """
     blocks = block_places(df, order, (), bits).where(
         (F.col("_block_start") < hi) & (F.col("_block_start") + F.col("_block_rows") > lo)
@@ -97,8 +120,6 @@ def positional_split(
     first = blocks.agg(F.shiftleft(F.min("_block"), bits)).scalar()
     end = blocks.agg(F.shiftleft(F.max("_block") + 1, bits)).scalar()
     near = df.where((F.col(order) >= first) & (F.col(order) < end))
-    if hi - lo < BROADCAST_BLOCKS:
-        blocks = F.broadcast(blocks)
     return _count_in_blocks(near, blocks, order, (), bits, name).where(
         (F.col(name) >= lo) & (F.col(name) < hi)
     )
@@ -146,14 +167,15 @@ def epoch_order(
 ) -> DataFrame:
     """Place of each row in one pass: random per (seed, epoch), or the corpus order.
 
-    The first 60 bits of the hash take the part of the order column, 2^16 blocks by default.
+    The first 60 bits of the hash take the part of the order column, 2^16 blocks by default; the
+    corpus order takes the blocks of the column itself, whatever its numbers.
     """
     if seed is None:
         return dense_index(df, key, (), BLOCK_BITS if bits is None else bits, name)
     draw = F.conv(F.substring(shuffle_key(key, f"{seed}/{epoch}"), 1, 15), 16, 10).cast("long")
     bits = HASH_BITS - 16 if bits is None else bits
     drawn = df.withColumn("_draw", draw)
-    return dense_index(drawn, "_draw", (), bits, name, [key]).drop("_draw")
+    return dense_index(drawn, "_draw", (), bits, name, [key], HASH_BITS).drop("_draw")
 
 
 def assign_batches(

@@ -13,6 +13,8 @@ from operator import and_
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from factweave.operators.skew import HOT_ROWS, join_to_unique
+
 STEP_BITS = 16  # 65,536 consecutive steps per block
 START = -1.0  # fixed value: best score before the first evaluation
 PATIENCE = 10
@@ -46,10 +48,13 @@ def improvements(
 ) -> DataFrame:
     """Best value before each row, whether the row beats it, and failures in a row so far.
 
-    ``(run, step)`` is unique. With ``reset_every`` the best value starts again at each step
+    ``(run, step)`` is unique and given; a value may be NULL or NaN, which never improves. With ``reset_every`` the best value starts again at each step
     which it divides, before the comparison; the failures then count within that stretch.
     """
     keys = [run]
+    # The key itself fails the job: a filter beside it might be moved below and hide such rows.
+    for c in (run, "step"):
+        log = log.withColumn(c, F.when(F.col(c).isNull(), F.raise_error(F.lit(f"row without {c}"))).otherwise(F.col(c)))
     if reset_every:
         log = log.withColumn("stretch", F.expr(f"step div {int(reset_every)}"))
         keys.append("stretch")
@@ -59,15 +64,18 @@ def improvements(
     previous = inside.rowsBetween(Window.unboundedPreceding, -1)
 
     # A row's mark is its value and its place, earlier places greater: the greatest mark up to
-    # a row tells the best value and where it was first reached.
-    # The NULL test stands here, before the paths part, so that both read one shuffle.
+    # a row tells the best value and where it was first reached. A row without run or step fails
+    # the job. NaN and NULL are no value: they are never better, and no later value is compared
+    # with them; Spark orders NaN above all numbers.
+    known = F.nanvl(F.col("value").cast("double"), F.lit(None).cast("double"))
     rows = (
         log.withColumn("_block", F.shiftright("step", bits))
-        .where(reduce(and_, [F.col(c).isNotNull() for c in blocked]))
+        .where(reduce(and_, [F.col(c).isNotNull() for c in blocked]))  # so that both paths read one shuffle
         .withColumn("_n", F.row_number().over(inside))
-        .withColumn("_mark", F.struct(F.col("value").alias("v"), (-F.col("_n")).alias("at")))
+        .withColumn("_known", known)
+        .withColumn("_mark", F.when(F.col("_known").isNotNull(), F.struct(F.col("_known").alias("v"), (-F.col("_n")).alias("at"))))
         .withColumn("_now", F.max("_mark").over(so_far))
-        .withColumn("_before", F.max("value").over(previous))
+        .withColumn("_before", F.max("_known").over(previous))
     )
     blocks = rows.groupBy(*blocked).agg(F.max("_mark").alias("_top"), F.max("_n").alias("_rows"))
     before = Window.partitionBy(*keys).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
@@ -80,9 +88,9 @@ def improvements(
     return (
         rows.join(blocks, blocked)
         .withColumn("best_before", F.greatest(F.lit(start), F.col("_carry.v"), F.col("_before")))
-        .withColumn("improved", (F.col("value") > F.col("best_before")).cast("int"))
+        .withColumn("improved", F.coalesce(F.col("_known") > F.col("best_before"), F.lit(False)).cast("int"))
         .withColumn("failures", F.col("_offset") + F.col("_n") - last)
-        .drop("_block", "_n", "_mark", "_offset", "_carry", "_before", "_now")
+        .drop("_block", "_known", "_n", "_mark", "_offset", "_carry", "_before", "_now")
     )
 
 
@@ -123,11 +131,13 @@ def expired(
     name: str = "name",
     run: str = "run",
     prefix: str = "checkpoint",
+    hot_rows: int | None = HOT_ROWS,
 ) -> DataFrame:
     """All versions but the newest k of each run; none when k is absent or not positive.
 
     The newest k are found by a limited window, which drops rows in each task before the
-    shuffle; the rest is a join with one row per run, which Spark can split.
+    shuffle; the rest is a join with one row per run, in which the rows of a hot run are spread
+    over sub-keys (see ``skew``).
     """
     rows = versions.withColumn("step", version_step(name, prefix)).where(F.col("step").isNotNull())
     if not k or k <= 0:
@@ -140,7 +150,8 @@ def expired(
         .select(run, F.struct("step", name).alias("_oldest_kept"))
     )
     older = F.struct("step", name) < F.col("_oldest_kept")
-    return rows.join(kept, run).where(older).drop("_oldest_kept")
+    joined = join_to_unique(rows, kept, run, "inner", name, hot_rows)
+    return joined.where(older).drop("_oldest_kept")
 
 
 def metric_keys(log: DataFrame, tag: str = "tag", step: str = "step") -> DataFrame:

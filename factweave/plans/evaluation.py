@@ -21,7 +21,7 @@ def decoded(df: DataFrame, *columns: str) -> DataFrame:
 
 
 def truth_ids(df: DataFrame, ids: str = "label_ids") -> DataFrame:
-    """Label ids without padding, ready for a user's decoder."""
+    """Label ids without padding, ready for ``inference.with_text``."""
     return df.withColumn(ids, strip_pad(ids))
 
 

@@ -15,7 +15,7 @@ from factweave.functions.text import (
     validate_decomposition,
 )
 from factweave.operators.inference import complete
-from factweave.plans.results import finish_in_chunks
+from factweave.plans.results import CHUNK_ROWS, finish_in_chunks
 from factweave.schemas import DECOMPOSE_HEAD, SENTENCE_HEAD
 
 
@@ -53,15 +53,17 @@ def decompose(
 def decompose_corpus(
     questions: DataFrame,
     out: str,
+    work: str,
     completer: Callable[[str], str],
     prefix: str,
-    chunks: int = 32,
+    chunk_rows: int = CHUNK_ROWS,
     retry_rejected: bool = False,
     **options,
 ) -> DataFrame:
-    """Results of all (item_id, sentence) rows; only rows without a stored one are asked."""
+    """Results of all (item_id, sentence) rows; only rows without a stored one are asked. ``work`` is a
+    shared folder for the remaining work."""
 
     def finish(part: DataFrame) -> DataFrame:
         return decompose(part, "sentence", completer, prefix, **options)
 
-    return finish_in_chunks(questions, out, finish, chunks, retry_rejected)
+    return finish_in_chunks(questions, out, work, finish, chunk_rows, retry_rejected)

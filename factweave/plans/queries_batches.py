@@ -8,6 +8,7 @@ from factweave.functions.text import join_facts
 from factweave.operators import inference, order
 from factweave.plans import sqltext as q
 from factweave.plans import standins as v
+from factweave.plans.evaluation import decoded, truth_ids
 from factweave.plans.few_shot import decompose
 from factweave.plans.queries_text import EXAMPLE_BLOCKS
 from factweave.plans.registry import query
@@ -86,10 +87,12 @@ def stub_model():
 @query(
     "generate_stub",
     """SELECT doc_id, len(w) AS n_lines, array_to_string(w, '|') AS lines FROM (
-         SELECT doc_id, list_reverse(string_split(text, ' ')) AS w FROM documents)""",
+         SELECT doc_id, CASE WHEN doc_id % 10 <> 0 THEN list_reverse(string_split(text, ' ')) END AS w FROM documents)""",
 )
 def generate_stub(spark, folder):
-    rows = v.table(spark, folder, "documents", "doc_id").select("doc_id", "text")
+    """A tenth of the texts is absent and does not go to the model."""
+    absent = F.when(F.col("doc_id") % 10 != 0, F.col("text")).alias("text")
+    rows = v.table(spark, folder, "documents", "doc_id").select("doc_id", absent)
     out = decompose_questions(rows, stub_model, "text")
     return out.select(
         "doc_id",
@@ -109,7 +112,7 @@ def generate_paraphrases_stub(spark, folder):
     items = v.paraphrase_items(spark, folder).withColumnRenamed(
         "paraphrases", "synthesis_question_paraphrases"
     )
-    filled = decompose_exploded(items, stub_model)
+    filled = decompose_exploded(items, stub_model, 5)
     shown = F.transform(
         "synthesis_question_paraphrases_sub_sentences",
         lambda r: F.concat(r["paraphrase"], F.lit("="), F.array_join(r["sub_sentences"], "|")),
@@ -132,6 +135,26 @@ def ids_stub(spark, folder):
     return out.select("doc_id", F.array_join(F.col("ids").cast("array<string>"), " ").alias("ids"))
 
 
+def stub_decoder():
+    """Ids back to a text with the marks which a decoder leaves."""
+    return lambda lists: ["<pad> " + " ".join(chr(96 + i % 26 + 1) * (i % 3) for i in ids) + "</s>" for ids in lists]
+
+
+@query(
+    "decode_stub",
+    """SELECT doc_id, array_to_string(list_filter(list_transform(string_split(text, ' '),
+         lambda w: repeat(chr(CAST(97 + length(w) % 26 AS INTEGER)), length(w) % 3)), lambda s: s <> ''), ' ') AS decoded
+       FROM documents""",
+)
+def decode_stub(spark, folder):
+    """Padded label ids of each text to a cleaned text."""
+    rows = v.table(spark, folder, "documents", "doc_id").select("doc_id", "text")
+    ids = inference.with_ids(rows, "text", stub_tokenizer, "label_ids").drop("text")
+    padded = ids.withColumn("label_ids", F.concat("label_ids", F.array_repeat(F.lit(-100), 3)))
+    texts = inference.with_text(truth_ids(padded), "label_ids", stub_decoder)
+    return decoded(texts, "text").select("doc_id", F.col("text").alias("decoded"))
+
+
 def stub_embedder():
     """Share of each vowel in a text, as a vector."""
     return lambda texts: [[t.count(c) / max(len(t), 1) for c in "aeiou"] for t in texts]

@@ -24,13 +24,13 @@ def _done(spark, folder):
 @query("pending_anti", "SELECT doc_id, n_chars FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
 def pending_anti(spark, folder):
     items = _documents(spark, folder).select("doc_id", "n_chars")
-    return joins.pending(items, _done(spark, folder), "doc_id")
+    return joins.pending(items, _done(spark, folder), "doc_id", hot_rows=None)  # ids are unique
 
 
 @query("completed_semi", "SELECT doc_id, n_chars FROM documents WHERE doc_id IN (SELECT doc_id FROM labels)")
 def completed_semi(spark, folder):
     items = _documents(spark, folder).select("doc_id", "n_chars")
-    return joins.completed(items, _done(spark, folder), "doc_id")
+    return joins.completed(items, _done(spark, folder), "doc_id", hot_rows=None)
 
 
 @query(
@@ -39,7 +39,7 @@ def completed_semi(spark, folder):
 )
 def attach_left(spark, folder):
     items = _documents(spark, folder).select("doc_id", "n_chars")
-    return joins.attach(items, _done(spark, folder), "doc_id")
+    return joins.attach(items, _done(spark, folder), "doc_id", hot_rows=None)
 
 
 @query(
@@ -65,18 +65,23 @@ def head_limit(spark, folder):
 )
 def positional_split(spark, folder):
     rows = v.table(spark, folder, "orders").select(F.col("o_orderkey").alias("ord"))
-    parts = [ex.decomposer_split(rows, mode).withColumn("mode", F.lit(mode)) for mode in ("train", "dev")]
-    return parts[0].unionByName(parts[1])
+    train = ex.decomposer_split(rows, 0, 5_000).withColumn("mode", F.lit("train"))
+    dev = ex.decomposer_split(rows, 5_000, 5_300).withColumn("mode", F.lit("dev"))
+    return train.unionByName(dev)
+
+
+_SPARSE = (2_654_435_761, (1 << 61) - 1)  # places all over the range of a long, no two the same
 
 
 @query(
     "stride_sample",
-    """SELECT doc_id, n_chars FROM (
-         SELECT doc_id, n_chars, row_number() OVER (ORDER BY doc_id) - 1 AS i FROM documents)
+    f"""SELECT doc_id, n_chars FROM (
+         SELECT doc_id, n_chars, row_number() OVER (ORDER BY (doc_id * {_SPARSE[0]}) % {_SPARSE[1]}) - 1 AS i FROM documents)
        WHERE i % 20 = 0""",
 )
 def stride_sample(spark, folder):
-    return order.stride(_documents(spark, folder).select("doc_id", "n_chars"), 20, "doc_id")
+    place = (F.col("doc_id") * _SPARSE[0] % _SPARSE[1]).alias("place")
+    return order.stride(_documents(spark, folder).select("doc_id", "n_chars", place), 20, "place").drop("place")
 
 
 @query(
@@ -127,7 +132,7 @@ def first_of_paraphrases(spark, folder):
         FROM (SELECT item_id, paraphrases, unnest(range(1, least(len(paraphrases), 5) + 1)) AS i FROM paraphrase_items)""",
 )
 def paraphrase_explode(spark, folder):
-    return ex.explode_paraphrases(v.paraphrase_items(spark, folder), "paraphrases")
+    return ex.explode_paraphrases(v.paraphrase_items(spark, folder), "paraphrases", 5)
 
 
 @query(
@@ -138,12 +143,12 @@ def paraphrase_explode(spark, folder):
         FROM paraphrase_items""",
 )
 def paraphrase_regroup(spark, folder):
-    rows = ex.explode_paraphrases(v.paraphrase_items(spark, folder), "paraphrases")
+    rows = ex.explode_paraphrases(v.paraphrase_items(spark, folder), "paraphrases", 5)
     answer = {
         "paraphrase": F.col("paraphrase"),
         "answer": F.length("paraphrase").cast("string"),
     }
-    grouped = ex.regroup(rows, "item_id", answer)
+    grouped = ex.regroup(rows, "item_id", 5, answer)
     shown = F.transform("results", lambda r: F.concat_ws(" => ", r["paraphrase"], r["answer"]))
     return grouped.select("item_id", "n_results", F.array_join(shown, "\n").alias("results"))
 
@@ -173,17 +178,17 @@ def nonempty_filter(spark, folder):
 @query(
     "length_filter",
     rf"""SELECT doc_id, len(i) AS n_input, len(o) AS n_output FROM (
-           SELECT doc_id, {q.words(r"regexp_replace(string_split(text, chr(10))[1], '\s+', ' ', 'g')")} AS i,
-             {q.words(r"regexp_replace(text, '\s+', ' ', 'g')")} AS o FROM documents)
-         WHERE len(o) < 300 AND len(i) < 100""",
+           SELECT doc_id, {q.words(r"regexp_replace(text, '\s+', ' ', 'g')")} AS i,
+             string_split(text, chr(10)) AS o FROM documents)
+         WHERE len(i) < 300 AND len(o) < 6""",
 )
 def length_filter(spark, folder):
     rows = _documents(spark, folder).select(
         "doc_id",
-        word_tokens(F.substring_index("text", "\n", 1)).alias("input_ids"),
-        word_tokens("text").alias("output_ids"),
+        word_tokens("text").alias("input_ids"),
+        F.split("text", "\n").alias("output_ids"),
     )
-    return ex.length_filter(rows).select(
+    return ex.length_filter(rows, 300, 6).select(
         "doc_id",
         F.size("input_ids").cast("long").alias("n_input"),
         F.size("output_ids").cast("long").alias("n_output"),
@@ -207,18 +212,15 @@ _DECOMPOSITION = (
     f"ELSE {q.strip('nature_question_sub_sentences_text')} END"
 )
 _PRESENT = "(nature_question_sub_sentences IS NOT NULL OR nature_question_sub_sentences_text IS NOT NULL)"
-_CAP = 4_000  # the running cap of the training mode, set so that it cuts at the tested scales
 
 
 def _parser_sql(form: str) -> str:
     asked = _DECOMPOSITION if form == "decomposition" else q.strip("nature_question")
     dev = f"split = 'dev' AND {_PRESENT}" if form == "decomposition" else "split = 'dev'"
     return f"""WITH {v.QUESTIONS_SQL},
-    ranked AS (SELECT *, row_number() OVER (PARTITION BY split ORDER BY ord) AS i FROM questions WHERE {_PRESENT}),
     chosen AS (
-      SELECT * FROM ranked WHERE split = 'train' AND i <= {_CAP}
-      UNION ALL SELECT * FROM ranked WHERE split = 'test'
-      UNION ALL SELECT *, 0 FROM questions WHERE {dev})
+      SELECT * FROM questions WHERE split IN ('train', 'test') AND {_PRESENT}
+      UNION ALL SELECT * FROM questions WHERE {dev})
     SELECT ord, split, {asked} AS question, {q.strip('program')} AS program FROM chosen"""
 
 
@@ -226,13 +228,7 @@ def _parser_examples(form):
     def build(spark, folder):
         rows = v.questions(spark, folder)
         parts = [
-            ex.parser_examples(
-                rows.where(F.col("split") == mode),
-                mode,
-                form,
-                cap=_CAP if mode == "train" else None,
-                keep=("split",),
-            )
+            ex.parser_examples(rows.where(F.col("split") == mode), mode, form, keep=("split",))
             for mode in ("train", "dev", "test")
         ]
         return parts[0].unionByName(parts[1]).unionByName(parts[2])

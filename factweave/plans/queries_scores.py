@@ -172,17 +172,21 @@ def best_of_n(spark, folder):
 
 @query(
     "rank_candidates",
-    f"""WITH {v.CANDIDATES_SQL}, {q.scored('cands', 'example_id, cand_idx')}
+    f"""WITH {v.CANDIDATES_SQL}, {q.scored('cands', 'example_id, cand_idx')},
+        gaps AS (SELECT example_id, cand_idx, CASE WHEN cand_idx % 4 NOT IN (2, 3) THEN f1 END AS score FROM scores)
         SELECT example_id, cand_idx,
-          row_number() OVER (PARTITION BY example_id ORDER BY f1 DESC, cand_idx) AS rank
-        FROM scores""",
+          row_number() OVER (PARTITION BY example_id ORDER BY score DESC NULLS LAST, cand_idx) AS rank
+        FROM gaps""",
 )
 def rank_candidates(spark, folder):
+    """A fourth of the candidates each has NULL and NaN for a score, which come last."""
     candidates, truths = v.turn_candidates(spark, folder)
     hot = hot_keys(candidates, "example_id")
     paired = join_to_unique(candidates, truths, "example_id", spread_by="cand_idx", hot=hot)
-    scored = scoring.with_f1(paired, em=False).select("example_id", "cand_idx", "f1")
-    return cand.rank_candidates(scored, "f1", hot=hot).drop("f1")
+    turn = F.col("cand_idx") % 4
+    gaps = F.when(turn == 2, F.lit(None)).when(turn == 3, F.lit(float("nan"))).otherwise(F.col("f1"))
+    scored = scoring.with_f1(paired, em=False).select("example_id", "cand_idx", gaps.alias("score"))
+    return cand.rank_candidates(scored, "score", hot=hot).drop("score")
 
 
 @query(

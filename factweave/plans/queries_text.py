@@ -159,16 +159,32 @@ def _drawn(size: str, source: str) -> str:
 @query(
     "relabel_entities",
     f"""WITH {v.QUESTIONS_SQL},
-    texts AS (SELECT ord, {q.join_facts('lines')} AS txt FROM questions),
-    sized AS (
-      SELECT ord, txt, list_max(list_transform(regexp_extract_all(txt, 'ENTITY([0-9]+)', 1), lambda s: CAST(s AS INTEGER))) AS m
-      FROM texts),
-    {_drawn('m', 'sized')}
-    SELECT t.ord, {_renumber('ENTITY', 11)} AS decomposition, txt AS compatible
-    FROM sized t JOIN perms p ON p.ord = t.ord""",
+    texts AS (
+      SELECT ord, CASE WHEN ord % 3 = 0 THEN replace(txt, 'ENTITY1', 'ENTITY4') ELSE txt END AS txt
+      FROM (SELECT ord, {q.join_facts('lines')} AS txt FROM questions)),
+    numbers AS (SELECT DISTINCT ord, CAST(unnest(regexp_extract_all(txt, 'ENTITY([0-9]+)', 1)) AS INTEGER) AS i FROM texts),
+    drawn AS (
+      SELECT ord, i, row_number() OVER (PARTITION BY ord ORDER BY md5('666:' || ord || ':' || i)) AS r,
+        row_number() OVER (PARTITION BY ord ORDER BY i) AS place FROM numbers),
+    renamed AS (SELECT a.ord, a.i, b.i AS new FROM drawn a JOIN drawn b ON b.ord = a.ord AND b.place = a.r),
+    perms AS (
+      SELECT t.ord, list(new ORDER BY n) AS perm
+      FROM (SELECT ord, unnest(range(1, 42)) AS n FROM texts) t LEFT JOIN renamed r ON r.ord = t.ord AND r.i = n GROUP BY t.ord),
+    least_label AS (
+      SELECT ord, list_min(list_filter(range(1, 31), lambda i: contains(txt, 'ENTITY' || i))) AS m FROM texts),
+    upto AS (SELECT ord, m, unnest(range(1, m + 1)) AS i FROM least_label),
+    compat AS (
+      SELECT ord, m, r FROM (
+        SELECT *, row_number() OVER (PARTITION BY ord ORDER BY md5('666:' || ord || ':' || i)) AS r FROM upto) WHERE i = m)
+    SELECT t.ord, {_renumber('ENTITY', 41)} AS decomposition,
+      CASE WHEN m > 1 THEN replace(txt, 'ENTITY' || m, 'ENTITY' || r) ELSE txt END AS compatible
+    FROM texts t JOIN perms p ON p.ord = t.ord LEFT JOIN compat c ON c.ord = t.ord""",
 )
 def relabel_entities(spark, folder):
-    rows = v.questions(spark, folder).select("ord", text.join_facts("lines").alias("txt"))
+    """A third of the texts do not name ENTITY1, so that the compatible mode changes them."""
+    txt = text.join_facts("lines")
+    other = F.when(F.col("ord") % 3 == 0, F.replace(txt, F.lit("ENTITY1"), F.lit("ENTITY4"))).otherwise(txt)
+    rows = v.questions(spark, folder).select("ord", other.alias("txt"))
     return rows.select(
         "ord",
         labels.relabel_entities("txt", "ord").alias("decomposition"),

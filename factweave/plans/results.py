@@ -11,9 +11,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from factweave.operators.joins import attach, pending
-from factweave.session import work_dir
+from factweave.schemas import PARAPHRASE_RESULT
 from factweave.sources.sinks import chunk_of, write_results
 
+CHUNK_ROWS = 1_000_000
+WRITERS = 8  # tasks which write one chunk
 RESULTS = T.StructType(
     [
         T.StructField("item_id", T.StringType()),
@@ -23,48 +25,75 @@ RESULTS = T.StructType(
 )
 
 
-def read_done(spark: SparkSession, path: str) -> DataFrame:
-    """Stored results; an empty table before the first run."""
+PARAPHRASE_RESULTS = T.StructType(
+    [
+        T.StructField("item_id", T.StringType()),
+        T.StructField("paraphrases", T.ArrayType(T.StringType())),
+        T.StructField("entries", T.ArrayType(PARAPHRASE_RESULT)),
+    ]
+)
+
+
+def read_done(spark: SparkSession, path: str, schema: T.StructType = RESULTS, buckets: list[int] | None = None) -> DataFrame:
+    """Stored results, of some hash buckets if given; an empty table before the first run."""
     try:
-        return spark.read.schema(RESULTS).parquet(path)
+        done = spark.read.schema(T.StructType([*schema, T.StructField("bucket", T.IntegerType())])).parquet(path)
     except AnalysisException as error:
         if error.getCondition() != "PATH_NOT_FOUND":
             raise
-        return spark.createDataFrame([], RESULTS)
+        return spark.createDataFrame([], schema)
+    return (done if buckets is None else done.where(F.col("bucket").isin(buckets))).drop("bucket")
 
 
 def latest_results(done: DataFrame) -> DataFrame:
-    """One row per item; an accepted result goes before a rejected one."""
-    best = F.max(F.struct(F.size("sub_sentences").alias("n"), "sentence", "sub_sentences"))
-    return done.groupBy("item_id").agg(best.alias("r")).select(
-        "item_id", "r.sentence", "r.sub_sentences"
-    )
+    """One row per item; an accepted result goes before a rejected one, then the greatest."""
+    key, asked, found = done.columns
+    best = F.max(F.struct(F.size(found).alias("n"), asked, found))
+    return done.groupBy(key).agg(best.alias("r")).select(key, f"r.{asked}", f"r.{found}")
+
+
+def _remove(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def finish_in_chunks(
     questions: DataFrame,
     out: str,
+    work: str,
     finish: Callable[[DataFrame], DataFrame],
-    chunks: int,
+    chunk_rows: int = CHUNK_ROWS,
     retry_rejected: bool = False,
+    schema: T.StructType = RESULTS,
 ) -> DataFrame:
-    """Apply ``finish`` to all (item_id, sentence) rows without a result yet, and append.
+    """Apply ``finish`` to all (item_id, asked) rows without a result yet, and append.
 
-    The remaining work is written once by chunk to the shared folder, so that each chunk reads
-    its own rows only, and each finished chunk is appended to ``out``: what was paid for
-    survives a lost executor or a stopped run. Equal sentences are in the same chunk.
+    ``work`` is a folder which all executors share. The remaining work is written there once, then by
+    chunks of about ``chunk_rows`` rows, so that each chunk reads its own rows only, and each finished
+    chunk is appended to ``out``: what was paid for survives a lost executor or a stopped run. The
+    folder's content is removed at the end. Equal questions are in the same chunk. Of several rows of
+    one item the least counts, in every run.
     """
-    spark = questions.sparkSession
-    # Copies of an item collapse first; the join then uses the same partitioning.
-    unique = questions.where(F.col("sentence").isNotNull()).dropDuplicates(["item_id"])
-    done = read_done(spark, out)
-    todo = pending(unique, done, "item_id", "sub_sentences", retry_rejected, hot_rows=None)
-    work = f"{work_dir(spark)}/todo-{uuid.uuid4().hex}"
-    todo.withColumn("chunk", chunk_of("sentence", chunks)).write.partitionBy("chunk").parquet(work)
-    rows = spark.read.schema("item_id string, sentence string, chunk int").parquet(work)
-    for chunk in range(chunks):
-        write_results(finish(rows.where(F.col("chunk") == chunk)).select(*RESULTS.names), out)
-    return latest_results(read_done(spark, out))
+    spark, (key, asked, found) = questions.sparkSession, schema.names
+    unique = questions.where(F.col(asked).isNotNull()).groupBy(key).agg(F.min(asked).alias(asked))
+    done = read_done(spark, out, schema)
+    todo = pending(unique, done, key, found, retry_rejected, hot_rows=None)
+    folder = f"{work.rstrip('/')}/todo-{uuid.uuid4().hex}"
+    kinds = T.StructType([schema[key], schema[asked]])
+    try:
+        todo.write.parquet(f"{folder}/rows")
+        rows = spark.read.schema(kinds).parquet(f"{folder}/rows")
+        chunks = -(-rows.count() // chunk_rows)
+        dealt = rows.withColumn("chunk", chunk_of(asked, max(chunks, 1)))
+        salt = F.pmod(F.xxhash64(key), F.lit(WRITERS))
+        dealt.repartition("chunk", salt).write.partitionBy("chunk").parquet(f"{folder}/chunks")
+        parts = spark.read.schema(T.StructType([*kinds, T.StructField("chunk", T.IntegerType())])) if chunks else None
+        for chunk in range(chunks):
+            part = parts.parquet(f"{folder}/chunks").where(F.col("chunk") == chunk)
+            write_results(finish(part).select(*schema.names), out, key)
+    finally:
+        _remove(spark, folder)
+    return latest_results(read_done(spark, out, schema))
 
 
 def attach_training(items: DataFrame, results: DataFrame) -> DataFrame:
@@ -72,13 +101,13 @@ def attach_training(items: DataFrame, results: DataFrame) -> DataFrame:
     column = "synthesis_question_paraphrases_sub_sentences"
     entry = F.struct(F.col("sentence").alias("paraphrase"), "sub_sentences")
     found = results.select("item_id", F.array(entry).alias("_new"))
-    joined = attach(items, found)
+    joined = attach(items, found, hot_rows=None)  # item ids are unique
     return joined.withColumn(column, F.coalesce(column, "_new")).drop("_new")
 
 
 def attach_validation(items: DataFrame, results: DataFrame) -> DataFrame:
     """Question records with the decomposition of the question which their split asks for."""
-    joined = attach(items, results.select("item_id", F.col("sub_sentences").alias("_new")))
+    joined = attach(items, results.select("item_id", F.col("sub_sentences").alias("_new")), hot_rows=None)
     dev = F.col("split") == "dev"
     new = {
         "synthesis_question_sub_sentences": F.when(dev, F.col("_new")),

@@ -47,7 +47,7 @@ def questions(spark: SparkSession, folder: str) -> DataFrame:
         _cat("FACT6: ENTITY1 has ENTITY", "{e}", "."),
         F.lit("FACT7: FACT4 or FACT6."),
     )
-    asked = F.when(F.col("n_facts") >= 3, "Question: At what time FACT3 happens?").otherwise(
+    asked = F.when(F.col("n_facts") >= 3, "Question: Which clerk took the order of FACT3?").otherwise(
         "Question: How many ENTITY1?"
     )
     rows = rows.withColumn("lines", F.concat(F.slice(facts, F.lit(1), F.col("n_facts")), F.array(asked)))
@@ -94,7 +94,7 @@ QUESTIONS_SQL = r"""questions AS (
         'FACT5: ENTITY' || e || ' is the priority ' || o_orderpriority || '.',
         'FACT6: ENTITY1 has ENTITY' || e || '.',
         'FACT7: FACT4 or FACT6.'], 1, n_facts),
-      [CASE WHEN n_facts >= 3 THEN 'Question: At what time FACT3 happens?'
+      [CASE WHEN n_facts >= 3 THEN 'Question: Which clerk took the order of FACT3?'
             ELSE 'Question: How many ENTITY1?' END]) AS lines
     FROM (
       SELECT o_orderkey AS ord, CAST(o_orderkey AS VARCHAR) AS item_id, o_orderstatus AS dataset,

@@ -4,15 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from factweave.functions.text import clean_decoded, split_facts
 from factweave.operators.examples import check_complete, explode_paraphrases, regroup
 from factweave.operators.inference import generate, generate_lists
 from factweave.operators.joins import attach
-from factweave.plans.results import finish_in_chunks
-from factweave.schemas import FIRST_PARAPHRASES
+from factweave.plans.results import CHUNK_ROWS, PARAPHRASE_RESULTS, finish_in_chunks
 
 MakePredict = Callable[[], Callable[[list[str]], list[str]]]
 
@@ -29,24 +28,57 @@ def decompose_questions(
 def decompose_corpus(
     questions: DataFrame,
     out: str,
+    work: str,
     make_predict: MakePredict,
-    chunks: int = 32,
+    chunk_rows: int = CHUNK_ROWS,
     batch_size: int = 64,
 ) -> DataFrame:
     """Results of all (item_id, sentence) rows, stored chunk by chunk; a new run goes on
-    where the last one stopped."""
+    where the last one stopped. ``work`` is a shared folder for the remaining work."""
 
     def finish(part: DataFrame) -> DataFrame:
         done = decompose_questions(part, make_predict, "sentence", batch_size)
         return done.withColumnRenamed("sentence_sub_sentences", "sub_sentences")
 
-    return finish_in_chunks(questions, out, finish, chunks)
+    return finish_in_chunks(questions, out, work, finish, chunk_rows)
+
+
+def _entries(asked: str, generated: str) -> Column:
+    return F.zip_with(
+        asked,
+        generated,
+        lambda p, g: F.struct(p.alias("paraphrase"), split_facts(clean_decoded(g)).alias("sub_sentences")),
+    )
+
+
+def decompose_paraphrase_corpus(
+    items: DataFrame,
+    out: str,
+    work: str,
+    make_predict: MakePredict,
+    k: int,
+    chunk_rows: int = CHUNK_ROWS,
+    batch_size: int = 64,
+) -> DataFrame:
+    """``decompose_paraphrases`` with results stored chunk by chunk in ``out``: an item with stored
+    results is not sent to the model again, in this run or a later one. Returns the filled items."""
+    result = "synthesis_question_paraphrases_sub_sentences"
+    paraphrases = F.slice("synthesis_question_paraphrases", 1, k).alias("paraphrases")
+    asked = items.where(F.col(result).isNull()).select("item_id", paraphrases)
+
+    def finish(part: DataFrame) -> DataFrame:
+        done = generate_lists(part, "paraphrases", make_predict, batch_size, "_generated")
+        return done.withColumn("entries", _entries("paraphrases", "_generated"))
+
+    done = finish_in_chunks(asked, out, work, finish, chunk_rows, schema=PARAPHRASE_RESULTS)
+    joined = attach(items, done.select("item_id", F.col("entries").alias("_new")), hot_rows=None)
+    return joined.withColumn(result, F.coalesce(result, "_new")).drop("_new")
 
 
 def decompose_paraphrases(
     items: DataFrame,
     make_predict: MakePredict,
-    k: int = FIRST_PARAPHRASES,
+    k: int,
     batch_size: int = 64,
 ) -> DataFrame:
     """Fill ``synthesis_question_paraphrases_sub_sentences`` for items without it.
@@ -59,22 +91,15 @@ def decompose_paraphrases(
         "_asked", F.slice("synthesis_question_paraphrases", 1, k)
     )
     out = generate_lists(todo, "_asked", make_predict, batch_size, "_generated")
-    entries = F.zip_with(
-        "_asked",
-        "_generated",
-        lambda p, g: F.struct(
-            p.alias("paraphrase"), split_facts(clean_decoded(g)).alias("sub_sentences")
-        ),
-    )
-    filled = out.withColumn(result, entries).drop("_asked", "_generated")
+    filled = out.withColumn(result, _entries("_asked", "_generated")).drop("_asked", "_generated")
     return filled.unionByName(items.where(F.col(result).isNotNull()))
 
 
 def decompose_exploded(
     items: DataFrame,
     make_predict: MakePredict,
+    k: int,
     key: str = "item_id",
-    k: int = FIRST_PARAPHRASES,
     batch_size: int = 64,
 ) -> DataFrame:
     """The same with one row per paraphrase: for items whose lists are uneven, since rows
@@ -85,11 +110,11 @@ def decompose_exploded(
     results = regroup(
         out,
         key,
-        {"paraphrase": F.col("paraphrase"), "sub_sentences": split_facts(clean_decoded("_generated"))},
         k,
+        {"paraphrase": F.col("paraphrase"), "sub_sentences": split_facts(clean_decoded("_generated"))},
         "_results",
     )
-    joined = attach(items, results, key).withColumn("n_results", F.coalesce("n_results", F.lit(0)))
+    joined = attach(items, results, key, hot_rows=None).withColumn("n_results", F.coalesce("n_results", F.lit(0)))
     entries = F.coalesce("_results", F.array().cast(results.schema["_results"].dataType))
     expected = F.size(F.slice(F.coalesce("synthesis_question_paraphrases", F.array()), 1, k))
     checked = check_complete(joined.withColumn("_results", entries), expected, "_results")

@@ -21,22 +21,7 @@ WHITESPACE = (
 )
 INPUT_PAD = 0
 LABEL_PAD = -100
-MAX_INPUT = 100
-MAX_OUTPUT = 300
 GENERATION_MARGIN = 64
-FIRST_PARAPHRASES = 5
-NATURAL_CAP = 50_000
-DECOMPOSER_TRAIN = (0, 5_000)
-DECOMPOSER_DEV = (5_000, 5_300)
-HEAD_LIMITS = {("ComplexWebQuestions", "dev"): 1_000, ("GrailQA", "dev"): 300, ("GrailQA", "test"): 300}
-REQUEST = {
-    "temperature": 0,
-    "max_tokens": 300,
-    "top_p": 1,
-    "frequency_penalty": 0,
-    "presence_penalty": 0,
-    "stop": [STOP],
-}
 LENGTH_SLICES = ((0, 3), (4, 4), (5, 5), (6, 100))
 METRICS = ("f1", "em", "bleu1", "bleu2", "bleu3", "bleu4")
 

@@ -28,8 +28,8 @@ def local_session(cores: str = "*", name: str = "factweave", **conf: str) -> Spa
 def work_dir(spark: SparkSession) -> str:
     """Shared folder for tables which cut lineage: ``spark.checkpoint.dir`` of the session.
 
-    Where the setting is missing a temporary folder is used in local mode only, since no
-    other machine of a cluster could read it.
+    Where the setting is missing a temporary folder is used, in local mode only, as in tests, since
+    no other machine of a cluster could read it.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder:

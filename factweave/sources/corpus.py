@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from factweave.functions.text import split_facts, strip
 from factweave.operators.examples import parser_examples
-from factweave.schemas import HEAD_LIMITS, QUESTIONS
+from factweave.schemas import QUESTIONS
 
 
 # Sub-sentences in JSON are a list or one text: as STRING Spark gives the list's JSON text.
@@ -29,20 +29,21 @@ JSON_QUESTIONS = T.StructType(
 )
 
 
-def _is_list(c: Column) -> Column:
-    return F.startswith(F.ltrim(c), F.lit("["))
+def _as_list(c: Column) -> Column:
+    """The entry as a list; NULL if it is a text, which may well start with a bracket."""
+    return F.when(F.startswith(F.ltrim(c), F.lit("[")), F.from_json(c, "array<string>", {"mode": "PERMISSIVE"}))
 
 
 def _lines(c: Column) -> Column:
     """A list, or one text split at the separators."""
-    return F.when(_is_list(c), F.from_json(c, "array<string>")).otherwise(split_facts(strip(c)))
+    return F.coalesce(_as_list(c), split_facts(strip(c)))
 
 
 def _one_form(raw: DataFrame) -> DataFrame:
     """Sub-sentences as lists. A natural question's text stays a text, in its own column,
     since a ready text keeps its backslashes and a joined list does not."""
     natural = F.col("nature_question_sub_sentences")
-    text = F.when(_is_list(natural), F.lit(None).cast("string")).otherwise(natural)
+    text = F.when(_as_list(natural).isNull(), natural)
 
     def entry(e: Column) -> Column:
         lines = _lines(e["sub_sentences"]).alias("sub_sentences")
@@ -51,7 +52,7 @@ def _one_form(raw: DataFrame) -> DataFrame:
     return raw.withColumns(
         {
             "synthesis_question_sub_sentences": _lines(F.col("synthesis_question_sub_sentences")),
-            "nature_question_sub_sentences": F.when(_is_list(natural), F.from_json(natural, "array<string>")),
+            "nature_question_sub_sentences": _as_list(natural),
             "nature_question_sub_sentences_text": F.coalesce("nature_question_sub_sentences_text", text),
             _ENTRIES: F.transform(_ENTRIES, entry),
         }
@@ -60,32 +61,64 @@ def _one_form(raw: DataFrame) -> DataFrame:
 
 def read_questions(spark: SparkSession, path: str, fmt: str = "json") -> DataFrame:
     """Question records from JSON Lines, Parquet or ORC with an explicit schema; a record's
-    missing entry is NULL."""
+    missing entry is NULL, a broken JSON line fails the job."""
     if fmt == "json":
-        return _one_form(spark.read.schema(JSON_QUESTIONS).json(path))
+        return _one_form(_json(spark, path))
     if fmt not in ("parquet", "orc"):
         raise ValueError(f"unknown format {fmt!r}")
     return spark.read.schema(QUESTIONS).format(fmt).load(path)
 
 
+def _json(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema(JSON_QUESTIONS).option("mode", "FAILFAST").json(path)
+
+
+SCAN_TASKS = "spark.factweave.scanTasks"
+
+
 def spread(df: DataFrame, *key: str) -> DataFrame:
-    """A scan with fewer tasks than the session has cores, spread over all cores by a unique key.
+    """A scan dealt out by a unique key over the number of tasks in the setting ``SCAN_TASKS``.
 
-    For work which costs far more than reading, on few or coarse files. A corpus which is
-    read by at least as many tasks as there are cores stays as it is.
+    For corpora of few coarse files, which Spark reads in fewer tasks than there are cores. Unset, as
+    it should be on a corpus of many files, nothing is shuffled.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, *key) if df.rdd.getNumPartitions() < cores else df
+    tasks = df.sparkSession.conf.get(SCAN_TASKS, None)
+    return df.repartition(int(tasks), *key) if tasks else df
+
+
+def _in_file_order(rows: DataFrame) -> DataFrame:
+    """Number rows 0, 1, ... by file name, then by place in the file. Spark reads large files first and
+    in any order, so rows are counted per piece of a file which a task reads; the window over pieces
+    holds one row per piece."""
+    piece = ["_file", "_from"]
+    rows = rows.withColumn("_read", F.monotonically_increasing_id())
+    inside = Window.partitionBy(*piece).orderBy("_read")
+    before = Window.orderBy(*piece).rowsBetween(Window.unboundedPreceding, -1)
+    pieces = rows.groupBy(*piece).agg(F.count("*").alias("_rows"))
+    starts = pieces.select(*piece, F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_start"))
+    numbered = rows.withColumn("_in", F.row_number().over(inside)).join(starts, piece)
+    return numbered.withColumn("ord", F.col("_start") + F.col("_in") - 1).drop(*piece, "_read", "_in", "_start")
 
 
 def ingest_questions(spark: SparkSession, path: str, out: str, fmt: str = "json") -> DataFrame:
     """Store a corpus once as Parquet by dataset and split, with a place for each record.
 
-    Records without ``ord`` get an increasing number in file order, unique but not dense.
-    It is written with the rows, since a second reading might number them differently.
+    Either every record brings its ``ord``, and no two the same, or none does and they are numbered in
+    file order; anything else is an error. The number is written with the rows.
     """
     rows = read_questions(spark, path, fmt)
-    rows = rows.withColumn("ord", F.coalesce("ord", F.monotonically_increasing_id()))
+    seen = rows.agg(F.count("*").alias("all"), F.count("ord").alias("given")).first()
+    if seen.given and seen.given < seen.all:
+        raise ValueError(f"{seen.given} of {seen.all} records have a place of their own; all or none may")
+    if seen.given:
+        twice = rows.groupBy("ord").count().where("count > 1").first()
+        if twice:
+            raise ValueError(f"place {twice.ord} is given {twice['count']} times")
+    else:
+        where = [F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_from")]
+        raw = _json(spark, path) if fmt == "json" else read_questions(spark, path, fmt)
+        placed = raw.select("*", *where)
+        rows = _in_file_order(_one_form(placed) if fmt == "json" else placed).select(*QUESTIONS.names)
     rows = rows.withColumn("item_id", F.coalesce("item_id", F.col("ord").cast("string")))
     rows.write.mode("errorifexists").partitionBy("dataset", "split").parquet(out)
     return spark.read.schema(QUESTIONS).parquet(out)
@@ -93,7 +126,7 @@ def ingest_questions(spark: SparkSession, path: str, out: str, fmt: str = "json"
 
 @dataclass
 class Registry:
-    """Where the splits of each dataset are and how many examples of them are used.
+    """Where the splits of each dataset are and, if the caller limits one, how many examples are used.
 
     ``root`` is a folder as ``ingest_questions`` writes it; a filter on dataset and split
     then reads their folder only. Single splits may lie elsewhere.
@@ -101,7 +134,7 @@ class Registry:
 
     root: str | None = None
     entries: dict[tuple[str, str], tuple[str, str]] = field(default_factory=dict)
-    limits: dict[tuple[str, str], int] = field(default_factory=lambda: dict(HEAD_LIMITS))
+    limits: dict[tuple[str, str], int] = field(default_factory=dict)
 
     def register(self, name: str, mode: str, path: str, fmt: str = "parquet", limit: int = 0) -> None:
         self.entries[name, mode] = (path, fmt)

@@ -19,9 +19,13 @@ def chunk_of(key: str, n: int) -> Column:
     return F.pmod(F.xxhash64(key), F.lit(n)).cast("int")
 
 
-def write_results(df: DataFrame, path: str) -> None:
-    """Append finished rows; a failed job leaves none of its rows."""
-    df.write.mode("append").parquet(path)
+BUCKETS = 256
+
+
+def write_results(df: DataFrame, path: str, key: str = "item_id") -> None:
+    """Append finished rows, in folders by hash bucket of the key; a failed job leaves none of its
+    rows. One task writes one bucket, so an append adds at most one file to each."""
+    df.withColumn("bucket", chunk_of(key, BUCKETS)).repartition("bucket").write.mode("append").partitionBy("bucket").parquet(path)
 
 
 def eval_records(df: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:

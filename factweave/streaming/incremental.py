@@ -11,22 +11,14 @@ from pyspark.sql.streaming import StreamingQuery
 from factweave.operators.joins import pending
 from factweave.plans.few_shot import decompose
 from factweave.plans.results import read_done
-from factweave.sources.sinks import write_results
+from factweave.sources.sinks import BUCKETS, chunk_of, write_results
 
-SMALL_BATCH = 100_000
 
-
-def unseen(batch: DataFrame, done: DataFrame, key: str) -> DataFrame:
-    """Rows of the batch, one per key, without a stored result.
-
-    For a batch of counted, small size its keys go to the history, which is then scanned but
-    not shuffled; a greater batch is joined the usual way.
-    """
-    keys = batch.select(key).distinct()
-    if keys.limit(SMALL_BATCH + 1).count() > SMALL_BATCH:
-        return pending(batch, done, key, hot_rows=None)
-    seen = done.select(key).join(F.broadcast(keys), key, "left_semi").distinct()
-    return batch.join(seen, key, "left_anti")
+def unseen(batch: DataFrame, out: str, key: str) -> DataFrame:
+    """Rows of the batch, one per key, without a stored result. Only the hash buckets which the
+    batch's keys fall into, at most ``BUCKETS`` numbers, are read of the history."""
+    buckets = [r.bucket for r in batch.select(chunk_of(key, BUCKETS).alias("bucket")).distinct().collect()]
+    return pending(batch, read_done(batch.sparkSession, out, buckets=buckets), key, hot_rows=None)
 
 
 def decompose_stream(
@@ -54,9 +46,8 @@ def decompose_stream(
     )
 
     def run(batch: DataFrame, batch_id: int) -> None:
-        session = batch.sparkSession
-        fresh = batch.dropDuplicates(["item_id"])
-        fresh = unseen(fresh, read_done(session, out), "item_id")
+        fresh = batch.groupBy("item_id").agg(F.min(question).alias(question))
+        fresh = unseen(fresh, out, "item_id")
         write_results(decompose(fresh, question, completer, prefix, **options), out)
 
     return (

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from factweave.operators import candidates as cand
 from factweave.operators import skew
+from factweave.operators.inference import generate_candidates
 from factweave.plans import evaluation
 
 
@@ -16,19 +17,21 @@ def scored(spark):
     draw = random.Random(2)
     rows = [(0, i, draw.choice([0.0, 0.0, 0.5, draw.random()])) for i in range(3_000)]
     rows += [(e, i, draw.choice([0.0, 1.0, draw.random()])) for e in range(1, 20) for i in range(5)]
+    rows += [(e, i, x) for e in (0, 30) for i, x in ((5_000, None), (5_001, float("nan")), (5_002, 1.0), (9_000, None), (70_000, float("nan")))]
     return rows, spark.createDataFrame(rows, "example_id long, cand_idx int, score double").repartition(5)
 
 
 def _plain_ranks(rows):
     want, by = {}, {}
     for e, i, s in rows:
-        by.setdefault(e, []).append((-s, i))
+        none = s is None or s != s
+        by.setdefault(e, []).append(((none, 0 if none else -s), i))
     for e, group in by.items():
         want.update({(e, i): r + 1 for r, (_, i) in enumerate(sorted(group))})
     return want
 
 
-@pytest.mark.parametrize("hot_rows", [10, 1_000_000])
+@pytest.mark.parametrize("hot_rows", [10, 1_000_000, None])
 def test_full_ranking(scored, monkeypatch, hot_rows):
     monkeypatch.setattr(cand, "PART_BITS", 6)
     rows, df = scored
@@ -49,17 +52,62 @@ def test_top_ranks_are_limited_before_the_shuffle(scored):
 def test_salted_join_equals_plain_join(spark, how, min_rows):
     many = spark.createDataFrame([("h" if i % 3 else str(i), i) for i in range(60)] + [("none", 99)], "k string, n int")
     one = spark.createDataFrame([("h", "hot")] + [(str(i), f"v{i}") for i in range(60)], "k string, v string")
-    got = skew.join_to_unique(many, one, "k", how, "n", min_rows, 4)
+    got = skew.join_to_unique(many, one, "k", how, "n", min_rows)
     want = many.join(one, "k", how)
     assert got.columns == want.columns
     assert sorted(map(tuple, got.collect()), key=str) == sorted(map(tuple, want.collect()), key=str)
 
 
-def test_hot_keys_are_bounded(spark, monkeypatch):
-    monkeypatch.setattr(skew, "MAX_HOT_KEYS", 3)
-    df = spark.range(100).select((F.col("id") % 10).alias("k"))
-    assert [r.k for r in skew.hot_keys(df, "k", 5).orderBy("k").collect()] == [0, 1, 2]
-    assert skew.hot_keys(df, "k", 11).count() == 0
+def test_hot_keys_are_few_by_arithmetic_and_salted_by_their_rows(spark):
+    parts = 4 * skew.partitions(spark.range(1))
+    df = spark.range(1_000).select(F.when(F.col("id") < 500, 0).when(F.col("id") < 700, 1).otherwise(F.col("id")).alias("k"))
+    got = {r.k: r.salts for r in skew.hot_keys(df, "k", 5).collect()}
+    assert got == {0: -(-500 * parts // 1_000), 1: -(-200 * parts // 1_000)}
+    even = spark.range(1_000).select((F.col("id") % (2 * parts)).alias("k"))
+    assert skew.hot_keys(even, "k", 1).count() == 0
+    assert skew.hot_keys(df, "k", 501).count() == 0
+    assert skew.hot_keys(df.where("false"), "k", 1).count() == 0
+
+
+@pytest.mark.parametrize("choose", ["best", "rank", "match"])
+def test_each_text_goes_to_the_model_once(spark, choose):
+    calls = spark.sparkContext.accumulator(0)
+
+    def model():
+        def predict(texts):
+            calls.add(len(texts))
+            return [[f"{t} a", f"{t} b"] for t in texts]
+
+        return predict
+
+    def back():
+        def predict(texts):
+            calls.add(len(texts))
+            return texts
+
+        return predict
+
+    def embedder():
+        return lambda texts: [[1.0, float(len(t))] for t in texts]
+
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        questions = spark.range(100).selectExpr("id AS example_id", "CAST(id AS STRING) AS question")
+        truths = questions.selectExpr("example_id", "question AS answer")
+        if choose == "match":
+            candidates = questions.selectExpr("example_id", "0 AS cand_idx", "question AS prediction")
+            row = evaluation.evaluate_semantic_match(candidates, questions, truths, back, embedder).first()
+            assert row.n == 100
+        else:
+            candidates = generate_candidates(questions, "question", model).drop("question")
+            if choose == "best":
+                assert cand.best_of_n(candidates, truths).count() == 100
+            else:
+                scored = candidates.withColumn("score", F.length("prediction"))
+                assert cand.rank_candidates(scored, "score").count() == 200
+        assert calls.value == 100
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
 
 
 @pytest.mark.parametrize("hot_rows", [2, 1_000_000])

@@ -68,34 +68,48 @@ def test_number_of_examples_cuts_after_the_filter(questions):
 def test_length_filter_is_strict(spark):
     rows = [(99, 299), (100, 299), (99, 300), (0, 0)]
     df = spark.createDataFrame([([0] * i, [0] * o) for i, o in rows], "input_ids array<int>, output_ids array<int>")
-    got = ex.length_filter(df).select(F.size("input_ids"), F.size("output_ids"))
+    got = ex.length_filter(df, 100, 300).select(F.size("input_ids"), F.size("output_ids"))
     assert sorted(tuple(r) for r in got.collect()) == [(0, 0), (99, 299)]
 
 
 def test_decomposer_split(spark):
     rows = spark.range(0, 16_800, 3).withColumnRenamed("id", "ord")
-    train, dev = ex.decomposer_split(rows, "train"), ex.decomposer_split(rows, "dev")
+    train, dev = ex.decomposer_split(rows, 0, 5_000), ex.decomposer_split(rows, 5_000, 5_300)
     assert train.count() == 5_000 and train.agg(F.max("ord")).first()[0] == 3 * 4_999
     assert sorted(r.ord for r in dev.collect()) == [3 * i for i in range(5_000, 5_300)]
 
 
 def test_regroup_inverts_explode(questions):
-    rows = ex.explode_paraphrases(questions.select("item_id", "synthesis_question_paraphrases"), "synthesis_question_paraphrases")
+    rows = ex.explode_paraphrases(questions.select("item_id", "synthesis_question_paraphrases"), "synthesis_question_paraphrases", 5)
     assert rows.where("item_id = '0'").count() == 5
-    back = ex.regroup(rows.repartition(3), "item_id", {"paraphrase": F.col("paraphrase")})
+    back = ex.regroup(rows.repartition(3), "item_id", 5, {"paraphrase": F.col("paraphrase")})
     got = {r.item_id: (r.n_results, [x.paraphrase for x in r.results]) for r in back.collect()}
     assert got == {"0": (5, ["a", "b", "c", "d", "e"]), "1": (1, ["g"])}
 
 
 def test_regroup_keeps_null_results_and_complains_about_missing_ones(spark):
     df = spark.createDataFrame([("x", 0, "p", None), ("x", 1, "q", ["r"])], "item_id string, pos int, paraphrase string, sub_sentences array<string>")
-    grouped = ex.regroup(df, "item_id")
+    grouped = ex.regroup(df, "item_id", 2)
+    with pytest.raises(Exception, match="result beyond place 1"):
+        ex.regroup(df, "item_id", 1).collect()
     assert [tuple(x) for x in grouped.first().results] == [("p", None), ("q", ["r"])]
     assert ex.check_complete(grouped, F.lit(2)).count() == 1
     with pytest.raises(Exception, match="number of results differs"):
         ex.check_complete(grouped, F.lit(3)).collect()
 
 
+def test_no_cap_unless_asked_for(spark, questions):
+    many = spark.range(60_000).selectExpr("id AS ord", "'n' AS nature_question", "'p' AS program", "array('Question: x?') AS l", "CAST(NULL AS STRING) AS t")
+    assert ex.parser_examples(many, "train", lines="l", text="t").count() == 60_000
+
+
+def test_two_results_for_a_key_are_an_error(spark):
+    items = spark.createDataFrame([("1", 0)], "item_id string, n int")
+    twice = spark.createDataFrame([("1", ["a"]), ("1", ["b"])], "item_id string, lines array<string>")
+    with pytest.raises(Exception, match="two results for one key"):
+        joins.attach(items, twice).collect()
+
+
 @pytest.mark.parametrize("hot_rows", [2, 1_000_000, None])
 def test_joins_on_the_key(spark, hot_rows):
     items = spark.createDataFrame([(str(i % 4), i) for i in range(8)], "item_id string, n int")

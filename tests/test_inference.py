@@ -76,6 +76,32 @@ def test_ids_and_vectors(spark):
     assert df.select(inference.word_tokens(F.lit(" \n")).alias("w")).first().w == []
 
 
+def test_absent_texts_do_not_go_to_the_model(spark):
+    df = spark.createDataFrame([("a",), (None,), ("b",)], "t string").coalesce(1)
+
+    def upper():
+        return lambda texts: [t.upper() for t in texts]
+
+    assert [r.generated for r in inference.generate(df, "t", upper).collect()] == ["A", None, "B"]
+    assert [r.input_ids for r in inference.with_ids(df, "t", lambda: lambda x: [[len(t)] for t in x]).collect()] == [[1], None, [1]]
+    assert [r.embedding for r in inference.with_embedding(df, "t", lambda: lambda x: [[0.5] for _ in x]).collect()] == [[0.5], None, [0.5]]
+    several = inference.generate_candidates(df, "t", lambda: lambda x: [[t, t] for t in x])
+    assert [(r.t, r.cand_idx) for r in several.collect()] == [("a", 0), ("a", 1), ("b", 0), ("b", 1)]
+    assert trained.decompose_questions(df, _model, "t").where("t_sub_sentences IS NULL").count() == 1
+
+
+def test_as_many_outputs_as_inputs(spark):
+    df = spark.createDataFrame([("a",), ("b",)], "t string").coalesce(1)
+    with pytest.raises(Exception, match="1 outputs for 2 inputs"):
+        inference.generate(df, "t", lambda: lambda texts: texts[:1]).collect()
+
+
+def test_ids_to_text(spark):
+    df = spark.createDataFrame([([1, 2, -100],), ([],), (None,)], "label_ids array<int>").coalesce(1)
+    texts = inference.with_text(evaluation.truth_ids(df), "label_ids", lambda: lambda lists: [" ".join(map(str, x)) + "</s>" for x in lists])
+    assert [r.text for r in evaluation.decoded(texts, "text").collect()] == ["1 2", "", None]
+
+
 def _model():
     return lambda texts: [f"<pad> FACT1: {t}. <FACT-SEP> Question: {t}?</s>" for t in texts]
 
@@ -97,14 +123,14 @@ def _lines(p):
 def test_decompose_paraphrases(spark):
     rows = [("1", list("abcdefg"), None), ("2", ["h"], [("h", ["old"])]), ("3", [], None)]
     df = spark.createDataFrame(rows, SCHEMA)
-    got = {r.item_id: [tuple(x) for x in r[RESULT]] for r in trained.decompose_paraphrases(df, _model).collect()}
+    got = {r.item_id: [tuple(x) for x in r[RESULT]] for r in trained.decompose_paraphrases(df, _model, 5).collect()}
     assert got == {"1": [_lines(p) for p in "abcde"], "2": [("h", ["old"])], "3": []}
 
 
 def test_both_ways_give_the_same_paraphrase_results(spark):
     df = spark.createDataFrame([("1", list("abcdefg"), None), ("3", [], None), ("4", ["z"], None)], SCHEMA)
-    listed = trained.decompose_paraphrases(df, _model).select("item_id", RESULT)
-    exploded = trained.decompose_exploded(df.drop(RESULT), _model).select("item_id", RESULT)
+    listed = trained.decompose_paraphrases(df, _model, 5).select("item_id", RESULT)
+    exploded = trained.decompose_exploded(df.drop(RESULT), _model, 5).select("item_id", RESULT)
     assert sorted(map(str, listed.collect())) == sorted(map(str, exploded.collect()))
 
 

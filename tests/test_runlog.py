@@ -44,6 +44,24 @@ def test_improvements(log, bits, reset):
     assert got == plain(rows, reset)
 
 
+@pytest.mark.parametrize("bits", [2, 16])
+def test_nan_and_null_are_never_better(spark, bits):
+    nan = float("nan")
+    values = [0.1, nan, 0.2, None, 0.15, 0.3, nan, nan, 0.31]
+    df = spark.createDataFrame([("r", i, x) for i, x in enumerate(values)], "run string, step long, value double")
+    got = runlog.improvements(df, bits=bits).orderBy("step").collect()
+    assert [r.improved for r in got] == [1, 0, 1, 0, 0, 1, 0, 0, 1]
+    assert [r.failures for r in got] == [0, 1, 0, 1, 2, 0, 1, 2, 0]
+    assert [r.best_before for r in got] == [-1.0, 0.1, 0.1, 0.2, 0.2, 0.2, 0.3, 0.3, 0.3]
+
+
+@pytest.mark.parametrize("row", [("r", None, 0.5), (None, 1, 0.5)])
+def test_rows_without_run_or_step_are_an_error(spark, row):
+    df = spark.createDataFrame([("r", 0, 0.1), row], "run string, step long, value double")
+    with pytest.raises(Exception, match="row without"):
+        runlog.improvements(df).collect()
+
+
 @pytest.mark.parametrize("bits", [3, 16])
 def test_early_stop(log, bits):
     rows, df = log

@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import json
+import os
 
 import pytest
 from pyspark.sql import functions as F
@@ -11,7 +12,6 @@ from factweave.plans import results as results_of
 from factweave.schemas import QUESTIONS
 from factweave.sources import corpus, fewshot, sinks
 from factweave.streaming.incremental import decompose_stream
-from factweave.streaming import incremental
 
 PROMPT = """sentence:
 which lake is deepest in the north
@@ -99,8 +99,52 @@ def test_registry_reads_one_folder(spark, records, tmp_path):
         corpus.Registry().dataset(spark, "A", "dev")
 
 
-def test_fixed_limits():
-    assert corpus.Registry().limits == {("ComplexWebQuestions", "dev"): 1000, ("GrailQA", "dev"): 300, ("GrailQA", "test"): 300}
+def test_no_limits_unless_registered():
+    assert corpus.Registry().limits == {}
+
+
+def _lines(path, rows):
+    with open(path, "w") as f:
+        f.write("\n".join(r if isinstance(r, str) else json.dumps(r) for r in rows) + "\n")
+
+
+def test_a_text_may_start_with_a_bracket(spark, tmp_path):
+    text = "[ENTITY1] is x <FACT-SEP> Question: y?"
+    _lines(tmp_path / "a.json", [{"nature_question_sub_sentences": text, "synthesis_question_sub_sentences": text}, {"nature_question_sub_sentences": ["[a]"]}])
+    first, second = corpus.read_questions(spark, str(tmp_path / "a.json")).collect()
+    assert (first.nature_question_sub_sentences, first.nature_question_sub_sentences_text) == (None, text)
+    assert first.synthesis_question_sub_sentences == ["[ENTITY1] is x", "Question: y?"]
+    assert (second.nature_question_sub_sentences, second.nature_question_sub_sentences_text) == (["[a]"], None)
+
+
+def test_a_broken_line_is_an_error(spark, tmp_path):
+    _lines(tmp_path / "a.json", [{"program": "p"}, '{"program": "q"'])
+    with pytest.raises(Exception):
+        corpus.read_questions(spark, str(tmp_path / "a.json")).collect()
+
+
+def test_places_follow_file_names_and_lines(spark, tmp_path):
+    folder = tmp_path / "in"
+    folder.mkdir()
+    want = []
+    for name, n in (("a", 3), ("b", 50), ("c", 10)):
+        rows = [{"program": f"{name}{i}", "dataset": "d", "split": "train"} for i in range(n)]
+        _lines(folder / f"{name}.jsonl", rows)
+        want += [r["program"] for r in rows]
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "600")
+    try:
+        rows = corpus.ingest_questions(spark, str(folder), str(tmp_path / "out")).orderBy("ord").collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert [r.program for r in rows] == want
+    assert [(r.ord, r.item_id) for r in rows] == [(i, str(i)) for i in range(63)]
+
+
+@pytest.mark.parametrize("given, message", [([1, None, None], "all or none"), ([1, 2, 1], "given 2 times")])
+def test_mixed_and_repeated_places_are_an_error(spark, tmp_path, given, message):
+    _lines(tmp_path / "a.json", [{"program": "p"} | ({} if o is None else {"ord": o}) for o in given])
+    with pytest.raises(ValueError, match=message):
+        corpus.ingest_questions(spark, str(tmp_path / "a.json"), str(tmp_path / "out"))
 
 
 def test_few_shot_file(spark, tmp_path):
@@ -124,14 +168,14 @@ def test_a_table_is_no_prompt(spark):
         fewshot.prompt_prefix(many)
 
 
-def test_spread_leaves_fine_scans_alone(spark, tmp_path):
-    cores = spark.sparkContext.defaultParallelism
-    spark.range(100).coalesce(1).write.parquet(str(tmp_path / "coarse"))
-    spark.range(100).repartition(cores).write.option("maxRecordsPerFile", 100).parquet(str(tmp_path / "fine"))
-    coarse = corpus.spread(spark.read.parquet(str(tmp_path / "coarse")), "id")
-    assert "Exchange" in coarse._jdf.queryExecution().executedPlan().toString()
-    fine = spark.range(0, 100, 1, cores)
-    assert corpus.spread(fine, "id") is fine
+def test_spread_only_where_it_is_set(spark):
+    rows = spark.range(100)
+    assert corpus.spread(rows, "id") is rows
+    spark.conf.set(corpus.SCAN_TASKS, "3")
+    try:
+        assert corpus.spread(rows, "id").rdd.getNumPartitions() == 3
+    finally:
+        spark.conf.unset(corpus.SCAN_TASKS)
 
 
 def test_records_report_and_metrics(spark, tmp_path):
@@ -164,24 +208,24 @@ PREFIX = fewshot.block("s", ["Question: s?"])
 
 
 def test_resumed_run_asks_nothing_twice(spark, records, tmp_path):
-    out = str(tmp_path / "out")
+    out, work = str(tmp_path / "out"), str(tmp_path / "work")
     items = corpus.ingest_questions(spark, records, str(tmp_path / "corpus"))
     questions = few_shot.training_questions(items)
     calls = spark.sparkContext.accumulator(0)
     ask = _completer(calls, reject=("s2 one",))
     half = questions.where(F.col("sentence").isin("s0 one", "s2 one"))
-    few_shot.decompose_corpus(half, out, ask, PREFIX, chunks=2, wait=0)
+    few_shot.decompose_corpus(half, out, work, ask, PREFIX, chunk_rows=1, wait=0)
     assert calls.value == 2
-    done = few_shot.decompose_corpus(questions, out, ask, PREFIX, chunks=3, wait=0)
+    done = few_shot.decompose_corpus(questions, out, work, ask, PREFIX, chunk_rows=2, wait=0)
     assert calls.value == 4
     got = {r.sentence: r.sub_sentences for r in done.collect()}
     assert got == {f"s{i} one": [f"FACT1: s{i} one", "Question: what?"] if i != 2 else [] for i in range(4)}
-    few_shot.decompose_corpus(questions, out, ask, PREFIX, chunks=2, wait=0)
-    assert calls.value == 4
+    few_shot.decompose_corpus(questions, out, work, ask, PREFIX, wait=0)
+    assert calls.value == 4 and not any(files for _, _, files in os.walk(work))
     attached = {r.nature_question: r for r in results_of.attach_training(items, done).collect()}
     entry = attached["n1"].synthesis_question_paraphrases_sub_sentences
     assert [tuple(e) for e in entry] == [("s1 one", ["FACT1: s1 one", "Question: what?"])]
-    again = few_shot.decompose_corpus(questions, out, _completer(calls), PREFIX, chunks=1, retry_rejected=True, wait=0)
+    again = few_shot.decompose_corpus(questions, out, work, _completer(calls), PREFIX, retry_rejected=True, wait=0)
     assert calls.value == 5
     assert again.where(F.size("sub_sentences") > 0).count() == 4
 
@@ -210,17 +254,40 @@ def test_resumed_model_run(spark, tmp_path):
         return predict
 
     questions = spark.createDataFrame([(str(i), f"q{i}") for i in range(6)], "item_id string, sentence string")
-    trained.decompose_corpus(questions.where("item_id < '2'"), out, model, chunks=2)
-    done = trained.decompose_corpus(questions, out, model, chunks=2)
+    work = str(tmp_path / "work")
+    trained.decompose_corpus(questions.where("item_id < '2'"), out, work, model)
+    done = trained.decompose_corpus(questions, out, work, model, chunk_rows=2)
     assert calls.value == 6
     assert {r.item_id: r.sub_sentences for r in done.collect()} == {
         str(i): [f"FACT1: q{i}.", f"Question: q{i}?"] for i in range(6)
     }
 
 
-@pytest.mark.parametrize("small", [100_000, 0])
-def test_stream_decomposes_new_files_only(spark, tmp_path, monkeypatch, small):
-    monkeypatch.setattr(incremental, "SMALL_BATCH", small)
+def test_resumed_paraphrase_run(spark, tmp_path):
+    out, work = str(tmp_path / "out"), str(tmp_path / "work")
+    calls = spark.sparkContext.accumulator(0)
+
+    def model():
+        def predict(texts):
+            calls.add(len(texts))
+            return [f"<pad> FACT1: {t}. <FACT-SEP> Question: {t}?</s>" for t in texts]
+
+        return predict
+
+    result = "synthesis_question_paraphrases_sub_sentences"
+    schema = f"item_id string, synthesis_question_paraphrases array<string>, {result} array<struct<paraphrase: string, sub_sentences: array<string>>>"
+    rows = [(str(i), [f"{i}{c}" for c in "abcd"], None) for i in range(5)] + [("5", ["x"], [("x", ["old"])]), ("6", None, None), ("7", [], None)]
+    items = spark.createDataFrame(rows, schema)
+    trained.decompose_paraphrase_corpus(items.where("item_id < '2'"), out, work, model, 3)
+    assert calls.value == 6
+    got = {r.item_id: r[result] for r in trained.decompose_paraphrase_corpus(items, out, work, model, 3, chunk_rows=2).collect()}
+    assert calls.value == 15
+    for i in range(5):
+        assert [tuple(e) for e in got[str(i)]] == [(f"{i}{c}", [f"FACT1: {i}{c}.", f"Question: {i}{c}?"]) for c in "abc"]
+    assert got["5"] == [("x", ["old"])] and got["6"] is None and got["7"] == []
+
+
+def test_stream_decomposes_new_files_only(spark, tmp_path):
     incoming, out, checkpoint = (str(tmp_path / d) for d in ("in", "out", "check"))
     calls = spark.sparkContext.accumulator(0)
 
