@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from factweave.llm.components import shared_folder, stored
+from factweave.llm.components import first_by_hash, shared_folder, stored
 
 SAMPLE = 20_000
 CENTROIDS = 64
@@ -163,7 +163,7 @@ def nearest(
         return spark.createDataFrame([], schema)
     rows = rows.where(F.size("vector") == width.n)
     entries = stored(_distinct(rows, k + 1), f"{folder}/entries")
-    chosen = entries.orderBy(F.xxhash64("vector"), F.col("ids")[0]).limit(sample).select("vector").toArrow()
+    chosen = first_by_hash(entries.select("vector"), sample, "vector").toArrow()
     index = MultiIndex(_rows(chosen.column(0)), centroids)
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -24,6 +24,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from factweave.llm.components import first_by_hash
+
 BITS = 20
 MAX_ROWS = 20_000
 MAX_KNOWN = 200_000
@@ -123,11 +125,6 @@ def labelled(labels: DataFrame, value: str, held_out: Column, id_col: str = "doc
     return rows.groupBy(F.col(id_col).alias("id")).agg(F.max(F.col(value).cast("int")).alias("label"))
 
 
-def bounded(rows: DataFrame, max_rows: int) -> DataFrame:
-    """At most ``max_rows`` of the rows, the first by a hash of the id."""
-    return rows.orderBy(F.xxhash64("id"), "id").limit(max_rows)
-
-
 def held_out(id_col: str, folds: int, fold: int) -> Column:
     """Whether crc32 of the id as text falls in one fold; false for a null id."""
     return F.coalesce(F.crc32(F.col(f"`{id_col}`").cast("string").cast("binary")) % folds == fold, F.lit(False))
@@ -135,7 +132,7 @@ def held_out(id_col: str, folds: int, fold: int) -> Column:
 
 def train(docs: DataFrame, examples: DataFrame, id_col: str, text_col: str, settings: Settings, bits: int = BITS) -> dict[int, float]:
     """Weights by place; place ``2**bits`` is the intercept. ``examples`` (id, label) is bounded
-    (see ``bounded``), so it is sent to the scan of the documents and its texts to one task."""
+    (see ``first_by_hash``), so it is sent to the scan of the documents and its texts to one task."""
     texts = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
     chosen = texts.join(F.broadcast(examples), "id").select("id", "text", "label")
     ordered = chosen.repartition(1).sortWithinPartitions(F.xxhash64("id", "text"), "id")
@@ -180,7 +177,7 @@ def toxicity(
 ) -> DataFrame:
     """One row per document: doc (all its columns), score and predicted (1 from the threshold on).
     ``held`` is a condition on the id column; labels of such rows are not learned from."""
-    examples = bounded(labelled(labels, "toxic", held, id_col), max_rows)
+    examples = first_by_hash(labelled(labels, "toxic", held, id_col), max_rows, "id")
     weights = train(docs, examples, id_col, text_col, settings)
     doc = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
     scored = docs.select(doc.alias("doc"), score(F.col(f"`{text_col}`"), weights, docs.sparkSession).alias("score"))

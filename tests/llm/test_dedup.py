@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from factweave.llm import golay, rolling, suffix_array
-from factweave.llm.components import components
+from factweave.llm.components import components, first_by_hash
 from factweave.llm.simhash import near_duplicates, one_of_each, simhash
 from factweave.llm.substring_dedup import dedup_substrings, without_repeats
 from factweave.llm.suffix_dedup import dedup_bytes
@@ -205,3 +205,12 @@ def test_digests_are_of_the_remaining_text(spark):
     docs = spark.createDataFrame([(1, "x " * 20), (2, "y " + "x " * 20)], "doc_id long, text string")
     row = dedup_substrings(docs).where("doc.doc_id = 2").select(F.sha2("kept", 256).alias("d")).first()
     assert row.d == hashlib.sha256(b"y").hexdigest()
+
+
+def test_first_by_hash(spark):
+    rows = spark.range(5_000).selectExpr("id", "id * 2 AS other")
+    order = [r.id for r in rows.orderBy(F.shiftrightunsigned(F.xxhash64("id"), 1), "id").collect()]
+    for most in (100, 2_500, 4_000, 9_000):
+        got = first_by_hash(rows, most, "id")
+        assert got.columns == ["id", "other"] and [r.id for r in got.collect()] == order[:most]
+    assert first_by_hash(rows.where("false"), 10, "id").count() == 0
