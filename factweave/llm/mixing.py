@@ -47,10 +47,10 @@ def rates(docs: DataFrame, weights: dict[str, float], other: float, rows_out: fl
     known = F.create_map(*chain.from_iterable((F.lit(k), F.lit(float(w))) for k, w in weights.items()))
     counted = docs.groupBy(_mixed(source_col, weights).alias("mixed")).agg(F.count("*").alias("n"))
     weighed = counted.withColumn("weight", F.coalesce(known[F.col("mixed")], F.lit(float(other))))
-    sums = weighed.agg(F.sum("weight").alias("all_weights"), F.sum("n").cast("double").alias("all_rows"))
-    wanted = F.col("all_rows") if rows_out is None else F.lit(float(rows_out))
-    mean = F.when(F.col("all_weights") > 0, wanted * F.col("weight") / F.col("all_weights") / F.col("n")).otherwise(0.0)
-    found = weighed.crossJoin(F.broadcast(sums)).select("mixed", mean.alias("mean"))
+    all_weights = weighed.agg(F.sum("weight")).scalar()
+    wanted = weighed.agg(F.sum("n").cast("double")).scalar() if rows_out is None else F.lit(float(rows_out))
+    mean = F.when(all_weights > 0, wanted * F.col("weight") / all_weights / F.col("n")).otherwise(0.0)
+    found = weighed.select("mixed", mean.alias("mean"))
     found = found.withColumn("parts", F.greatest(F.ceil(F.col("mean") / MAX_MEAN).cast("int"), F.lit(1)))
     return found.withColumn("sums", _cumulative(F.col("mean") / F.col("parts")))
 
