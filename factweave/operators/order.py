@@ -11,6 +11,8 @@ and no step collects the first n rows of every task.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -40,7 +42,12 @@ def running_starts(
         before = Window.partitionBy(*keys).orderBy(number).rowsBetween(Window.unboundedPreceding, -1)
         return counts.withColumn(name, F.coalesce(F.sum(rows).over(before), F.lit(0)))
     group, start = f"_g{bits}", f"_s{bits}"
-    grouped = counts.withColumn(group, F.shiftright(number, LEVEL_BITS))
+    # The joins ask for a group of each level; asked here already, all read one shuffle of the counts.
+    levels = [F.col(number)]
+    for _ in range(bits - LEVEL_BITS, 0, -LEVEL_BITS):
+        levels.append(F.shiftright(levels[-1], LEVEL_BITS))
+    known = reduce(and_, [x.isNotNull() for x in levels[1:]])
+    grouped = counts.where(known).withColumn(group, F.shiftright(number, LEVEL_BITS))
     inside = Window.partitionBy(*keys, group).orderBy(number).rowsBetween(Window.unboundedPreceding, -1)
     sums = grouped.groupBy(*keys, group).agg(F.sum(rows).alias("_group_rows"))
     starts = running_starts(sums, group, "_group_rows", keys, bits - LEVEL_BITS, start).drop("_group_rows")
