@@ -15,8 +15,8 @@ from check_oracles import compare, database  # noqa: E402
 from factweave.llm import mixing, toxicity  # noqa: E402
 from factweave.llm.queries_corpus import OTHER, WEIGHTS  # noqa: E402
 from pyspark.sql import functions as F  # noqa: E402
-from test_dedup import plain_simhash, removed  # noqa: E402
-from test_text import shares  # noqa: E402
+from test_llm_dedup import plain_simhash, removed  # noqa: E402
+from test_llm_text import shares  # noqa: E402
 
 FOLDER = "/root/testdata/sf0.01"
 tables = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="no test tables")
