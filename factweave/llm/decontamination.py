@@ -247,7 +247,8 @@ def _matcher(sent, kind: T.ArrayType, least: float, similarity: float):
         scanner = Scanner(index, least, similarity)
         return pd.Series([[{**vars(m), "item_id": ids[m.item]} for m in scanner.matches(t)] for t in texts])
 
-    return of
+    # Else Spark would add a filter on the array's size below an explode, and run the scan for it again.
+    return of.asNondeterministic()
 
 
 def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
