@@ -30,6 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from factweave.llm.components import first_by_hash, shared_folder, stored
+from factweave.operators.skew import partitions
 
 SAMPLE = 20_000
 CENTROIDS = 64
@@ -191,7 +192,8 @@ def nearest(
             columns = [pa.array(first), pa.array(part), batch.column("id").take(at), batch.column("vector").take(at), pa.array(seconds)]
             yield pa.record_batch(columns, names=["first", "part", "query_id", "query", "seconds"])
 
-    asked = rows.where(is_query).distinct()
+    # Few rows with much work each: dealt over all partitions, which Spark would merge for their size.
+    asked = rows.where(is_query).distinct().repartition(partitions(rows), "id")
     asked = asked.mapInArrow(visit, "first long, part long, query_id long, query array<double>, seconds array<long>")
     counts = F.broadcast(spark.createDataFrame(list(enumerate(parts)), "first long, parts int"))
     part = F.pmod(F.xxhash64("vector"), F.col("parts")).alias("part")
