@@ -4,8 +4,9 @@ Rows carry their place in a unique whole-number column, dense or sparse. Places
 block of that column: one narrow aggregate gives the rows per block, running sums over the block
 table give the place of each block's first row, and ``row_number`` counts inside each block. The
 block table may be as long as the corpus if numbers are sparse, so its running sums are taken on
-levels, each in groups of 65,536 numbers of the level below. No window ever holds more than that,
-and no step collects the first n rows of every task.
+two levels: in groups of 2^24 blocks, and over the groups, of which there are at most 2^24. No window
+ever holds more than that (dense numbers of 10^11 rows make 1.5 million blocks in one group), and no
+step collects the first n rows of every task.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ from factweave.functions.arrays import pad_to
 from factweave.schemas import INPUT_PAD, LABEL_PAD
 
 BLOCK_BITS = 16  # 65,536 consecutive numbers per block
-LEVEL_BITS = 16  # numbers of one level in a group of the next
+LEVEL_BITS = 24  # numbers of one level in a group of the next
 NUMBER_BITS = 64
 HASH_BITS = 60
 
@@ -35,7 +36,7 @@ def running_starts(
 ) -> DataFrame:
     """Add the sum of ``rows`` over all smaller numbers of the same keys; a number has ``bits`` bits.
 
-    Sums inside groups of 2^16 consecutive numbers are windows over such a group; the sums before the
+    Sums inside groups of 2^24 consecutive numbers are windows over such a group; the sums before the
     groups are found the same way from one row per group, until one group is left.
     """
     if bits <= LEVEL_BITS:
