@@ -8,8 +8,8 @@ are looked at; a block is scored only if its terms' greatest impacts in the bloc
 What is found is verified by five-word shingles of the whole item, its question and its answer.
 
 Passages are two strides long and a stride is as long as the longest item, so each copy of an item
-lies inside a passage. Items are indexed in blocks of at most ``INDEX_BYTES`` of text; one index at a
-time is sent to the executors, so neither they nor the driver hold more, however many items there are.
+lies inside a passage. Items are indexed in blocks of about half ``INDEX_BYTES`` of text, and a task
+or the driver holds the index of one block at a time, however many items there are.
 
 Contract for odd input: null and empty texts match nothing; items without words or without an id are
 no items; an item with fewer words than a shingle is one shingle; a question or answer that holds none
@@ -22,13 +22,16 @@ from __future__ import annotations
 import re
 import zlib
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from factweave.llm.components import shared_folder, stored
+
 K1, B = 1.2, 0.75
 MIN_SCORE = 0.5
 SHINGLE = 5
@@ -217,7 +220,7 @@ def _match_type(item_type: T.DataType) -> T.ArrayType:
 
 
 def _index_blocks(items: DataFrame, id_col: str, text_col: str):
-    """Lists of (id, text), each of at most ``INDEX_BYTES`` or one item."""
+    """Lists of (id, text), each of about half ``INDEX_BYTES`` of text by the hash of the id."""
     rows = items.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
     rows = rows.where(F.col("id").isNotNull() & F.col("text").rlike(r"(?U)\w"))
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
@@ -228,16 +231,14 @@ def _index_blocks(items: DataFrame, id_col: str, text_col: str):
             yield [r.id for r in mine], [r.text for r in mine]
 
 
-def matches(
-    text: Column, items: DataFrame, id_col: str = "item_id", text_col: str = "text", least: float = MIN_SCORE, similarity: float = SIMILARITY
-) -> Column:
-    """Array of the items which a text holds: item_id, passage, score and overlaps."""
+def finders(
+    items: DataFrame, id_col: str = "item_id", text_col: str = "text", least: float = MIN_SCORE, similarity: float = SIMILARITY
+):
+    """One function per block of items, from a text column to an array of the items a text holds:
+    item_id, passage, score and overlaps."""
     spark, kind = items.sparkSession, _match_type(items.schema[id_col].dataType)
-    found = [F.array().cast(kind)]
     for ids, texts in _index_blocks(items, id_col, text_col):
-        sent = spark.sparkContext.broadcast((ids, Index(texts)))
-        found.append(_matcher(sent, kind, least, similarity)(text))
-    return F.concat(*found)
+        yield _matcher(spark.sparkContext.broadcast((ids, Index(texts))), kind, least, similarity)
 
 
 def _matcher(sent, kind: T.ArrayType, least: float, similarity: float):
@@ -252,11 +253,21 @@ def _matcher(sent, kind: T.ArrayType, least: float, similarity: float):
 
 
 def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document and test item it holds: id, item_id, passage, score and overlaps."""
-    found = docs.select(F.col(f"`{id_col}`").alias("id"), matches(F.col(f"`{text_col}`"), items).alias("found"))
+    """One row per document and test item it holds: id, item_id, passage, score and overlaps. Each
+    block of items has a scan of its own, so a task holds one index."""
+    text, key = F.col(f"`{text_col}`"), F.col(f"`{id_col}`").alias("id")
+    none = F.array().cast(_match_type(items.schema["item_id"].dataType))
+    scans = [docs.select(key, f(text).alias("found")) for f in finders(items)]
+    found = reduce(DataFrame.unionAll, scans) if scans else docs.select(key, none.alias("found")).where("false")
     return found.select("id", F.explode("found").alias("m")).select("id", "m.*")
 
 
 def without_benchmark(docs: DataFrame, items: DataFrame, text_col: str = "text") -> DataFrame:
-    """The documents which hold no test item."""
-    return docs.where(F.size(matches(F.col(f"`{text_col}`"), items)) == 0)
+    """The documents which hold no test item. Between blocks of items the documents which are left are
+    written to the shared folder, so a task holds one index."""
+    folder = shared_folder(docs.sparkSession, "clean")
+    for step, f in enumerate(finders(items)):
+        if step:
+            docs = stored(docs, f"{folder}/{step}")
+        docs = docs.where(F.size(f(F.col(f"`{text_col}`"))) == 0)
+    return docs

@@ -146,6 +146,9 @@ def test_indexes_in_blocks_and_odd_tables(spark, leaks, odd_docs, no_docs, monke
     whole = {(r.id, r.item_id) for r in decontamination.contaminated(d, b).collect()}
     monkeypatch.setattr(decontamination, "INDEX_BYTES", 4000)
     assert {(r.id, r.item_id) for r in decontamination.contaminated(d, b).collect()} == whole
+    assert len(list(decontamination.finders(b))) > 1
+    kept = {r.doc_id for r in decontamination.without_benchmark(d, b).collect()}
+    assert kept == set(docs) - {i for i, _ in whole}
     none = b.where("false")
     assert decontamination.contaminated(odd_docs, none).count() == 0
     assert decontamination.without_benchmark(odd_docs, none).count() == odd_docs.count()
