@@ -5,7 +5,8 @@ score against itself, so a threshold is a share of the item. A passage asks with
 block-max WAND finds every item at or above the threshold: terms whose greatest impacts together stay
 below the threshold cannot lift an item alone, so only blocks of items with a posting of another term
 are looked at; a block is scored only if its terms' greatest impacts in the block reach the threshold.
-What is found is verified by five-word shingles of the whole item, its question and its answer.
+What is found is verified by five-word shingles of the whole item. Items have no fields of their own
+for question and answer, so the overlaps of the guessed parts are only reported.
 
 Passages are two strides long and a stride is as long as the longest item, so each copy of an item
 lies inside a passage. Items are indexed in blocks of about half ``INDEX_BYTES`` of text, and a task
@@ -13,7 +14,7 @@ or the driver holds the index of one block at a time, however many items there a
 
 Contract for odd input: null and empty texts match nothing; items without words or without an id are
 no items; an item with fewer words than a shingle is one shingle; a question or answer that holds none
-is no obstacle; equal items are reported each; a null
+has an overlap of one; equal items are reported each; a null
 document id is kept; of several passages with one item the best score counts, then the first.
 """
 
@@ -36,7 +37,6 @@ K1, B = 1.2, 0.75
 MIN_SCORE = 0.5
 SHINGLE = 5
 SIMILARITY = 0.8
-PART = 0.5
 BLOCK = 8
 PASSAGES = 64  # asked at a time
 INDEX_BYTES = 8 << 20
@@ -208,7 +208,7 @@ class Scanner:
             return None
         hit = np.isin(wanted, _shingles(codes, width))
         question, answer = (float(hit[p].mean()) if p.any() else 1.0 for p in self.index.question[item])
-        if hit.mean() < self.similarity or min(question, answer) < PART:
+        if hit.mean() < self.similarity:
             return None
         return Match(item, passage, score, float(hit.mean()), question, answer)
 

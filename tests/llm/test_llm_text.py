@@ -119,6 +119,21 @@ def test_matches_equal_plain_shares(spark, leaks):
     assert kept == set(docs) - {d for d, _ in want}
 
 
+def test_edits_at_every_place_equal_plain_shares():
+    rng = random.Random(21)
+    pool = [f"w{k}" for k in range(300)]
+    items = {n: f"{' '.join(rng.choices(pool, k=n - a))}. {' '.join(rng.choices(pool, k=a))}" for n, a in ((16, 3), (24, 1), (38, 1), (50, 9), (60, 12))}
+    docs, before = {}, " ".join(rng.choices(pool, k=70))
+    for n, text in items.items():
+        for k in range(n):
+            words = text.split()
+            for kind, new in (("changed", ["x"]), ("missing", []), ("added", [words[k], "x"])):
+                docs[n, k, kind] = f"{before} {' '.join(words[:k] + new + words[k + 1 :])} {before}"
+    scanner = decontamination.Scanner(decontamination.Index(list(items.values())), 0.5, 0.8)
+    got = {(d, list(items)[m.item]) for d, t in docs.items() for m in scanner.matches(t)}
+    assert got == {k for k, s in shares(docs, items).items() if s >= 0.8}
+
+
 def test_retrieval_equals_scoring_every_item(leaks):
     docs, items = leaks
     index = decontamination.Index([t for t in items.values() if decontamination.words_of(t or "")])
