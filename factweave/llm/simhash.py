@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 
 from factweave.llm.components import components, shared_folder, stored
 from factweave.llm.golay import Decoder
+from factweave.operators.skew import join_to_unique
 
 SHINGLE = 3
 SEED = 42
@@ -179,7 +180,8 @@ def near_duplicates(
     prints = prints.join(roots, prints.fingerprint == roots.node, "left")
     prints = prints.select("fingerprint", "least", F.coalesce("root", "fingerprint").alias("root"))
     named = prints.join(prints.groupBy("root").agg(F.min("least").alias("component")), "root")
-    return rows.join(named.select("fingerprint", "component"), "fingerprint").select("id", "fingerprint", "component")
+    found = join_to_unique(rows, named.select("fingerprint", "component"), "fingerprint", spread_by="id")
+    return found.select("id", "fingerprint", "component")
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

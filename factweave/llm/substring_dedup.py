@@ -91,9 +91,18 @@ def _covered(n_words: int, starts: np.ndarray, width: int) -> np.ndarray:
     return np.cumsum(edges[:-1]) > 0
 
 
+def _without(text: bytes, runs: np.ndarray) -> str:
+    """The text without runs of words (first, end), each word with the white space after it."""
+    places = np.append(rolling.word_spans(np.frombuffer(text, np.uint8))[0], len(text))
+    ends = [0, *places[runs[:, 1]].tolist()]
+    starts = [*places[runs[:, 0]].tolist(), len(text)]
+    return b"".join(text[e:s] for e, s in zip(ends, starts, strict=True)).decode()
+
+
 def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH) -> DataFrame:
     """One row per document: doc (all its columns), n_words, n_removed, spans of removed words
-    (start, end), and kept, the words left joined by one space."""
+    (start, end), kept, the words left joined by one space, and rest, the text without the removed
+    words and the white space after each of them (null where nothing was removed)."""
     parts, size = chunks.chunked(docs, id_col, text_col)
     buckets = chunks.buckets_for(size // 5)
 
@@ -116,6 +125,7 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
             T.StructField("n_removed", T.LongType()),
             T.StructField("spans", T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))),
             T.StructField("kept", T.StringType()),
+            T.StructField("rest", T.StringType()),
         ]
     )
 
@@ -138,7 +148,7 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         raw = doc.combine_chunks().field(text_col).cast(pa.large_binary()).to_pylist()
         counts = np.bincount(windows.owner, minlength=len(windows.texts))
         ends = np.cumsum(counts)
-        spans, kept, removed, n_words = [], [], [], []
+        spans, kept, rest, removed, n_words = [], [], [], [], []
         for text, own, n, end in zip(raw, windows.texts, counts, ends, strict=True):
             words = (text or b"").split()
             n_words.append(len(words))
@@ -147,12 +157,14 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
                 edge = np.flatnonzero(np.diff(np.concatenate(([0], mine.view(np.int8), [0]))))
                 spans.append([{"start": int(s), "end": int(e)} for s, e in edge.reshape(-1, 2)])
                 removed.append(int(mine.sum()))
+                rest.append(_without(text, edge.reshape(-1, 2)))
                 words = [w for w, x in zip(words, mine.tolist(), strict=True) if not x]
             else:
                 spans.append([])
                 removed.append(0)
+                rest.append(None)
             kept.append(b" ".join(words).decode())
-        columns = [doc, n_words, removed, spans, kept]
+        columns = [doc, n_words, removed, spans, kept, rest]
         return pa.table([c if i == 0 else pa.array(c, f.type) for i, (c, f) in enumerate(zip(columns, arrow, strict=True))], names=arrow.names)
 
     arrow = _arrow(kept_type)
@@ -169,9 +181,9 @@ def _arrow(schema: T.StructType) -> pa.Schema:
 
 
 def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH) -> DataFrame:
-    """The documents with their columns; the text is the kept words where some were removed, and
-    is unchanged elsewhere. A text of which nothing is left goes."""
+    """The documents with their columns; removed words go with the white space after them, and all
+    else of a text (line breaks, indentation) stays as it was. A text of which no word is left goes."""
     found = dedup_substrings(docs, id_col, text_col, width)
-    left = F.when(F.col("n_removed") > 0, F.col("kept")).otherwise(F.col(f"doc.`{text_col}`"))
-    rows = found.where((F.col("n_removed") == 0) | (F.col("kept") != ""))
+    left = F.when(F.col("n_removed") > 0, F.col("rest")).otherwise(F.col(f"doc.`{text_col}`"))
+    rows = found.where((F.col("n_removed") == 0) | (F.col("n_removed") < F.col("n_words")))
     return rows.select(*[(left if c == text_col else F.col(f"doc.`{c}`")).alias(c) for c in docs.columns])

@@ -3,6 +3,7 @@ from __future__ import annotations
 import hashlib
 import math
 import os
+import re
 import sys
 
 import pytest
@@ -116,11 +117,14 @@ def test_pipeline_stage_by_stage(spark):
 
     marks = removed({i: r.text.encode().split() for i, r in single.items()}, 13)
     for i, r in single.items():
-        words = [w for w, m in zip(r.text.split(), marks[i], strict=True) if not m]
+        # Removed words go with the white space after them, and nothing else does.
+        lead, words = re.match(rb"\s*", r.text.encode()).group(), re.findall(rb"\S+\s*", r.text.encode())
+        words = [w for w, m in zip(words, marks[i], strict=True) if not m]
         if not any(marks[i]):
             assert cut[i] == r
         elif words:
-            assert (cut[i].text, cut[i].n_chars) == (" ".join(words), len(" ".join(words)))
+            left = (lead + b"".join(words)).decode()
+            assert (cut[i].text, cut[i].n_chars) == (left, len(left))
         else:
             assert i not in cut
     assert any(any(m) for m in marks.values())

@@ -93,6 +93,18 @@ def test_without_repeats_keeps_clean_texts_and_columns(odd_docs, texts):
             assert i not in rows
 
 
+def test_white_space_stays_where_passages_go(spark):
+    passage = " \t".join(f"w{i}" for i in range(15))
+    rows = [
+        (1, f"first {passage}"),
+        (2, f"  Title line\n\n\tcode   block\n{passage}\n\n    é  tail\r\n"),
+        (3, f"\n {passage} \n"),
+        (4, f"{passage}\n\nmid  dle\n{passage}"),
+    ]
+    got = {r.doc_id: r.text for r in without_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: rows[0][1], 2: "  Title line\n\n\tcode   block\né  tail\r\n", 4: "mid  dle\n"}
+
+
 def test_intervals_by_hand():
     # Suffixes with common prefixes 5, 3, 5 between neighbours: two pairs inside one group of four.
     assert sorted(suffix_array.intervals([5, 3, 5])) == [(3, 0, 3), (5, 0, 1), (5, 2, 3)]
