@@ -13,9 +13,9 @@ from pyspark.sql import functions as F
 from factweave.llm.components import shared_folder, stored
 from factweave.llm.decontamination import without_benchmark
 from factweave.llm.mixing import poisson_mix
-from factweave.llm.near_copies import one_of_each
 from factweave.llm.queries_corpus import OTHER, WEIGHTS
 from factweave.llm.register import table
+from factweave.llm.simhash import one_of_each
 from factweave.llm.substring_dedup import without_repeats
 from factweave.llm.toxicity import toxicity
 
@@ -27,7 +27,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the least id of each group of near copies."""
+    """The document with the least id of each component of fingerprints of at most three differing bits."""
     return one_of_each(docs)
 
 
