@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from factweave.llm import queries_corpus, queries_dedup, queries_models, queries_text  # noqa: F401  (importing registers)
+from factweave.llm import queries_corpus, queries_dedup, queries_models, queries_text, queries_vectors  # noqa: F401  (importing registers)
 from factweave.llm.register import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
