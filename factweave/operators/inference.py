@@ -2,15 +2,21 @@
 
 from __future__ import annotations
 
+import hashlib
+import json
 import time
 from collections.abc import Callable, Iterator
+from dataclasses import asdict, dataclass
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from factweave.functions.text import single_spaced, words
+from factweave.operators.skew import HOT_ROWS, join_to_unique
+from factweave.schemas import STOP
+from factweave.sources.table import ResultTable
 
 RETRIES = 1  # fixed values: one more call, after a minute
 WAIT_SECONDS = 60.0
@@ -40,42 +46,131 @@ def _called(call: Callable[[list], list], values: list, batch_size: int) -> list
     return [None if v is None else next(answers) for v in values]
 
 
+@dataclass(frozen=True)
+class Request:
+    """What a completion is asked with, beside its prompt."""
+
+    model: str = "stub"
+    temperature: float = 0.0
+    max_tokens: int = 300
+    top_p: float = 1.0
+    frequency_penalty: float = 0.0
+    presence_penalty: float = 0.0
+    stop: tuple[str, ...] = (STOP,)
+
+    def text(self) -> str:
+        return json.dumps(asdict(self), sort_keys=True)
+
+
+#: A log of answers: the key is the hash of the request, of what goes around the prompt, and of the prompt.
+ANSWERS = T.StructType(
+    [
+        T.StructField("key", T.StringType()),
+        T.StructField("prompt", T.StringType()),
+        T.StructField("model", T.StringType()),
+        T.StructField("request", T.StringType()),
+        T.StructField("completion", T.StringType()),
+        T.StructField("error", T.StringType()),
+        T.StructField("asked_at", T.TimestampType()),
+    ]
+)
+
+
+def answer_log(spark: SparkSession, path: str, **options) -> ResultTable:
+    """The table of all answers and failures, for audits and for ``complete``."""
+    return ResultTable(spark, path, ANSWERS, "key", **options)
+
+
+def _asker(completer: Callable[..., str], request: Request | None, around: tuple[str, str], retries: int, wait: float):
+    def ask(prompt: str) -> str:
+        text = around[0] + prompt + around[1]
+        return _with_retry(completer if request is None else lambda t: completer(t, request), text, retries, wait)
+
+    return ask
+
+
+def _answer_all(asked: DataFrame, log: ResultTable, ask: Callable[[str], str], request: Request | None, tasks: int | None) -> DataFrame:
+    """(_key, completion) of all asked prompts; what the log does not have is asked, and written before it is read.
+
+    Prompts are dealt by the bucket of their key and the tasks which ask them write the log, so that no later
+    stage runs a call again. A call which fails on every try is logged as an error and ends the calls of its
+    task; its answers so far are kept. Then the job fails, and a new run asks only what has no answer.
+    """
+    known = log.read().where(F.col("completion").isNotNull()).select(F.col("key").alias("_key"), "completion")
+    todo = asked.join(known, "_key", "left_anti").select(F.col("_key").alias("key"), F.col("_prompt").alias("prompt"))
+    names, model = ANSWERS.names, request.model if request else None
+    described = request.text() if request else None
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        failed = False
+        for batch in batches:
+            rows: list[tuple] = []
+            for key, prompt, bucket in zip(batch["key"], batch["prompt"], batch["bucket"], strict=True):
+                if failed:
+                    break
+                answer = error = None
+                try:
+                    answer = ask(prompt)
+                except Exception as problem:  # logged; the job fails once all answers are written
+                    failed, error = True, f"{type(problem).__name__}: {problem}"
+                rows.append((key, prompt, model, described, answer, error, pd.Timestamp.now(tz="UTC"), bucket))
+            yield pd.DataFrame(rows, columns=[*names, "bucket"])
+
+    schema = T.StructType([*ANSWERS, T.StructField("bucket", T.IntegerType())])
+    log.append(log.dealt(todo, tasks).mapInPandas(run, schema), dealt=True)
+    answers = log.read()
+    lacking = asked.join(answers.where(F.col("completion").isNotNull()).select(F.col("key").alias("_key")), "_key", "left_anti")
+    if lacking.limit(1).count():
+        last = answers.where(F.col("error").isNotNull()).orderBy(F.desc("asked_at")).select("error").first()
+        raise RuntimeError(f"prompts without an answer; last error: {last.error if last else 'none logged'}")
+    found = answers.where(F.col("completion").isNotNull())
+    return found.groupBy(F.col("key").alias("_key")).agg(F.min("completion").alias("completion"))
+
+
 def complete(
     df: DataFrame,
     prompt: str,
-    completer: Callable[[str], str],
+    completer: Callable[..., str],
     retries: int = RETRIES,
     wait: float = WAIT_SECONDS,
     name: str = "completion",
     prefix: str = "",
     suffix: str = "",
     parallel_calls: int | None = None,
+    request: Request | None = None,
+    log: str | None = None,
+    hot_rows: int | None = HOT_ROWS,
 ) -> DataFrame:
     """Add the completion of each row's prompt.
 
     Equal prompts are asked once: they collapse before the shuffle, and the answers are joined
-    back. Prompts meet by their SHA-256, so that the joins sort and compare 32 bytes. ``prefix`` and ``suffix`` go around the text on the worker, so the few-shot
-    blocks are neither shuffled nor compared. ``parallel_calls`` bounds the calls at a time.
-    A call which fails on every try fails its task, which Spark then runs again.
+    back, rows of a hot prompt and rows without a prompt spread over many tasks. Prompts meet by their SHA-256, so that the
+    joins sort and compare 32 bytes. ``prefix`` and ``suffix`` go around the text on the worker, so the few-shot
+    blocks are neither shuffled nor compared. ``parallel_calls`` bounds the calls at a time. With ``request`` the
+    completer is called with it as a second argument.
+
+    With ``log``, the path of an ``answer_log``, answers are asked for and written now, before the join, and the
+    plan returned only reads them: a retried stage, a lost executor or a new run asks nothing twice that was
+    answered for the same request, prefix and suffix. Without it the calls are part of the plan: a call
+    which fails on every try fails its task, which Spark then runs again.
     """
-    key = F.unhex(F.sha2(F.col(prompt), 256))
-    asked = df.where(F.col(prompt).isNotNull()).select(key.alias("_key"), F.col(prompt).alias("_prompt")).distinct()
-    if parallel_calls:
-        asked = asked.repartition(parallel_calls, "_key")
-    schema = T.StructType(
-        [T.StructField("_key", T.BinaryType()), T.StructField(name, T.StringType())]
-    )
-
-    def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            answers = [
-                _with_retry(completer, prefix + text + suffix, retries, wait)
-                for text in batch["_prompt"]
-            ]
-            yield pd.DataFrame({"_key": batch["_key"], name: answers})
-
+    scope = hashlib.sha256(json.dumps([request and request.text(), prefix, suffix]).encode()).hexdigest()
+    key = F.sha2(F.concat(F.lit(scope), F.col(prompt)), 256)
     keyed = df.withColumn("_key", key)
-    return keyed.join(asked.mapInPandas(ask, schema), "_key", "left").select(*df.columns, name)
+    asked = keyed.where(F.col("_key").isNotNull()).select("_key", F.col(prompt).alias("_prompt")).distinct()
+    ask = _asker(completer, request, (prefix, suffix), retries, wait)
+    if log is not None:
+        answers = _answer_all(asked, answer_log(df.sparkSession, log), ask, request, parallel_calls)
+        answers = answers.withColumnRenamed("completion", name)
+    else:
+
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for batch in batches:
+                yield pd.DataFrame({"_key": batch["_key"], name: [ask(text) for text in batch["_prompt"]]})
+
+        dealt = asked.repartition(parallel_calls, "_key") if parallel_calls else asked
+        answers = dealt.mapInPandas(run, T.StructType([T.StructField("_key", T.StringType()), T.StructField(name, T.StringType())]))
+    return join_to_unique(keyed, answers, "_key", "left", min_rows=hot_rows).select(*df.columns, name)
 
 
 def generate(

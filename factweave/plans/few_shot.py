@@ -58,12 +58,14 @@ def decompose_corpus(
     prefix: str,
     chunk_rows: int = CHUNK_ROWS,
     retry_rejected: bool = False,
+    tasks: int | None = None,
     **options,
 ) -> DataFrame:
     """Results of all (item_id, sentence) rows; only rows without a stored one are asked. ``work`` is a
-    shared folder for the remaining work."""
+    shared folder for the remaining work. With ``log`` among the options (see ``inference.complete``) answers outlive
+    a chunk that fails half way, and are found again for other items, splits and runs."""
 
     def finish(part: DataFrame) -> DataFrame:
         return decompose(part, "sentence", completer, prefix, **options)
 
-    return finish_in_chunks(questions, out, work, finish, chunk_rows, retry_rejected)
+    return finish_in_chunks(questions, out, work, finish, chunk_rows, retry_rejected, tasks=tasks)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from factweave.functions.text import join_facts
@@ -12,7 +14,10 @@ from factweave.plans.evaluation import decoded, truth_ids
 from factweave.plans.few_shot import decompose
 from factweave.plans.queries_text import EXAMPLE_BLOCKS
 from factweave.plans.registry import query
+from factweave.plans.results import read_done
 from factweave.plans.trained import decompose_exploded, decompose_questions
+from factweave.session import work_dir
+from factweave.streaming.incremental import decompose_stream
 
 SIZE = 10
 
@@ -174,3 +179,31 @@ def embedding_stub(spark, folder):
         "doc_id",
         *[F.round(F.get("embedding", F.lit(i)).cast("double"), 4).alias(c) for i, c in enumerate("aeiou")],
     )
+
+
+@query(
+    "stream_decompose",
+    f"""SELECT DISTINCT sha256(text) AS item_id,
+          'FACT1: ENTITY1 has ' || ({len(EXAMPLE_BLOCKS)} + 10 + length(text) + 11) || ' letters.|Question: How many ENTITY1?' AS lines
+        FROM conversations WHERE text IS NOT NULL""",
+)
+def stream_decompose(spark, folder):
+    """Turns as a stream; each different text is an item, which the stream's state lets through once."""
+    work = f"{work_dir(spark).rstrip('/')}/stream-{uuid.uuid4().hex}"
+    source = f"{folder}/conversations.parque[t]"  # a pattern, as the table is one file or a folder of files
+    stream = decompose_stream(
+        spark,
+        source,
+        f"{work}/results",
+        stub_completer,
+        f"{work}/checkpoint",
+        EXAMPLE_BLOCKS,
+        question="text",
+        fmt="parquet",
+        prepare=lambda rows: rows.select(F.sha2("text", 256).alias("item_id"), "text"),
+        schema="conv_id long, turn long, role string, text string",
+        buckets=16,
+        wait=0.0,
+    )
+    stream.awaitTermination()
+    return read_done(spark, f"{work}/results").select("item_id", F.array_join("sub_sentences", "|").alias("lines"))

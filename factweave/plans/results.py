@@ -5,17 +5,16 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from factweave.operators.joins import attach, pending
+from factweave.operators.skew import partitions
 from factweave.schemas import PARAPHRASE_RESULT
-from factweave.sources.sinks import chunk_of, write_results
+from factweave.sources.table import ResultTable, bucket_of
 
 CHUNK_ROWS = 1_000_000
-WRITERS = 8  # tasks which write one chunk
 RESULTS = T.StructType(
     [
         T.StructField("item_id", T.StringType()),
@@ -34,15 +33,13 @@ PARAPHRASE_RESULTS = T.StructType(
 )
 
 
+def table_of(spark: SparkSession, path: str, schema: T.StructType = RESULTS, **options) -> ResultTable:
+    return ResultTable(spark, path, schema, schema.names[0], **options)
+
+
 def read_done(spark: SparkSession, path: str, schema: T.StructType = RESULTS, buckets: list[int] | None = None) -> DataFrame:
     """Stored results, of some hash buckets if given; an empty table before the first run."""
-    try:
-        done = spark.read.schema(T.StructType([*schema, T.StructField("bucket", T.IntegerType())])).parquet(path)
-    except AnalysisException as error:
-        if error.getCondition() != "PATH_NOT_FOUND":
-            raise
-        return spark.createDataFrame([], schema)
-    return (done if buckets is None else done.where(F.col("bucket").isin(buckets))).drop("bucket")
+    return table_of(spark, path, schema).read(buckets)
 
 
 def latest_results(done: DataFrame) -> DataFrame:
@@ -65,6 +62,7 @@ def finish_in_chunks(
     chunk_rows: int = CHUNK_ROWS,
     retry_rejected: bool = False,
     schema: T.StructType = RESULTS,
+    tasks: int | None = None,
 ) -> DataFrame:
     """Apply ``finish`` to all (item_id, asked) rows without a result yet, and append.
 
@@ -72,11 +70,15 @@ def finish_in_chunks(
     chunks of about ``chunk_rows`` rows, so that each chunk reads its own rows only, and each finished
     chunk is appended to ``out``: what was paid for survives a lost executor or a stopped run. The
     folder's content is removed at the end. Equal questions are in the same chunk. Of several rows of
-    one item the least counts, in every run.
+    one item the least counts, in every run. A chunk is dealt by item over ``tasks`` tasks before
+    ``finish``, as many as the session runs at a time or shuffles to, so that a model uses the whole
+    cluster however few files the chunk has.
     """
     spark, (key, asked, found) = questions.sparkSession, schema.names
     unique = questions.where(F.col(asked).isNotNull()).groupBy(key).agg(F.min(asked).alias(asked))
-    done = read_done(spark, out, schema)
+    table = table_of(spark, out, schema)
+    tasks = tasks or max(spark.sparkContext.defaultParallelism, partitions(questions))
+    done = table.read()
     todo = pending(unique, done, key, found, retry_rejected, hot_rows=None)
     folder = f"{work.rstrip('/')}/todo-{uuid.uuid4().hex}"
     kinds = T.StructType([schema[key], schema[asked]])
@@ -84,16 +86,15 @@ def finish_in_chunks(
         todo.write.parquet(f"{folder}/rows")
         rows = spark.read.schema(kinds).parquet(f"{folder}/rows")
         chunks = -(-rows.count() // chunk_rows)
-        dealt = rows.withColumn("chunk", chunk_of(asked, max(chunks, 1)))
-        salt = F.pmod(F.xxhash64(key), F.lit(WRITERS))
-        dealt.repartition("chunk", salt).write.partitionBy("chunk").parquet(f"{folder}/chunks")
+        dealt = rows.withColumn("chunk", bucket_of(asked, max(chunks, 1)))
+        dealt.repartition("chunk", F.pmod(F.xxhash64(key), F.lit(tasks))).write.partitionBy("chunk").parquet(f"{folder}/chunks")
         parts = spark.read.schema(T.StructType([*kinds, T.StructField("chunk", T.IntegerType())])) if chunks else None
         for chunk in range(chunks):
             part = parts.parquet(f"{folder}/chunks").where(F.col("chunk") == chunk)
-            write_results(finish(part).select(*schema.names), out, key)
+            table.append(finish(part.drop("chunk").repartition(tasks, key)))
     finally:
         _remove(spark, folder)
-    return latest_results(read_done(spark, out, schema))
+    return latest_results(table.read())
 
 
 def attach_training(items: DataFrame, results: DataFrame) -> DataFrame:

@@ -1,0 +1,105 @@
+from __future__ import annotations
+
+import json
+import sys
+
+import pytest
+from factweave.operators.inference import Request, answer_log, complete
+from factweave.plans import few_shot
+from pyspark import cloudpickle
+from pyspark.sql import functions as F
+
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
+
+@pytest.fixture
+def asked(spark):
+    """A completer which counts its calls."""
+    calls = spark.sparkContext.accumulator(0)
+
+    def ask(prompt, request=None):
+        calls.add(1)
+        return f"{prompt}{request.temperature if request else ''}!"
+
+    return ask, calls
+
+
+def prompts(spark, n=40):
+    return spark.createDataFrame([(i, ["a", "b", "a", None, "c"][i % 5]) for i in range(n)], "n int, p string")
+
+
+def test_a_stage_that_fails_after_the_answers_asks_nothing_again(spark, tmp_path, asked):
+    ask, calls = asked
+    log = str(tmp_path / "log")
+    done = complete(prompts(spark), "p", ask, wait=0, log=log)
+    assert calls.value == 3
+    with pytest.raises(Exception, match="lost"):
+        done.select(F.when(F.col("n") == 7, F.raise_error(F.lit("lost"))).otherwise(F.col("completion"))).collect()
+    got = {r.n: r.completion for r in done.collect()}
+    assert got == {i: ["a!", "b!", "a!", None, "c!"][i % 5] for i in range(40)} and calls.value == 3
+    assert complete(prompts(spark, 60), "p", ask, wait=0, log=log).count() == 60 and calls.value == 3
+
+
+def test_a_call_that_fails_keeps_the_answers_before_it(spark, tmp_path):
+    calls = spark.sparkContext.accumulator(0)
+    broken, log = tmp_path / "broken", str(tmp_path / "log")
+    broken.touch()
+    path = str(broken)
+
+    def ask(prompt):
+        import os
+
+        if prompt == "p3" and os.path.exists(path):
+            raise ConnectionError("no answer")
+        calls.add(1)
+        return prompt.upper()
+
+    df = spark.createDataFrame([(f"p{i}",) for i in range(8)], "p string")
+    with pytest.raises(RuntimeError, match="ConnectionError: no answer"):
+        complete(df, "p", ask, retries=1, wait=0, log=log, parallel_calls=1)
+    before = calls.value
+    stored = answer_log(spark, log).read()
+    assert before == stored.where("completion IS NOT NULL").count() < 8 and stored.where("error IS NOT NULL").count() == 1
+    broken.unlink()
+    got = complete(df, "p", ask, wait=0, log=log, parallel_calls=2)
+    assert {r.p: r.completion for r in got.collect()} == {f"p{i}": f"P{i}" for i in range(8)}
+    assert calls.value == 8  # one call per prompt that answered, in both runs together
+
+
+def test_requests_are_stored_and_told_apart(spark, tmp_path, asked):
+    ask, calls = asked
+    log, df = str(tmp_path / "log"), spark.createDataFrame([("x",)], "p string")
+    cold, warm = Request(model="m"), Request(model="m", temperature=0.5, stop=("a", "b"))
+    assert [complete(df, "p", ask, wait=0, log=log, request=r).first().completion for r in (cold, warm, cold)] == ["x0.0!", "x0.5!", "x0.0!"]
+    assert complete(df, "p", ask, wait=0, log=log, request=cold, prefix="<").first().completion == "<x0.0!"
+    assert calls.value == 3
+    rows = answer_log(spark, log).read().collect()
+    stored = [json.loads(r.request) for r in rows]
+    assert {(r.model, r.prompt, r.error) for r in rows} == {("m", "x", None)} and all(r.asked_at for r in rows)
+    assert sorted(s["temperature"] for s in stored) == [0.0, 0.0, 0.5] and ["a", "b"] in [s["stop"] for s in stored]
+    assert set(stored[0]) == {"model", "temperature", "max_tokens", "top_p", "frequency_penalty", "presence_penalty", "stop"}
+    assert complete(df, "p", ask, wait=0, request=warm).first().completion == "x0.5!"
+
+
+def test_hot_and_absent_prompts_are_spread(spark):
+    rows = spark.range(10_000).selectExpr("id", "CASE WHEN id % 10 < 5 THEN NULL WHEN id % 10 < 9 THEN 'hot' ELSE 'p' || id END AS p")
+    settings = {"spark.sql.shuffle.partitions": "32", "spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    try:
+        done = complete(rows, "p", lambda t: t + "!", wait=0, hot_rows=100)
+        sizes = [r["count"] for r in done.groupBy(F.spark_partition_id()).count().collect()]
+        assert sum(sizes) == 10_000 and max(sizes) < 1_500
+        assert done.where("p IS NULL AND completion IS NULL").count() == 5_000 and done.where("completion = 'hot!'").count() == 4_000
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
+def test_a_corpus_run_uses_the_log(spark, tmp_path, asked):
+    ask, calls = asked
+    questions = spark.createDataFrame([(str(i), f"q{i % 3}") for i in range(9)], "item_id string, sentence string")
+    for run in ("one", "two"):  # another result table, for instance of another split: the answers are there
+        done = few_shot.decompose_corpus(questions, str(tmp_path / run), str(tmp_path / "work"), ask, "P", wait=0, log=str(tmp_path / "log"))
+        assert done.count() == 9 and calls.value == 3
