@@ -3,8 +3,8 @@
 Rows carry their place in a unique whole-number column, dense or sparse. Places are counted per
 block of that column: one narrow aggregate gives the rows per block, running sums over the block
 table give the place of each block's first row, and ``row_number`` counts inside each block. The
-block table may be as long as the corpus if numbers are sparse, so its running sums are taken on
-two levels: in groups of 2^24 blocks, and over the groups, of which there are at most 2^24. No window
+block table may be as long as the corpus if numbers are sparse, so its running values are taken on
+levels (``prefix_scan``): in groups of 2^24 blocks, and over the groups, of which there are at most 2^24. No window
 ever holds more than that (dense numbers of 10^11 rows make 1.5 million blocks in one group), and no
 step collects the first n rows of every task.
 """
@@ -31,34 +31,92 @@ def _block(order: str, bits: int) -> Column:
     return F.shiftright(F.col(order).cast("long"), bits)
 
 
-def running_starts(
-    counts: DataFrame, number: str, rows: str, keys: Sequence[str], bits: int, name: str
+class Sums:
+    """Prefix sums of a column."""
+
+    def __init__(self, rows: str, name: str):
+        self.rows, self.name = rows, name
+
+    def inside(self, df: DataFrame, before: Window) -> DataFrame:
+        """Add the sum of the smaller numbers of the window."""
+        return df.withColumn(self.name, F.coalesce(F.sum(self.rows).over(before), F.lit(0)))
+
+    def total(self) -> list[Column]:
+        """The value of a whole group, under the names of the input."""
+        return [F.sum(self.rows).alias(self.rows)]
+
+    def joined(self, df: DataFrame, outer: dict[str, str]) -> DataFrame:
+        """The value before the group, in the columns ``outer`` names, and the one inside it, as one."""
+        return df.withColumn(self.name, F.col(outer[self.name]) + F.col(self.name))
+
+    @property
+    def names(self) -> list[str]:
+        return [self.name]
+
+
+class Marks:
+    """Prefix maxima of marks (v, at), whose place ``at`` counts rows backwards from the start of its own
+    block: the places shift by the rows before the block, so that of equal values the first row is the greatest."""
+
+    def __init__(self, rows: str, mark: str, offset: str, best: str):
+        self.rows, self.mark, self.offset, self.best = rows, mark, offset, best
+        self.sums = Sums(rows, offset)
+
+    @staticmethod
+    def shift(mark: Column, offset: Column) -> Column:
+        moved = F.struct(mark["v"].alias("v"), (mark["at"] - offset).cast("long").alias("at"))
+        return F.when(mark.isNotNull(), moved)
+
+    def inside(self, df: DataFrame, before: Window) -> DataFrame:
+        placed = self.sums.inside(df, before).withColumn(self.mark, self.shift(F.col(self.mark), F.col(self.offset)))
+        return placed.withColumn(self.best, F.max(self.mark).over(before))
+
+    def total(self) -> list[Column]:
+        return [*self.sums.total(), F.max(self.mark).alias(self.mark)]
+
+    def joined(self, df: DataFrame, outer: dict[str, str]) -> DataFrame:
+        best = F.greatest(F.col(outer[self.best]), self.shift(F.col(self.best), F.col(outer[self.offset])))
+        return self.sums.joined(df.withColumn(self.best, best), outer)
+
+    @property
+    def names(self) -> list[str]:
+        return [self.offset, self.best]
+
+
+def prefix_scan(
+    table: DataFrame, number: str, keys: Sequence[str], bits: int, scan: Sums | Marks, level_bits: int = LEVEL_BITS
 ) -> DataFrame:
-    """Add the sum of ``rows`` over all smaller numbers of the same keys; a number has ``bits`` bits.
+    """Add to each row what ``scan`` makes of all rows of smaller numbers of the same keys.
 
-    Sums inside groups of 2^24 consecutive numbers are windows over such a group; the sums before the
-    groups are found the same way from one row per group, until one group is left.
+    Any associative rule will do: it says how rows are combined inside a window, what a whole group
+    is worth, and how the value before a group joins the one inside it. A number has ``bits`` bits. Values inside groups of
+    2^level_bits consecutive numbers come from windows over such a group; those before the groups are found the same
+    way from one row per group, until one group is left. No window holds more than one level.
     """
-    if bits <= LEVEL_BITS:
+    if bits <= level_bits:
         before = Window.partitionBy(*keys).orderBy(number).rowsBetween(Window.unboundedPreceding, -1)
-        return counts.withColumn(name, F.coalesce(F.sum(rows).over(before), F.lit(0)))
-    group, start = f"_g{bits}", f"_s{bits}"
-    # The joins ask for a group of each level; asked here already, all read one shuffle of the counts.
+        return scan.inside(table, before)
+    group = f"_g{bits}"
+    # The joins ask for a group of each level; asked here already, all read one shuffle of the table.
     levels = [F.col(number)]
-    for _ in range(bits - LEVEL_BITS, 0, -LEVEL_BITS):
-        levels.append(F.shiftright(levels[-1], LEVEL_BITS))
+    for _ in range(bits - level_bits, 0, -level_bits):
+        levels.append(F.shiftright(levels[-1], level_bits))
     known = reduce(and_, [x.isNotNull() for x in levels[1:]])
-    grouped = counts.where(known).withColumn(group, F.shiftright(number, LEVEL_BITS))
+    grouped = table.where(known).withColumn(group, F.shiftright(number, level_bits))
     inside = Window.partitionBy(*keys, group).orderBy(number).rowsBetween(Window.unboundedPreceding, -1)
-    sums = grouped.groupBy(*keys, group).agg(F.sum(rows).alias("_group_rows"))
-    starts = running_starts(sums, group, "_group_rows", keys, bits - LEVEL_BITS, start).drop("_group_rows")
-    here = F.coalesce(F.sum(rows).over(inside), F.lit(0))
-    return (
-        grouped.withColumn("_here", here)
-        .join(starts, [*keys, group])
-        .withColumn(name, F.col(start) + F.col("_here"))
-        .drop("_here", group, start)
-    )
+    here = scan.inside(grouped, inside)
+    totals = here.groupBy(*keys, group).agg(*scan.total())
+    outer = {n: f"_s{bits}_{n}" for n in scan.names}
+    starts = prefix_scan(totals, group, keys, bits - level_bits, scan, level_bits)
+    starts = starts.select(*keys, group, *[F.col(n).alias(o) for n, o in outer.items()])
+    return scan.joined(here.join(starts, [*keys, group]), outer).drop(group, *outer.values())
+
+
+def running_starts(
+    counts: DataFrame, number: str, rows: str, keys: Sequence[str], bits: int, name: str
+) -> DataFrame:
+    """Add the sum of ``rows`` over all smaller numbers of the same keys; a number has ``bits`` bits."""
+    return prefix_scan(counts, number, keys, bits, Sums(rows, name))
 
 
 def block_places(

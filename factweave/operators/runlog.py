@@ -1,7 +1,8 @@
 """Metric logs: rows (run, step, tag, value) and what is read off them.
 
 Running values are computed over blocks of steps: inside a block by a window, across blocks
-from one row per block. A run with a third of all rows is thus spread over many tasks.
+from one row per block, on levels (see ``order.prefix_scan``). A run with a third of all rows is thus
+spread over many tasks, be its steps dense or sparse.
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ from operator import and_
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from factweave.operators.order import LEVEL_BITS, NUMBER_BITS, Marks, prefix_scan
 from factweave.operators.skew import HOT_ROWS, join_to_unique
 
 STEP_BITS = 16  # 65,536 consecutive steps per block
@@ -45,6 +47,7 @@ def improvements(
     start: float = START,
     run: str = "run",
     bits: int = STEP_BITS,
+    level_bits: int = LEVEL_BITS,
 ) -> DataFrame:
     """Best value before each row, whether the row beats it, and failures in a row so far.
 
@@ -78,12 +81,11 @@ def improvements(
         .withColumn("_before", F.max("_known").over(previous))
     )
     blocks = rows.groupBy(*blocked).agg(F.max("_mark").alias("_top"), F.max("_n").alias("_rows"))
-    before = Window.partitionBy(*keys).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    blocks = blocks.withColumn("_offset", F.coalesce(F.sum("_rows").over(before), F.lit(0)))
-    blocks = blocks.withColumn("_top", _shift(F.col("_top"), F.col("_offset")))
-    blocks = blocks.withColumn("_carry", F.max("_top").over(before)).drop("_top", "_rows")
+    # Sparse steps make a block per row: carried on levels, so that a run's blocks do not meet in one task.
+    scan = Marks("_rows", "_top", "_offset", "_carry")
+    blocks = prefix_scan(blocks, "_block", keys, NUMBER_BITS - bits, scan, level_bits).drop("_top", "_rows")
 
-    top = F.greatest(F.col("_carry"), _shift(F.col("_now"), F.col("_offset")))
+    top = F.greatest(F.col("_carry"), Marks.shift(F.col("_now"), F.col("_offset")))
     last = F.when(top["v"] > start, -top["at"]).otherwise(F.lit(0))
     return (
         rows.join(blocks, blocked)
@@ -94,14 +96,6 @@ def improvements(
     )
 
 
-def _shift(mark: Column, offset: Column) -> Column:
-    """A mark whose place counts from the start of the run instead of the block."""
-    return F.when(
-        mark.isNotNull(),
-        F.struct(mark["v"].alias("v"), (mark["at"] - offset).cast("long").alias("at")),
-    )
-
-
 def early_stop(
     log: DataFrame, patience: int = PATIENCE, start: float = START, run: str = "run", bits: int = STEP_BITS
 ) -> DataFrame:
@@ -132,24 +126,30 @@ def expired(
     run: str = "run",
     prefix: str = "checkpoint",
     hot_rows: int | None = HOT_ROWS,
+    order: str | None = None,
 ) -> DataFrame:
     """All versions but the newest k of each run; none when k is absent or not positive.
 
+    Newest is the greatest step in the name, or with ``order``, say a time of change, the greatest value of that
+    column; then names need no step. Versions without a step, or without a value, are never listed.
+
     The newest k are found by a limited window, which drops rows in each task before the
     shuffle; the rest is a join with one row per run, in which the rows of a hot run are spread
     over sub-keys (see ``skew``).
     """
-    rows = versions.withColumn("step", version_step(name, prefix)).where(F.col("step").isNotNull())
+    rows = versions.withColumn("step", version_step(name, prefix))
+    by = order or "step"
+    rows = rows.where(F.col(by).isNotNull() & F.col(name).contains(f"{prefix}-"))
     if not k or k <= 0:
         return rows.limit(0)
-    newest = Window.partitionBy(run).orderBy(F.desc("step"), F.desc(name))
+    newest = Window.partitionBy(run).orderBy(F.desc(by), F.desc(name))
     kept = (
-        rows.select(run, "step", name)
+        rows.select(run, by, name)
         .withColumn("_rank", F.row_number().over(newest))
         .where(F.col("_rank") == k)
-        .select(run, F.struct("step", name).alias("_oldest_kept"))
+        .select(run, F.struct(by, name).alias("_oldest_kept"))
     )
-    older = F.struct("step", name) < F.col("_oldest_kept")
+    older = F.struct(by, name) < F.col("_oldest_kept")
     joined = join_to_unique(rows, kept, run, "inner", name, hot_rows)
     return joined.where(older).drop("_oldest_kept")
 

@@ -3,6 +3,7 @@ from __future__ import annotations
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from factweave.operators import runlog
 
@@ -114,3 +115,38 @@ def test_metric_rows_and_keys(spark):
     assert sorted(r.metric for r in runlog.metric_keys(rows).collect()) == ["eval_em_500", "eval_f1_500"]
     pivoted = runlog.pivot_metrics(rows, ["run", "tag"], "step", [500, 1000])
     assert sorted(map(tuple, pivoted.collect())) == [("r", "eval_em", 1.0, None), ("r", "eval_f1", 0.5, None)]
+
+
+def test_sparse_steps_on_levels(spark):
+    rng = random.Random(3)
+    rows = [("r", i * 1_000_003, rng.choice([0.1, 0.5, 0.9, rng.random(), None, float("nan")])) for i in range(300)]
+    rows += [("s", -5_000_000 + i * 77, float(i % 7)) for i in range(60)]
+    df = spark.createDataFrame(rows, "run string, step long, value double")
+    one_level = runlog.improvements(df, bits=40)
+    on_levels = runlog.improvements(df, bits=4, level_bits=11)
+
+    def as_rows(found):
+        return sorted(map(str, found.select("run", "step", "best_before", "improved", "failures").collect()))
+
+    assert as_rows(on_levels) == as_rows(one_level)
+
+
+def test_no_window_holds_more_than_a_level(spark):
+    """One run at sparse steps: every window is over a block or a group of blocks, not over the run."""
+    df = spark.range(20_000).selectExpr("'r' AS run", "id * 100000 AS step", "CAST(id % 97 AS DOUBLE) AS value")
+    for found in (runlog.improvements(df, level_bits=10), runlog.improvements(df, 5_000_000, level_bits=10)):
+        plan = found._jdf.queryExecution().optimizedPlan().toString()
+        windows = [line for line in plan.splitlines() if line.strip(" :+-").startswith("Window [")]
+        # All but those of the last level, where a run has a row per 2^40 numbers, name a block or group.
+        assert len(windows) >= 6
+        last = [w for w in windows if "_block#" not in w.split("], [")[1] and "_g" not in w.split("], [")[1]]
+        assert len(last) <= 2
+    rows = df.withColumn("_block", F.shiftright("step", 16)).groupBy("run", F.shiftright("_block", 10).alias("g")).count()
+    assert rows.agg(F.max("count")).first()[0] <= 1024
+
+
+def test_expired_by_time_of_change(spark):
+    rows = [("a", "checkpoint-9", 5), ("a", "checkpoint-10", 3), ("a", "checkpoint-best", 4), ("a", "other", 1), ("a", "checkpoint-x", None)]
+    df = spark.createDataFrame(rows, "run string, name string, changed long")
+    assert sorted(r.name for r in runlog.expired(df, 1, order="changed").collect()) == ["checkpoint-10", "checkpoint-best"]
+    assert [r.name for r in runlog.expired(df, 1).collect()] == ["checkpoint-9"]
