@@ -139,13 +139,15 @@ def complete(
     parallel_calls: int | None = None,
     request: Request | None = None,
     log: str | None = None,
-    hot_rows: int | None = HOT_ROWS,
+    hot_rows: int | None = None,
 ) -> DataFrame:
     """Add the completion of each row's prompt.
 
     Equal prompts are asked once: they collapse before the shuffle, and the answers are joined
-    back, rows of a hot prompt and rows without a prompt spread over many tasks. Prompts meet by their SHA-256, so that the
-    joins sort and compare 32 bytes. ``prefix`` and ``suffix`` go around the text on the worker, so the few-shot
+    back. Rows without a prompt get keys of their own and are spread over all tasks; rows of a prompt with
+    ``hot_rows`` rows or more are spread over sub-keys, which takes a count of the keys: with ``log`` it is made by default,
+    without it only if asked for, and the adaptive split of skewed partitions is relied on, as both sides come fresh from
+    a shuffle. Prompts meet by their SHA-256, so that the joins compare hashes. ``prefix`` and ``suffix`` go around the text on the worker, so the few-shot
     blocks are neither shuffled nor compared. ``parallel_calls`` bounds the calls at a time. With ``request`` the
     completer is called with it as a second argument.
 
@@ -156,12 +158,11 @@ def complete(
     """
     scope = hashlib.sha256(json.dumps([request and request.text(), prefix, suffix]).encode()).hexdigest()
     key = F.sha2(F.concat(F.lit(scope), F.col(prompt)), 256)
-    keyed = df.withColumn("_key", key)
-    asked = keyed.where(F.col("_key").isNotNull()).select("_key", F.col(prompt).alias("_prompt")).distinct()
+    asked = df.where(F.col(prompt).isNotNull()).select(key.alias("_key"), F.col(prompt).alias("_prompt")).distinct()
     ask = _asker(completer, request, (prefix, suffix), retries, wait)
     if log is not None:
         answers = _answer_all(asked, answer_log(df.sparkSession, log), ask, request, parallel_calls)
-        answers = answers.withColumnRenamed("completion", name)
+        answers, hot_rows = answers.withColumnRenamed("completion", name), hot_rows or HOT_ROWS
     else:
 
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -170,6 +171,8 @@ def complete(
 
         dealt = asked.repartition(parallel_calls, "_key") if parallel_calls else asked
         answers = dealt.mapInPandas(run, T.StructType([T.StructField("_key", T.StringType()), T.StructField(name, T.StringType())]))
+    # A key without a prompt is no hash, so it meets no answer.
+    keyed = df.withColumn("_key", F.coalesce(key, F.concat(F.lit("none "), F.xxhash64(*df.columns).cast("string"))))
     return join_to_unique(keyed, answers, "_key", "left", min_rows=hot_rows).select(*df.columns, name)
 
 
