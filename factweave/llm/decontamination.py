@@ -5,15 +5,19 @@ score against itself, so a threshold is a share of the item. A passage asks with
 block-max WAND finds every item at or above the threshold: terms whose greatest impacts together stay
 below the threshold cannot lift an item alone, so only blocks of items with a posting of another term
 are looked at; a block is scored only if its terms' greatest impacts in the block reach the threshold.
-What is found is verified by five-word shingles of the whole item. Items have no fields of their own
-for question and answer, so the overlaps of the guessed parts are only reported.
+What is found is verified twice: five-word shingles of the whole item must overlap, and the passage must hold
+enough words of both question and answer. Items have no fields of their own for the two, so the last sentence is
+taken as the answer; one missing word never decides (a short answer may be that word), half of a part's words do.
+
+Document frequency and mean length are those of all items, counted in Spark, so a score does not depend on how items
+fall into blocks.
 
 Passages are two strides long and a stride is as long as the longest item, so each copy of an item
 lies inside a passage. Items are indexed in blocks of about half ``INDEX_BYTES`` of text, and a task
 or the driver holds the index of one block at a time, however many items there are.
 
-Contract for odd input: null and empty texts match nothing; items without words or without an id are
-no items; an item with fewer words than a shingle is one shingle; a question or answer that holds none
+Contract for odd input: null and empty texts match nothing; items without words are
+no items; items without an id are looked for like any other and reported with a null id; an item with fewer words than a shingle is one shingle; a question or answer that holds none
 has an overlap of one; equal items are reported each; a null
 document id is kept; of several passages with one item the best score counts, then the first.
 """
@@ -22,11 +26,13 @@ from __future__ import annotations
 
 import re
 import zlib
+from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -37,6 +43,7 @@ K1, B = 1.2, 0.75
 MIN_SCORE = 0.5
 SHINGLE = 5
 SIMILARITY = 0.8
+PART = 0.5  # share of a part's words which a passage holds at least, but for one word
 BLOCK = 8
 PASSAGES = 64  # asked at a time
 INDEX_BYTES = 8 << 20
@@ -85,23 +92,35 @@ class Match:
     answer_overlap: float
 
 
+@dataclass
+class Statistics:
+    """Of all items, however they are indexed: their number, mean length, and how many hold each term."""
+
+    items: int
+    mean_length: float
+    frequency: dict[str, int]
+
+
 class Index:
     """Postings by term, items in blocks, and the greatest impact of each term by block."""
 
-    def __init__(self, texts: list[str]):
+    def __init__(self, texts: list[str], statistics: Statistics | None = None):
         items = [parts_of(t) for t in texts]
         self.terms: dict[str, int] = {}
         rows = [sorted({self.terms.setdefault(w, len(self.terms)) for w in words}) for words, _ in items]
         counts = [np.bincount([self.terms[w] for w in words], minlength=1) for words, _ in items]
         lengths = np.array([len(words) for words, _ in items], float)
         n_terms, n = len(self.terms), len(items)
-        frequency = np.bincount(np.concatenate([np.array(r, int) for r in rows]), minlength=n_terms)
-        idf = np.log(1 + (n - frequency + 0.5) / (frequency + 0.5))
+        if statistics is None:
+            frequency, n_items, mean_length = np.bincount(np.concatenate([np.array(r, int) for r in rows]), minlength=n_terms), n, lengths.mean()
+        else:
+            frequency, n_items, mean_length = np.array([statistics.frequency[t] for t in self.terms]), statistics.items, statistics.mean_length
+        idf = np.log(1 + (n_items - frequency + 0.5) / (frequency + 0.5))
         term, item, impact = [], [], []
         for i, row in enumerate(rows):
             at = np.array(row, int)
             tf = counts[i][at]
-            own = idf[at] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * lengths[i] / lengths.mean()))
+            own = idf[at] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * lengths[i] / mean_length))
             term.append(at)
             item.append(np.full(len(at), i))
             impact.append(own / own.sum())
@@ -115,10 +134,12 @@ class Index:
         self.block_first = np.searchsorted(term[order][start], np.arange(n_terms + 1))
         self.most = np.maximum.reduceat(self.impact, self.first[:-1])
         self.n, self.blocks, self.stride = n, n // BLOCK + 1, int(lengths.max())
-        self.shingles, self.question = [], []
+        self.shingles, self.question, self.parts = [], [], []
         self.width = [min(SHINGLE, len(words)) for words, _ in items]
         for words, cut in items:
-            self.shingles.append(_shingles(np.array([_code(w) for w in words], np.uint64), SHINGLE))
+            coded = np.array([_code(w) for w in words], np.uint64)
+            self.shingles.append(_shingles(coded, SHINGLE))
+            self.parts.append((np.unique(coded[:cut]), np.unique(coded[cut:])))
             # A shingle belongs to the question if it begins there, to the answer if it ends there.
             starts = np.arange(len(self.shingles[-1]))
             self.question.append((starts < cut, starts + min(SHINGLE, len(words)) > cut))
@@ -210,6 +231,9 @@ class Scanner:
         question, answer = (float(hit[p].mean()) if p.any() else 1.0 for p in self.index.question[item])
         if hit.mean() < self.similarity:
             return None
+        for part in self.index.parts[item]:
+            if np.isin(part, codes, invert=True).sum() > max(1.0, (1 - PART) * len(part)):
+                return None
         return Match(item, passage, score, float(hit.mean()), question, answer)
 
 
@@ -219,16 +243,38 @@ def _match_type(item_type: T.DataType) -> T.ArrayType:
     return T.ArrayType(T.StructType([T.StructField(n, k) for n, k in kinds]))
 
 
+def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(part, term, words): a row per different term of an item, and one with its number of words."""
+    for batch in batches:
+        out: list[tuple] = []
+        for part, text in zip(batch.column("part").to_pylist(), batch.column("text").to_pylist(), strict=True):
+            words = words_of(text)
+            out.extend((part, term, None) for term in set(words))
+            out.append((part, None, len(words)))
+        columns = list(zip(*out, strict=True)) or [(), (), ()]
+        yield pa.record_batch([pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.string(), pa.int64()), strict=True)], names=["part", "term", "words"])
+
+
 def _index_blocks(items: DataFrame, id_col: str, text_col: str):
-    """Lists of (id, text), each of about half ``INDEX_BYTES`` of text by the hash of the id."""
+    """(ids, index) of each block, of about half ``INDEX_BYTES`` of text by a hash. Terms are counted
+    over all items, and a block gets the counts of its own terms."""
     rows = items.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
-    rows = rows.where(F.col("id").isNotNull() & F.col("text").rlike(r"(?U)\w"))
+    rows = rows.where(F.col("text").rlike(r"(?U)\w"))
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = -(-size // (INDEX_BYTES // 2))
+    if not parts:
+        return
+    rows = rows.withColumn("part", F.pmod(F.xxhash64("id", "text"), F.lit(parts)))
+    words = stored(rows.mapInArrow(_words, "part long, term string, words long"), f"{shared_folder(items.sparkSession, 'terms')}")
+    total = words.agg(F.count("words").alias("n"), F.avg("words").alias("mean")).first()
+    terms = words.where(F.col("term").isNotNull())
+    counts = terms.groupBy("term").agg(F.count("*").alias("n"))
     for part in range(parts):
-        mine = rows.where(F.pmod(F.xxhash64("id"), F.lit(parts)) == part).orderBy("id", "text").collect()
+        mine = rows.where(F.col("part") == part).orderBy("id", "text").collect()
         if mine:
-            yield [r.id for r in mine], [r.text for r in mine]
+            known = counts.join(terms.where(F.col("part") == part).select("term").distinct(), "term", "left_semi").collect()
+            statistics = Statistics(total.n, total.mean, {r.term: r.n for r in known})
+            yield [r.id for r in mine], Index([r.text for r in mine], statistics)
 
 
 def finders(
@@ -237,8 +283,8 @@ def finders(
     """One function per block of items, from a text column to an array of the items a text holds:
     item_id, passage, score and overlaps."""
     spark, kind = items.sparkSession, _match_type(items.schema[id_col].dataType)
-    for ids, texts in _index_blocks(items, id_col, text_col):
-        yield _matcher(spark.sparkContext.broadcast((ids, Index(texts))), kind, least, similarity)
+    for ids, index in _index_blocks(items, id_col, text_col):
+        yield _matcher(spark.sparkContext.broadcast((ids, index)), kind, least, similarity)
 
 
 def _matcher(sent, kind: T.ArrayType, least: float, similarity: float):

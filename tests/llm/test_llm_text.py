@@ -154,6 +154,40 @@ def test_retrieval_equals_scoring_every_item(leaks):
             assert {i: round(s, 9) for _, i, s in got} == want
 
 
+def test_question_and_answer_decide():
+    """An item without most of its answer is no copy, though its shingles overlap; one edit never decides."""
+    question = " ".join(f"q{k}" for k in range(40))
+    items = {1: f"{question}. a0 a1 a2 a3 a4 a5", 2: f"{question.replace('q', 'r')}. b0"}
+    index = decontamination.Index(list(items.values()))
+    scanner = decontamination.Scanner(index, 0.5, 0.8)
+    docs = {
+        "whole": items[1], "no answer": f"{question}. x x x x x x", "half of it": f"{question}. a0 a1 a2 x x x",
+        "most gone": f"{question}. a0 a1 x x x x", "one of one": items[2].replace("b0", "x"), "one of many": items[1].replace("a3", "x"),
+    }
+    assert shares(docs, items)["no answer", 1] >= 0.8
+    assert {d for d, t in docs.items() if scanner.matches(t)} == {"whole", "half of it", "one of one", "one of many"}
+
+
+def test_items_without_an_id_and_scores_of_any_blocks(spark, leaks, monkeypatch):
+    docs, items = leaks
+    docs = docs | {950: f"before {items[7]} after"}
+    d = spark.createDataFrame(list(docs.items()), "doc_id long, text string")
+    b = spark.createDataFrame([(None if i == 7 else i, t) for i, t in items.items()], "item_id long, text string")
+
+    def found():
+        return sorted((r.id, str(r.item_id), r.passage, round(r.score, 12), r.overlap) for r in decontamination.contaminated(d, b).collect())
+
+    one = found()
+    assert (950, "None") in {r[:2] for r in one} and 950 not in {r.doc_id for r in decontamination.without_benchmark(d, b).collect()}
+    monkeypatch.setattr(decontamination, "INDEX_BYTES", 3000)
+    blocks = len(list(decontamination.finders(b)))
+    several = found()
+    # A passage is as long as the longest item of a block: places differ, scores of whole items do not.
+    assert blocks >= 3 and {(r[0], r[1], r[4]) for r in one} == {(r[0], r[1], r[4]) for r in several}
+    exact = {r[:2]: r[3] for r in one if r[4] == 1.0}
+    assert exact and all(abs(exact[r[:2]] - r[3]) < 1e-9 for r in several if r[:2] in exact)
+
+
 def test_indexes_in_blocks_and_odd_tables(spark, leaks, odd_docs, no_docs, monkeypatch):
     docs, items = leaks
     d = spark.createDataFrame(list(docs.items()), "doc_id long, text string")
