@@ -4,7 +4,7 @@ Unit vectors are cut into two halves, each half is quantised by its own centroid
 is the pair of them. A query ranks the centroids of each half by distance and walks the pairs in
 order of their summed distance with a heap, until the cells it has seen hold enough entries; these
 are ranked by the exact cosine of the original vectors in double precision. Enough is a share of the
-index: vectors without any clusters, the hardest case, need to look at about four tenths of it for nine
+index, the same at every size: vectors without any clusters, the hardest case, need to look at about four tenths of it for nine
 tenths of the true neighbours; clustered ones need far less, and ``share`` can be lowered.
 
 Centroids are fitted on at most ``SAMPLE`` vectors, the first by a hash of the id; every vector is
@@ -35,8 +35,8 @@ from factweave.operators.skew import partitions
 SAMPLE = 20_000
 CENTROIDS = 64
 ROUNDS = 12
-MIN_ENTRIES = 3_000
-SHARE = 0.45
+SHARE = 0.5
+ENTRIES_PER_RESULT = 20  # looked at, at least
 PART_ROWS = 4_096
 _KEY = "query_id"
 
@@ -150,10 +150,11 @@ def nearest(
     sample: int = SAMPLE,
     centroids: int = CENTROIDS,
     share: float = SHARE,
-    enough: int = MIN_ENTRIES,
+    enough: int | None = None,
 ) -> DataFrame:
     """(query_id, rank, id, score): the ``k`` nearest found of each row for which ``is_query``, a
-    condition on column id, holds. A query looks at ``share`` of all entries, and at ``enough`` at least."""
+    condition on column id, holds. A query looks at ``share`` of all entries, and at ``enough`` at least, by
+    default ``ENTRIES_PER_RESULT`` times ``k``."""
     spark = vectors.sparkSession
     folder = shared_folder(spark, "vectors")
     rows = vectors.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{vector_col}`").cast("array<double>").alias("vector"))
@@ -179,7 +180,7 @@ def nearest(
     index.entries = {(r["first"], r.second): r.n for r in sizes}
     held = np.bincount([r["first"] for r in sizes], weights=[r.n for r in sizes], minlength=len(index.first))
     parts = np.maximum(np.ceil(held / PART_ROWS), 1).astype(int).tolist()
-    wanted = max(enough, int(share * held.sum()))
+    wanted = max(ENTRIES_PER_RESULT * k if enough is None else enough, int(share * held.sum()))
 
     def visit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -153,6 +153,28 @@ def test_neighbours_recall_and_parts(spark, monkeypatch):
     assert np.mean([len(got[q] & {i for i, _ in want[q]}) / 5 for q in want]) >= 0.9
 
 
+@pytest.mark.parametrize("scale", ["sf0.01", "sf0.1"])
+def test_recall_of_the_query_on_given_tables(spark, scale):
+    """The production share looks at half of the index, at any size, and finds nine tenths."""
+    from factweave.llm.queries_models import op9
+
+    folder = f"/root/testdata/{scale}"
+    table = spark.read.parquet(f"{folder}/embeddings.parquet").select("vec_id", "embedding").collect()
+    rows = [(r.vec_id, r.embedding) for r in table]
+    want = plain_nearest(rows, 5)
+    found = op9(spark, folder).collect()
+    got = {q: {r.vec_id for r in found if r.query_id == q} for q in want}
+    recall = np.mean([len(got[q] & {i for i, _ in want[q]}) / 5 for q in want])
+    assert recall >= 0.9 and all(len(g) == 5 for g in got.values())
+    unit = np.array([v for _, v in rows])
+    index = ann.MultiIndex(unit, ann.CENTROIDS)
+    for i, j in zip(*(x.tolist() for x in index.cells(unit)), strict=True):
+        index.entries[i, j] = index.entries.get((i, j), 0) + 1
+    seen = index.visited(unit[::50], int(ann.SHARE * len(rows)))
+    looked = [sum(index.entries[i, j] for i, js in cells.items() for j in js) for cells in seen]
+    assert max(looked) < 0.6 * len(rows)
+
+
 def test_few_and_no_vectors(spark):
     df = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.0, 1.0]), (2, [1.0, 1.0])], "vec_id long, embedding array<double>")
     got = [(r.query_id, r["rank"], r.id) for r in ann.nearest(df, F.col("id") % 50 == 0).collect()]
