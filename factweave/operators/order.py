@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from factweave.functions.arrays import pad_to
+from factweave.operators.skew import partitions
 from factweave.schemas import INPUT_PAD, LABEL_PAD
 
 BLOCK_BITS = 16  # 65,536 consecutive numbers per block
@@ -218,9 +219,20 @@ def shuffle_key(key: Column | str, seed: int) -> Column:
     return F.md5(F.concat(F.lit(f"{seed}:"), key.cast("string")))
 
 
+def ordered_by_hash(df: DataFrame, hashed: str, *ties: str, parts: int | None = None) -> DataFrame:
+    """Rows in the order of a column of hexadecimal hashes, then of ``ties``.
+
+    Hashes are uniform, so partitions are cut at fixed ones, n equal stretches of their first 32 bits, and sorted inside: the
+    input is computed once, where a range sort would compute it a second time for a sample.
+    """
+    n = partitions(df) if parts is None else parts
+    first = F.conv(F.substring(hashed, 1, 8), 16, 10).cast("long")
+    return df.repartitionById(n, F.shiftright(first * n, 32).cast("int")).sortWithinPartitions(hashed, *ties)
+
+
 def seeded_shuffle(df: DataFrame, key: str = "ord", seed: int = 666) -> DataFrame:
     """Rows in the order of a seeded hash of a unique key: the same in every run."""
-    return df.withColumn("shuffle_key", shuffle_key(key, seed)).orderBy("shuffle_key", key)
+    return ordered_by_hash(df.withColumn("shuffle_key", shuffle_key(key, seed)), "shuffle_key", key)
 
 
 def epoch_order(

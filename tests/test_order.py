@@ -2,6 +2,8 @@ from __future__ import annotations
 
 import hashlib
 
+from collections import Counter
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -53,6 +55,26 @@ def test_stride_and_shard(rows):
     assert _ords(order.shard(rows, 2, 64)) == [2, 7, 8, 9, 10]
 
 
+def test_shuffles_compute_their_input_once_and_order_over_partitions(spark):
+    reads = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            reads.add(len(batch))
+            yield batch
+
+    rows = spark.range(500).withColumnRenamed("id", "ord").mapInPandas(count, "ord long")
+    found = order.seeded_shuffle(rows, seed=5)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "rangepartitioning" not in plan
+    parts = found.withColumn("part", F.spark_partition_id()).collect()
+    assert reads.value == 500
+    hashes = [r.shuffle_key for r in parts]
+    assert hashes == sorted(hashes) and [r.part for r in parts] == sorted(r.part for r in parts)
+    sizes = Counter(r.part for r in parts)
+    assert len(sizes) == 4 and max(sizes.values()) < 170
+
+
 def test_seeded_shuffle_is_the_order_of_hashes(rows):
     got = [r.ord for r in order.seeded_shuffle(rows, seed=5).collect()]
     assert got == sorted(NUMBERS, key=lambda n: hashlib.md5(f"5:{n}".encode()).hexdigest())
