@@ -20,6 +20,8 @@ from itertools import chain
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from factweave.operators.order import ordered_by_hash
+
 MAX_MEAN = 500
 SEED = 17
 
@@ -90,4 +92,4 @@ def poisson_mix(
     rows = rows.select("doc", copies.alias("copies")).where("copies > 0")
     rows = rows.select("doc", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy"))
     place = F.md5(F.concat_ws(":", F.lit(f"{seed}:order"), key, F.col("copy").cast("string")).cast("binary"))
-    return rows.withColumn("place", place).orderBy("place", "copy")
+    return ordered_by_hash(rows.withColumn("place", place), "place", "copy")

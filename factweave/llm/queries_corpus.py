@@ -33,11 +33,11 @@ sums AS (
   SELECT mixed, mean, k + 1, p * mean / (k + 1), total + p * mean / (k + 1) FROM sums
   WHERE k < trunc(mean + 12 * sqrt(mean) + 30)),
 draws AS (
-  SELECT doc_id, mixed, part,
+  SELECT doc_id, docs.mixed, part,
          ('0x' || substr(md5('{SEED}:' || coalesce(doc_id::VARCHAR, '') || ':' || part), 1, 13))::BIGINT / {float(1 << 52)} AS u
-  FROM docs JOIN rates USING (mixed), generate_series(1, parts) AS s(part)),
+  FROM docs JOIN rates ON docs.mixed IS NOT DISTINCT FROM rates.mixed, generate_series(1, parts) AS s(part)),
 counted AS (
-  SELECT doc_id, count(*) AS copies FROM draws JOIN sums ON draws.mixed = sums.mixed AND sums.total <= draws.u GROUP BY doc_id)
+  SELECT doc_id, count(*) AS copies FROM draws JOIN sums ON draws.mixed IS NOT DISTINCT FROM sums.mixed AND sums.total <= draws.u GROUP BY doc_id)
 SELECT d.doc_id, d.text, d.lang, d.source, d.n_chars, c.copy::INT AS copy,
        md5('{SEED}:order:' || coalesce(d.doc_id::VARCHAR, '') || ':' || c.copy) AS place
 FROM documents d JOIN counted USING (doc_id), generate_series(1, copies) AS c(copy)
