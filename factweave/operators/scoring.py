@@ -60,6 +60,22 @@ def evaluate(
     return mean_scores(with_scores(df, prediction, truth), by)
 
 
+def evaluate_rollup(
+    df: DataFrame, levels: Sequence[str], prediction: str = "prediction", truth: str = "answer", metrics: Sequence[str] = METRICS
+) -> DataFrame:
+    """Means for each group of all ``levels``, of all but the last, and so on down to the whole, in one pass.
+
+    ``level`` is how many of them a row is grouped by; the others are NULL in it, as a missing value of a
+    level itself may be. Each row is scored once, and its parts of every group are combined before the shuffle.
+    """
+    if not levels:
+        raise ValueError("a rollup has one level at least")
+    scored = with_scores(df, prediction, truth)
+    grouped = sum((1 - F.grouping(c) for c in levels), F.lit(0)).cast("int")
+    means = [F.avg(m).alias(m) for m in metrics]
+    return scored.rollup(*levels).agg(grouped.alias("level"), F.count("*").alias("n"), *means)
+
+
 def acceptance(df: DataFrame, lines: str, by: Sequence[str] = ()) -> DataFrame:
     """Items read, items with a decomposition, and their share."""
     accepted = F.count_if(F.size(lines) > 0)

@@ -102,6 +102,20 @@ def eval_by_length(spark, folder):
     return _by_length(spark, folder).select("bucket", "n", *_round(*METRICS))
 
 
+@query(
+    "eval_rollup",
+    f"""WITH {_SCORED_SQL}, sliced AS (SELECT *, len({q.parsed('answer')}) AS lines FROM joined),
+        named AS (SELECT *, {_SLICE} AS bucket FROM sliced)
+        SELECT kind, bucket, CAST(2 - grouping(kind) - grouping(bucket) AS INTEGER) AS level, count(*) AS n, {_MEANS_SQL}
+        FROM named GROUP BY ROLLUP (kind, bucket)""",
+)
+def eval_rollup(spark, folder):
+    """Means of every slice of each kind of pair, of each kind, and of all pairs, in one pass."""
+    bucket = scoring.length_slice(F.size(parse_completion("answer")))
+    rows = v.score_pairs(spark, folder).withColumn("bucket", bucket)
+    return scoring.evaluate_rollup(rows, ["kind", "bucket"]).select("kind", "bucket", "level", "n", *_round(*METRICS))
+
+
 @query(
     "metric_unpivot",
     f"""WITH {_BY_LENGTH_SQL}

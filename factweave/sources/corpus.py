@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -11,6 +12,7 @@ from pyspark.sql import types as T
 from factweave.functions.text import split_facts, strip
 from factweave.operators.examples import parser_examples
 from factweave.schemas import QUESTIONS
+from factweave.session import work_dir
 
 
 # Sub-sentences in JSON are a list or one text: as STRING Spark gives the list's JSON text.
@@ -86,18 +88,32 @@ def spread(df: DataFrame, *key: str) -> DataFrame:
     return df.repartition(int(tasks), *key) if tasks else df
 
 
-def _in_file_order(rows: DataFrame) -> DataFrame:
-    """Number rows 0, 1, ... by file name, then by place in the file. Spark reads large files first and
-    in any order, so rows are counted per piece of a file which a task reads; the window over pieces
-    holds one row per piece."""
-    piece = ["_file", "_from"]
-    rows = rows.withColumn("_read", F.monotonically_increasing_id())
-    inside = Window.partitionBy(*piece).orderBy("_read")
-    before = Window.orderBy(*piece).rowsBetween(Window.unboundedPreceding, -1)
-    pieces = rows.groupBy(*piece).agg(F.count("*").alias("_rows"))
-    starts = pieces.select(*piece, F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_start"))
-    numbered = rows.withColumn("_in", F.row_number().over(inside)).join(starts, piece)
-    return numbered.withColumn("ord", F.col("_start") + F.col("_in") - 1).drop(*piece, "_read", "_in", "_start")
+PIECES_BYTES = 256 << 20  # of a broadcast table of pieces, some millions of them
+_PIECE = ("_file", "_from")
+
+
+def _pieces(placed: DataFrame) -> DataFrame:
+    """Of each piece of a file which a task reads: its rows, those with a place of their own, and the least read number."""
+    counts = (F.count("*").alias("_rows"), F.count("ord").alias("_given"), F.min("_read").alias("_first"))
+    return placed.groupBy(*_PIECE).agg(*counts)
+
+
+def _in_file_order(placed: DataFrame, pieces: DataFrame, size: int) -> DataFrame:
+    """Number rows 0, 1, ... by file name, then by place in the file.
+
+    Spark reads large files first and in any order, and a task may read several pieces, one after the other. So a row's
+    place inside its piece is its read number less the piece's first one, and the place of the piece comes from a
+    window over pieces, one row each. Rows stay where they are read: the table of pieces is broadcast up to
+    ``PIECES_BYTES``; a longer one is left to Spark's join. A row outside of its piece, which another way of
+    reading the same files would give, fails the job.
+    """
+    before = Window.orderBy(*_PIECE).rowsBetween(Window.unboundedPreceding, -1)
+    starts = pieces.withColumn("_start", F.coalesce(F.sum("_rows").over(before), F.lit(0))).drop("_given")
+    numbered = placed.join(F.broadcast(starts) if size <= PIECES_BYTES else starts, list(_PIECE))
+    inside = F.col("_read") - F.col("_first")
+    fits = (inside >= 0) & (inside < F.col("_rows"))
+    place = F.when(fits, F.col("_start") + inside).otherwise(F.raise_error(F.lit("files were read in other pieces")))
+    return numbered.withColumn("ord", place.cast("long")).drop(*_PIECE, "_read", "_rows", "_first", "_start")
 
 
 def ingest_questions(spark: SparkSession, path: str, out: str, fmt: str = "json") -> DataFrame:
@@ -106,19 +122,32 @@ def ingest_questions(spark: SparkSession, path: str, out: str, fmt: str = "json"
     Either every record brings its ``ord``, and no two the same, or none does and they are numbered in
     file order; anything else is an error. The number is written with the rows.
     """
-    rows = read_questions(spark, path, fmt)
-    seen = rows.agg(F.count("*").alias("all"), F.count("ord").alias("given")).first()
-    if seen.given and seen.given < seen.all:
-        raise ValueError(f"{seen.given} of {seen.all} records have a place of their own; all or none may")
-    if seen.given:
-        twice = rows.groupBy("ord").count().where("count > 1").first()
-        if twice:
-            raise ValueError(f"place {twice.ord} is given {twice['count']} times")
-    else:
-        where = [F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_from")]
-        raw = _json(spark, path) if fmt == "json" else read_questions(spark, path, fmt)
-        placed = raw.select("*", *where)
-        rows = _in_file_order(_one_form(placed) if fmt == "json" else placed).select(*QUESTIONS.names)
+    raw = _json(spark, path) if fmt == "json" else read_questions(spark, path, fmt)
+    where = [F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_from")]
+    placed = raw.select("*", *where, F.monotonically_increasing_id().alias("_read"))
+    folder = f"{work_dir(spark).rstrip('/')}/pieces-{uuid.uuid4().hex}"
+    try:
+        found = _pieces(placed)
+        found.write.parquet(folder)
+        pieces = spark.read.schema(found.schema).parquet(folder)
+        size = F.sum(F.octet_length("_file") + 40).alias("size")
+        seen = pieces.agg(F.coalesce(F.sum("_rows"), F.lit(0)).alias("all"), F.coalesce(F.sum("_given"), F.lit(0)).alias("given"), size).first()
+        if seen.given and seen.given < seen["all"]:
+            raise ValueError(f"{seen.given} of {seen['all']} records have a place of their own; all or none may")
+        rows = read_questions(spark, path, fmt)
+        if seen.given:
+            twice = rows.groupBy("ord").count().where("count > 1").first()
+            if twice:
+                raise ValueError(f"place {twice.ord} is given {twice['count']} times")
+        else:
+            rows = _in_file_order(_one_form(placed) if fmt == "json" else placed, pieces, seen["size"] or 0).select(*QUESTIONS.names)
+        return _stored(spark, rows, out)
+    finally:
+        path_ = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path_.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path_, True)
+
+
+def _stored(spark: SparkSession, rows: DataFrame, out: str) -> DataFrame:
     rows = rows.withColumn("item_id", F.coalesce("item_id", F.col("ord").cast("string")))
     rows.write.mode("errorifexists").partitionBy("dataset", "split").parquet(out)
     return spark.read.schema(QUESTIONS).parquet(out)

@@ -150,3 +150,15 @@ def test_evaluations(spark):
     assert (plain.n, plain.em) == (2, 0.5)
     ids = spark.createDataFrame([([4, 5, -100],)], "label_ids array<int>")
     assert evaluation.truth_ids(ids).first().label_ids == [4, 5]
+
+
+def test_ranks_of_sparse_candidate_numbers(spark):
+    """Numbers so far apart that each is a sub-part of its own, in one hot example, with equal and absent scores."""
+    rows = spark.range(600).selectExpr("1 AS example_id", "id * 1000003 AS cand_idx", "CASE WHEN id % 5 = 0 THEN NULL ELSE CAST(id % 3 AS DOUBLE) END AS score")
+    plain = cand.rank_candidates(rows, "score", hot_rows=None)
+    parts = cand.rank_candidates(rows, "score", hot_rows=10)
+    key = ["example_id", "cand_idx", "rank"]
+    assert sorted(map(tuple, parts.select(key).collect())) == sorted(map(tuple, plain.select(key).collect()))
+    plan = parts._jdf.queryExecution().optimizedPlan().toString()
+    windows = [line for line in plan.splitlines() if line.strip(" :+-").startswith("Window [")]
+    assert sum("_g63" in w or "_g39" in w for w in windows) >= 2

@@ -117,3 +117,45 @@ def test_vectors(one):
 @pytest.mark.parametrize("ids, want", [([5, 6, -100, -100], [5, 6]), ([-100], []), ([5], [5]), ([], []), ([5, -100, 6], [5])])
 def test_strip_pad(one, ids, want):
     assert one(arrays.strip_pad("v"), "v array<int>", ids) == want
+
+
+def test_overlaps_equal_counts_of_grams(spark, monkeypatch):
+    from collections import Counter
+
+    from factweave.functions import overlap
+
+    monkeypatch.setattr(overlap, "SLICE_WORDS", 100)
+    rng = random.Random(1)
+
+    def text():
+        return " ".join(rng.choice(["a", "b", "cé", "", "d"]) for _ in range(rng.randrange(0, 30)))
+
+    rows = [(i, text() if i % 17 else None, text() if i % 13 else None) for i in range(300)] + [(300, "x " * 500 + "y", "x " * 400)]
+    df = spark.createDataFrame(rows, "i int, p string, t string").repartition(2)
+    for r in df.withColumn("c", overlap.overlap_counts("p", "t")).collect():
+        if r.p is None or r.t is None:
+            assert r.c is None
+            continue
+        p, t = r.p.split(" "), r.t.split(" ")
+
+        def grams(words, n):
+            return Counter(tuple(words[i : i + n]) for i in range(len(words) - n + 1))
+
+        assert (r.c.n_p, r.c.n_t) == (len(p), len(t))
+        assert r.c.overlaps == [sum((grams(p, n) & grams(t, n)).values()) for n in (1, 2, 3, 4)]
+    assert df.where("false").select(overlap.overlap_counts("p", "t")).count() == 0
+
+
+def test_rollup_is_one_pass_over_all_groups(spark):
+    from factweave.operators.scoring import evaluate, evaluate_rollup
+
+    rows = [("a", "x", "p q", "p q"), ("a", "y", "p", "q"), ("b", "x", "r s", "r t"), ("b", None, "u", "u")]
+    df = spark.createDataFrame(rows, "kind string, bucket string, prediction string, answer string")
+    got = {(r.level, r.kind, r.bucket): (r.n, round(r.f1, 9)) for r in evaluate_rollup(df, ["kind", "bucket"]).collect()}
+    want = {}
+    for level, by in enumerate(([], ["kind"], ["kind", "bucket"])):
+        for r in evaluate(df, by=by).collect():
+            want[level, r["kind"] if level else None, r["bucket"] if level == 2 else None] = (r.n, round(r.f1, 9))
+    assert got == want and len(want) == 7
+    with pytest.raises(ValueError):
+        evaluate_rollup(df, [])

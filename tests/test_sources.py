@@ -147,6 +147,24 @@ def test_mixed_and_repeated_places_are_an_error(spark, tmp_path, given, message)
         corpus.ingest_questions(spark, str(tmp_path / "a.json"), str(tmp_path / "out"))
 
 
+def test_numbering_moves_no_rows(spark, records, tmp_path):
+    """Rows get their place where they are read: no exchange but those of the table of pieces."""
+    raw = spark.read.schema(corpus.JSON_QUESTIONS).json(records)
+    where = [F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_from")]
+    placed = raw.select("*", *where, F.monotonically_increasing_id().alias("_read"))
+    corpus._pieces(placed).write.parquet(str(tmp_path / "pieces"))
+    pieces = spark.read.parquet(str(tmp_path / "pieces"))
+    plan = corpus._in_file_order(placed, pieces, 100)._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+    exchanges = [line for line in plan.splitlines() if "Exchange" in line and "BroadcastExchange" not in line]
+    assert all("SinglePartition" in line for line in exchanges)  # the window over pieces
+    with pytest.raises(Exception, match="read in other pieces"):
+        wrong = pieces.withColumn("_first", F.col("_first") + 1)
+        corpus._in_file_order(placed, wrong, 100).collect()
+    spread_out = corpus._in_file_order(placed, pieces, corpus.PIECES_BYTES + 1)
+    assert sorted(r.ord for r in spread_out.collect()) == [0, 1, 2, 3]
+
+
 def test_few_shot_file(spark, tmp_path):
     path = tmp_path / "prompt"
     path.write_text(PROMPT)
