@@ -188,3 +188,20 @@ def test_pairs_come_by_summed_distance():
     a, b = rng.random(7), rng.random(5)
     sums = [a[i] + b[j] for i, j in ann.pairs_by_distance(a, b)]
     assert len(sums) == 35 and sums == sorted(sums)
+
+
+def area_under_curve(scores, labels):
+    """Share of pairs of a positive and a negative label which the score orders rightly, ties half."""
+    pos, neg = scores[labels == 1], scores[labels == 0]
+    return float(((pos[:, None] > neg[None, :]) + 0.5 * (pos[:, None] == neg[None, :])).mean())
+
+
+@pytest.mark.parametrize(("name", "label", "least"), [("op3_quality_rules", "quality", 0.95), ("op10_toxicity", "toxic", 0.9)])
+def test_held_out_labels_of_the_given_tables(spark, name, label, least):
+    from factweave.llm.catalog import QUERIES
+
+    folder = "/root/testdata/sf0.01"
+    labels = {r.doc_id: r[label] for r in spark.read.parquet(f"{folder}/labels.parquet").collect()}
+    rows = [r for r in QUERIES[name](spark, folder).collect() if r.held_out and r.doc_id in labels]
+    area = area_under_curve(np.array([r.score for r in rows]), np.array([labels[r.doc_id] for r in rows]))
+    assert len(rows) > 40 and area >= least, area

@@ -253,3 +253,66 @@ def test_licenses_whole_changed_and_strewn(spark, odd_docs, no_docs, texts):
     assert licenses.scan_licenses(no_docs).count() == 0
     with pytest.raises(ValueError):
         licenses.Scanner({"x": "!!"}, 0.8)
+
+
+def plain_align(a, b):
+    """Plain program: anchors are words once on both sides, the best increasing run by trying all, gaps alike."""
+    once = [(i, b.index(w)) for i, w in enumerate(a) if a.count(w) == 1 and b.count(w) == 1]
+    if not once:
+        head = 0
+        while head < min(len(a), len(b)) and a[head] == b[head]:
+            head += 1
+        tail = 0
+        while tail < min(len(a), len(b)) - head and a[-1 - tail] == b[-1 - tail]:
+            tail += 1
+        return head + tail
+    best = [1] * len(once)
+    for x in range(len(once)):
+        best[x] += max([best[y] for y in range(x) if once[y][1] < once[x][1]], default=0)
+    # The run itself need not be the same one: only its length and coverage at least are compared.
+    return max(best)
+
+
+def test_coverage_of_every_notice_and_of_changed_ones(spark):
+    """A whole notice is covered whole; one with changed, missing and added words as far as a plain longest common run says."""
+    rng = random.Random(17)
+    rows, want = [], {}
+    for n, (name, text) in enumerate(sorted(TEMPLATES.items())):
+        words = text.split()
+        rows.append((n, f"before it {text} after it"))
+        want[n] = (name, 1.0)
+        if len(words) >= 40:
+            changed = list(words)
+            for k in rng.sample(range(len(words)), len(words) // 20):
+                changed[k] = f"new{k}"
+            rows.append((1000 + n, "\n".join(changed)))
+            a, b = licenses.words_of(" ".join(changed)), licenses.words_of(text)
+            lengths = [0] * (len(b) + 1)  # longest common subsequence, by the plain table
+            for w in a:
+                row = [0]
+                for j, v in enumerate(b):
+                    row.append(lengths[j] + 1 if v == w else max(lengths[j + 1], row[j]))
+                lengths = row
+            want[1000 + n] = (name, lengths[-1] / len(b))
+    got = {r.id: {h.license: h.coverage for h in r.hits} for r in licenses.scan_licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for i, (name, share) in want.items():
+        assert share - 0.03 <= got[i][name] <= share + 1e-9, (i, name)
+    assert {i: max(h, key=h.get) for i, h in got.items()}.keys() == want.keys()
+
+
+def test_alignment_reaches_the_plain_anchor_run():
+    rng = random.Random(18)
+    for _ in range(200):
+        a, b = ([rng.choice("abcdefghijklmnop") for _ in range(rng.randrange(0, 14))] for _ in range(2))
+        pairs = licenses.align(a, b)
+        assert all(a[i] == b[j] for i, j in pairs) and len(pairs) >= plain_align(a, b)
+        assert all(p[0] < q[0] and p[1] < q[1] for p, q in zip(pairs, pairs[1:], strict=False))
+
+
+def test_ties_between_stretches_and_licenses(spark):
+    one = TEMPLATES["All rights reserved"]
+    rows = [(1, f"{one} x y z {one}"), (2, f"{TEMPLATES['CC-BY-4.0']} {one}")]
+    got = {r.id: r for r in licenses.scan_licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[1].hits[0].first_word == 0 and len(got[1].hits) == 1
+    full = [h.license for h in got[2].hits if h.coverage == 1.0]
+    assert full == sorted(full) and got[2].license == full[0]
