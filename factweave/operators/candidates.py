@@ -41,8 +41,10 @@ def rank_candidates(
         ranked = df.withColumn("rank", rank).select(*kept, "rank")
         return ranked if top is None else ranked.where(F.col("rank") <= top)
     df = df.repartition(partitions(df), example, tie)
+    # Counted here the hot keys are few by arithmetic; those handed in are left to Spark's size check.
+    sized = F.broadcast if hot is None else (lambda table: table)
     hot = hot_keys(df, example, hot_rows) if hot is None else hot
-    cuts = df.join(F.broadcast(hot), example).groupBy(example).agg(
+    cuts = df.join(sized(hot), example).groupBy(example).agg(
         F.expr(f"percentile_approx(_known, array({QUANTILES}))").alias("_all"), F.first("salts").alias("_n")
     )
     # Every so many of the quantiles, so that there are as many parts as the example has salts.
@@ -59,7 +61,7 @@ def rank_candidates(
     block = F.shiftright(F.col(tie).cast("long"), PART_BITS)
     usual = F.col("_cuts").isNull()
     rows = (
-        df.join(F.broadcast(cuts), example, "left")
+        df.join(sized(cuts), example, "left")
         .withColumn("_part", F.when(usual, 0).otherwise(part))
         .withColumn("_sub", F.when(~usual & equal, block).otherwise(0))
     )

@@ -49,8 +49,9 @@ def join_to_unique(
     if min_rows is None:
         return many.join(one, key, how)
     spread = F.xxhash64(*([spread_by] if spread_by else many.columns))
-    hot = hot_keys(many, key, min_rows) if hot is None else hot
-    hot = F.broadcast(hot.withColumnRenamed("salts", "_salts"))
+    # Counted here the table is small by arithmetic; one handed in is left to Spark's size check.
+    hot = F.broadcast(hot_keys(many, key, min_rows)) if hot is None else hot
+    hot = hot.withColumnRenamed("salts", "_salts")
     none = F.lit(0).cast("long")
     salts = F.when(F.col(key).isNull(), partitions(many)).otherwise(F.coalesce("_salts", F.lit(1)))
     left = many.join(hot, key, "left").withColumn("_salt", F.pmod(spread, salts))
