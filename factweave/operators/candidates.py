@@ -6,14 +6,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from factweave.functions.arrays import cosine
-from factweave.operators.order import Sums, prefix_scan
 from factweave.operators.scoring import with_bleu, with_f1
 from factweave.operators.skew import HOT_ROWS, hot_keys, join_to_unique, partitions
 
 CUTS = 1_024
 QUANTILES = ", ".join(f"{i / CUTS}D" for i in range(1, CUTS))
 PART_BITS = 16  # 65,536 candidate numbers per part of equal scores
-SUB_BITS = 64 - PART_BITS
 
 
 def rank_candidates(
@@ -66,12 +64,15 @@ def rank_candidates(
         .withColumn("_sub", F.when(~usual & equal, block).otherwise(0))
     )
     parts = [example, "_part", "_sub"]
-    # Parts and the sub-parts of each as one number: sparse candidate numbers make a sub-part per row, so the
-    # rows before each are carried on levels.
-    number = F.shiftleft(F.col("_part").cast("long"), SUB_BITS) + F.col("_sub") + (1 << (SUB_BITS - 1))
-    counts = rows.where(~usual).groupBy(*parts).agg(F.count("*").alias("_rows"))
-    starts = prefix_scan(counts.withColumn("_number", number), "_number", [example], 63, Sums("_rows", "_start"))
-    starts = starts.select(*parts, "_start")
+    better = Window.partitionBy(example).orderBy("_part", "_sub").rowsBetween(
+        Window.unboundedPreceding, -1
+    )
+    starts = (
+        rows.where(~usual)
+        .groupBy(*parts)
+        .agg(F.count("*").alias("_rows"))
+        .select(*parts, F.sum("_rows").over(better).alias("_start"))
+    )
     inside = Window.partitionBy(*parts).orderBy(*order)
     start = F.coalesce("_start", F.lit(0))
     return (
