@@ -88,7 +88,7 @@ def _runs(owner: np.ndarray, offset: np.ndarray, parts: list[bytes], width: int)
 
 
 class _Contexts:
-    """The distinct contexts of a chunk's repeated anchors, sorted by bucket, with their least id."""
+    """The distinct contexts of a chunk's repeated anchors, sorted by cell and text, with their least id."""
 
     def __init__(self, texts: list[bytes], ids: np.ndarray, runs: _Runs, repeated: np.ndarray, buckets: int, width: int):
         self.chosen = np.flatnonzero(repeated)
@@ -105,11 +105,13 @@ class _Contexts:
         least = np.full(len(known), np.iinfo(np.int64).max)
         np.minimum.at(least, group, ids[doc])
         cell = chunks.split_key(key[one], buckets)
-        order = np.argsort(cell, kind="stable")
+        # Answers are matched by place and rows come in any order at each reading, so contexts of a cell are in order of their text.
+        every = list(known)
+        order = np.array(sorted(range(len(every)), key=every.__getitem__), np.int64)
+        order = order[np.argsort(cell[order], kind="stable")]
         place = np.empty(len(order), np.int64)
         place[order] = np.arange(len(order))
         self.group = place[group]
-        every = list(known)
         self.texts = [every[i] for i in order.tolist()]
         self.least = least[order]
         self.entry = np.zeros(len(order), _ENTRY)

@@ -9,7 +9,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from factweave.llm import golay, rolling, suffix_array
+from factweave.llm import chunks, golay, rolling, suffix_array
 from factweave.llm.components import components, first_by_hash
 from factweave.llm.simhash import near_duplicates, one_of_each, simhash
 from factweave.llm.substring_dedup import dedup_substrings, without_repeats
@@ -63,6 +63,30 @@ def test_bytes_equal_a_plain_program(odd_docs, texts):
         assert [tuple(s) for s in r.spans] == spans_of(marks[r.doc_id])
 
 
+def test_bytes_do_not_depend_on_the_order_of_rows(spark, monkeypatch):
+    """Shuffles bring the rows of a chunk in another order at each reading; all readings agree."""
+    rng = random.Random(2)
+    shared = ["".join(rng.choice("abcdefgh é") for _ in range(120)) for _ in range(10)]
+    texts = {}
+    for i in range(200):
+        cuts = [(rng.choice(shared), rng.randrange(60)) for _ in range(rng.randrange(5))]
+        texts[i] = "".join(s[a : a + rng.randrange(90)] + "x" * rng.randrange(2) for s, a in cuts)
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(1)
+
+    def shuffled(batches):
+        for batch in batches:
+            yield batch.sample(frac=1)
+
+    monkeypatch.setattr(chunks, "CHUNK_BYTES", 8_000)
+    spark.conf.set("spark.sql.exchange.reuse", "false")
+    try:
+        got = dedup_bytes(docs.mapInPandas(shuffled, docs.schema)).select("doc.doc_id", "spans").collect()
+    finally:
+        spark.conf.unset("spark.sql.exchange.reuse")
+    marks = removed({i: t.encode() for i, t in texts.items()}, 50)
+    assert {r.doc_id: [tuple(s) for s in r.spans] for r in got} == {i: spans_of(m) for i, m in marks.items()}
+
+
 def test_other_widths(spark):
     rng = random.Random(1)
     texts = {i: "".join(rng.choice("ab ") for _ in range(rng.randrange(150))) for i in range(40)}
