@@ -8,7 +8,9 @@ import time
 from collections.abc import Callable, Iterator
 from dataclasses import asdict, dataclass
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -20,6 +22,7 @@ from factweave.sources.table import ResultTable
 
 RETRIES = 1  # fixed values: one more call, after a minute
 WAIT_SECONDS = 60.0
+CALL_BYTES = 4 << 20  # of values which a task holds as Python objects at a time
 
 
 def _with_retry(call: Callable[[str], str], text: str, retries: int, wait: float) -> str:
@@ -46,6 +49,26 @@ def _called(call: Callable[[list], list], values: list, batch_size: int) -> list
     return [None if v is None else next(answers) for v in values]
 
 
+def _calls(values: pa.Array, batch_size: int) -> Iterator[pa.Array]:
+    """Slices of an Arrow batch for one call each: at most ``batch_size`` values, absent ones not counted, and
+    ``CALL_BYTES`` of them, or one value which is larger."""
+    given, at = np.cumsum(np.asarray(values.is_valid())), 0
+    while at < len(values):
+        done = given[at - 1] if at else 0
+        part = values.slice(at, int(np.searchsorted(given, done + batch_size, "right")) - at)
+        while len(part) > 1 and part.nbytes > CALL_BYTES:
+            part = part.slice(0, (len(part) + 1) // 2)
+        yield part
+        at += len(part)
+
+
+def _answered(call: Callable[[list], list], batches: Iterator[pa.Array], kind: pa.DataType, batch_size: int) -> Iterator[pa.Array]:
+    """Outputs, sent back call by call: a task holds an Arrow batch and the objects of one call, however many rows it has."""
+    for batch in batches:
+        for part in _calls(batch, batch_size):
+            yield pa.array(_called(call, part.to_pylist(), batch_size), kind, from_pandas=True)
+
+
 @dataclass(frozen=True)
 class Request:
     """What a completion is asked with, beside its prompt."""
@@ -186,11 +209,9 @@ def generate(
     """Add a model's output text. ``make_predict`` runs once per Python worker task and
     returns the function for a batch of texts, so a model is loaded once and not per batch."""
 
-    @F.pandas_udf("string")
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        predict = make_predict()
-        for batch in batches:
-            yield pd.Series(_called(predict, batch.tolist(), batch_size), dtype=object)
+    @F.arrow_udf("string")
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        return _answered(make_predict(), batches, pa.string(), batch_size)
 
     return df.withColumn(name, run(F.col(text)))
 
@@ -204,14 +225,15 @@ def generate_lists(
 ) -> DataFrame:
     """The same for a list column: list in, list of outputs out, no explode and no shuffle."""
 
-    @F.pandas_udf("array<string>")
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("array<string>")
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         predict = make_predict()
         for batch in batches:
-            lists = [list(x) if x is not None else None for x in batch]
-            flat = [text for x in lists if x for text in x]
-            answers = iter(_called(predict, flat, batch_size))
-            yield pd.Series([None if x is None else [next(answers) for _ in x] for x in lists])
+            for part in _calls(batch, len(batch)):
+                lists = part.to_pylist()
+                flat = [text for x in lists if x for text in x]
+                answers = iter(_called(predict, flat, batch_size))
+                yield pa.array([None if x is None else [next(answers) for _ in x] for x in lists], pa.list_(pa.string()))
 
     return df.withColumn(name, run(F.col(texts)))
 
@@ -225,11 +247,9 @@ def generate_candidates(
     """One row per candidate: a model which returns n texts for each input text adds
     ``cand_idx`` 0 .. n-1 and ``prediction``."""
 
-    @F.pandas_udf("array<string>")
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        predict = make_predict()
-        for batch in batches:
-            yield pd.Series(_called(predict, batch.tolist(), batch_size), dtype=object)
+    @F.arrow_udf("array<string>")
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        return _answered(make_predict(), batches, pa.list_(pa.string()), batch_size)
 
     return df.select("*", F.posexplode(run(F.col(text))).alias("cand_idx", "prediction"))
 

@@ -3,6 +3,7 @@ from __future__ import annotations
 import os
 import sys
 
+import pyarrow as pa
 import pytest
 from pyspark import cloudpickle
 from pyspark.sql import functions as F
@@ -152,3 +153,33 @@ def test_candidates_and_semantic_match_with_models(spark):
     assert sorted((r.example_id, r.cand_idx) for r in candidates.collect()) == [(1, 0), (1, 1), (2, 0), (2, 1)]
     result = evaluation.evaluate_semantic_match(candidates, questions, truths, back, embedder).first()
     assert (result.n, result.em) == (2, 0.5)
+
+
+def _sized(spark, rows, kilobytes):
+    return spark.range(rows, numPartitions=1).select("id", F.repeat(F.lit("x"), kilobytes * 1024).alias("t"))
+
+
+def test_generate_holds_one_call_of_bounded_size(spark):
+    """Long texts: a call, all that a task has as objects, is bounded by bytes and not by rows alone."""
+
+    def make():
+        return lambda texts: [str(sum(map(len, texts))) for _ in texts]
+
+    df = _sized(spark, 150, 100)
+    listed = df.groupBy((F.col("id") % 50).alias("id")).agg(F.collect_list("t").alias("t")).coalesce(1)
+    several = inference.generate_candidates(df, "t", lambda: lambda texts: [[x] for x in make()(texts)])
+    for sizes in (
+        [r.generated for r in inference.generate(df, "t", make).select("generated").collect()],
+        [x for r in inference.generate_lists(listed, "t", make).select("generated").collect() for x in r.generated],
+        [r.prediction for r in several.select("prediction").collect()],
+    ):
+        assert len(sizes) == 150 and 100 * 1024 < max(map(int, sizes)) <= inference.CALL_BYTES
+
+
+def test_calls_count_values_and_bytes():
+    values = pa.array([None, "a", None, "b", "c", None, "d"])
+    assert [x.to_pylist() for x in inference._calls(values, 2)] == [[None, "a", None, "b"], ["c", None, "d"]]
+    assert [len(x) for x in inference._calls(pa.nulls(5, pa.string()), 2)] == [5]
+    large = pa.array(["x" * (inference.CALL_BYTES + 1), "y", "z"])
+    assert [len(x) for x in inference._calls(large, 3)] == [1, 2]
+    assert list(inference._calls(values.slice(0, 0), 2)) == []
