@@ -14,6 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from factweave.functions.text import single_spaced, words
 from factweave.operators.skew import HOT_ROWS, join_to_unique
@@ -257,13 +258,16 @@ def generate_candidates(
 def _mapped(
     df: DataFrame, column: str, make: Callable[[], Callable[[list], list]], kind: str, name: str, batch_size: int
 ) -> DataFrame:
-    @F.pandas_udf(kind)
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    arrow = to_arrow_type(T.DataType.fromDDL(kind))
+
+    @F.arrow_udf(kind)
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         call = make()
-        for batch in batches:
-            values = [v if v is None or isinstance(v, str) else list(v) for v in batch]
-            out = _called(call, values, batch_size)
-            yield pd.Series([v if v is None or isinstance(v, str) else list(v) for v in out], dtype=object)
+
+        def listed(values: list) -> list:
+            return [v if v is None or isinstance(v, str) else list(v) for v in call(values)]
+
+        return _answered(listed, batches, arrow, batch_size)
 
     return df.withColumn(name, run(F.col(column)))
 

@@ -183,3 +183,14 @@ def test_calls_count_values_and_bytes():
     large = pa.array(["x" * (inference.CALL_BYTES + 1), "y", "z"])
     assert [len(x) for x in inference._calls(large, 3)] == [1, 2]
     assert list(inference._calls(values.slice(0, 0), 2)) == []
+
+
+def test_ids_and_texts_hold_one_call_of_bounded_size(spark):
+    words = _sized(spark, 150, 100)
+    ids = inference.with_ids(words, "t", lambda: lambda texts: [[sum(map(len, texts))] for _ in texts])
+    sizes = [r.input_ids[0] for r in ids.select("input_ids").collect()]
+    assert len(sizes) == 150 and max(sizes) <= inference.CALL_BYTES
+    lists = spark.range(150, numPartitions=1).select("id", F.sequence(F.lit(1), F.lit(25_000)).alias("ids"))
+    texts = inference.with_text(lists, "ids", lambda: lambda lists: [str(sum(map(len, lists))) for _ in lists])
+    sizes = [int(r.text) for r in texts.select("text").collect()]
+    assert len(sizes) == 150 and 25_000 < max(sizes) <= inference.CALL_BYTES // 4
