@@ -194,3 +194,9 @@ def test_ids_and_texts_hold_one_call_of_bounded_size(spark):
     texts = inference.with_text(lists, "ids", lambda: lambda lists: [str(sum(map(len, lists))) for _ in lists])
     sizes = [int(r.text) for r in texts.select("text").collect()]
     assert len(sizes) == 150 and 25_000 < max(sizes) <= inference.CALL_BYTES // 4
+
+
+def test_embeddings_hold_one_call_of_bounded_size(spark):
+    vectors = inference.with_embedding(_sized(spark, 150, 100), "t", lambda: lambda texts: [[sum(map(len, texts))] for _ in texts])
+    sizes = [r.embedding[0] for r in vectors.select("embedding").collect()]
+    assert len(sizes) == 150 and max(sizes) <= inference.CALL_BYTES
